@@ -123,7 +123,7 @@ def mix(docs: DataFrame) -> DataFrame:
     used = slots(sources).groupBy("rank", "block").agg(F.count("*").alias("uses"))
     taken = F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0))
     return (
-        pieces.join(used, ["rank", "block"], "left")
+        pieces.join(used.hint("merge"), ["rank", "block"], "left")  # Spark estimates slots by the sources they come from, a few rows
         .groupBy("rank", "lane", "pos", "doc_id", "size")
         .agg(taken.alias("taken"))
         .join(sources.select("rank", "source_size", "target"), "rank")
