@@ -1,0 +1 @@
+"""Watershed analytics on Spark."""
