@@ -4,7 +4,8 @@ Each template's words give hashes of ``K`` consecutive words; winnowing keeps th
 ``WINNOW`` consecutive ones. The kept fingerprints form an inverted index (hash to template and
 place), broadcast, as its size depends on the templates alone. Every hash of a document is looked up,
 so a kept fingerprint is found wherever it stands. Hits of one template on neighbouring diagonals form a
-candidate, and the template is aligned with the words there within ``BAND`` words of the diagonal. The
+candidate, and the template is aligned with the words there within ``BAND`` words of the diagonal (a
+third of its length, if that is less, so that a short notice and its repetition stay apart). The
 matched share of the template is its coverage; candidates of ``COVER`` or more are reported with the
 span of their matched words, in code points.
 
@@ -59,6 +60,7 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = [tokens.words_of(templates[n]) for n in self.names]
+        self.band = [min(BAND, max(1, len(w.hash) // 3)) for w in self.words]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, w in enumerate(self.words):
             h = w.windows(min(K, max(1, len(w.hash))))[0]
@@ -79,23 +81,23 @@ class Index:
         hits = sorted((int(w.doc[i]), t, int(i) - p) for i in at for t, p in self.places.get(int(h[i]), ()))
         last = None
         for doc, t, diagonal in hits:
-            if last is None or last[:2] != (doc, t) or diagonal - last[2] > BAND:
+            if last is None or last[:2] != (doc, t) or diagonal - last[2] > self.band[t]:
                 yield doc, t, diagonal
                 last = (doc, t, diagonal)
 
     def align(self, t: int, words: np.ndarray) -> tuple[int, int, int]:
-        """Matched words, first and past-the-last matched word in ``words``, which start BAND before the diagonal."""
+        """Matched words, first and past-the-last matched word in ``words``, which start a band before the diagonal."""
         key = (t, words.tobytes())
         if key not in self.seen:
             if len(self.seen) > 50_000:
                 self.seen.clear()
-            self.seen[key] = _banded(self.words[t].hash, words)
+            self.seen[key] = _banded(self.words[t].hash, words, self.band[t])
         return self.seen[key]
 
 
-def _banded(template: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
-    """Longest common subsequence within 2 BAND + 1 places of the diagonal, by most matches, then shortest span."""
-    width = 2 * BAND + 1
+def _banded(template: np.ndarray, words: np.ndarray, band: int = BAND) -> tuple[int, int, int]:
+    """Longest common subsequence within ``band`` places of the diagonal, by most matches, then shortest span."""
+    width = 2 * band + 1
     padded = np.zeros(len(template) + width, np.uint64)
     padded[: len(words)] = words[: len(padded)]
     real = np.zeros(len(padded), bool)
@@ -131,13 +133,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, cover: float =
                 first = np.searchsorted(w.doc, np.arange(len(offsets)))
                 found: dict[tuple[int, int], list] = defaultdict(list)
                 for doc, t, diagonal in index.candidates(w):
-                    a = max(int(first[doc]), diagonal - BAND)
-                    b = min(int(first[doc + 1]), diagonal + len(index.words[t].hash) + BAND)
-                    lead = a - (diagonal - BAND)
+                    band = index.band[t]
+                    a = max(int(first[doc]), diagonal - band)
+                    b = min(int(first[doc + 1]), diagonal + len(index.words[t].hash) + band)
+                    lead = a - (diagonal - band)
                     part = np.concatenate([np.zeros(lead, np.uint64), w.hash[a:b]])
                     n, x, y = index.align(t, part)
                     if n / len(index.words[t].hash) >= cover:
-                        found[doc, t].append((n / len(index.words[t].hash), x + diagonal - BAND, y + diagonal - BAND))
+                        found[doc, t].append((n / len(index.words[t].hash), x + diagonal - band, y + diagonal - band))
                 for (doc, t), spans in sorted(found.items()):
                     data, kept = buf[offsets[doc] : offsets[doc + 1]].tobytes(), []
                     for c, x, y in sorted(spans, key=lambda s: (-s[0], s[1])):
