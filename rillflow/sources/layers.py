@@ -94,5 +94,5 @@ def json_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
     docs = spark.read.schema(schema).option("multiLine", "true").json(path)
     each = docs.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
     numbers = F.transform(F.regexp_extract_all("coordinates", F.lit(r"-?[0-9.]+(?:[eE][-+]?[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
-    xs, ys = (F.filter(numbers, lambda _, i, k=k: i % 2 == k) for k in (0, 1))
+    xs, ys = F.filter(numbers, lambda _, i: i % 2 == 0), F.filter(numbers, lambda _, i: i % 2 == 1)
     return each.select("*", F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
