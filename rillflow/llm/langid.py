@@ -3,8 +3,8 @@
 A text becomes a TF-IDF vector of its letter n-grams (one to three bytes of the lower-case UTF-8 text,
 everything that is not a letter read as a space), hashed to ``DIM`` places and scaled to length one.
 Each language has ``CENTROIDS`` centroids from spherical k-means. A text gets the language of the
-centroid of highest cosine; it is rejected if that cosine is below half of the lowest that training
-texts of about its length reach with their own language.
+centroid of highest cosine; it is rejected if that cosine is below ``FLOOR`` times the lowest that
+training texts of about its length, or longer ones, reach with their own language.
 
 The classifier is fitted on at most ``SAMPLE`` labelled texts of each language (those of the smallest
 hashes of doc_id, whole texts, ``TOTAL`` in all); document frequencies, centroids and rejection bounds come from them.
@@ -33,6 +33,7 @@ SAMPLE = 1000
 #: Most texts of the fit, whatever the number of languages.
 TOTAL = 8000
 CENTROIDS = 4
+FLOOR = 0.25
 _ROUNDS = 12
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes below 128 that are not letters become spaces.
@@ -76,7 +77,7 @@ class Model:
         if len(langs):
             best = np.where(self.owner == label[:, None], unit @ self.centroids.T, -1).max(axis=1)
             level = _level(total)
-            low = [best[level == k].min() / 2 if (level == k).any() else np.inf for k in range(16)]
+            low = [best[level == k].min() * FLOOR if (level == k).any() else np.inf for k in range(16)]
             self.floor = np.minimum.accumulate(low[::-1])[::-1]  # a shorter text is never held to more than a longer one
             self.floor[~np.isfinite(self.floor)] = 0
 
