@@ -1,10 +1,11 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
 A vector v is stored as |v|, the signs of the rotated unit vector packed into bits, and a correction:
-the inner product a of the unit vector with its own sign vector. For a query q, rotated to y,
-<v, q> is estimated as |v| <s, y> / a, and the part that the code does not see is bounded by
-|v| |y| ``EPSILON`` sqrt((1 - a^2) / (a^2 (D - 1))), a bound that fails with a probability of about
-exp(-EPSILON^2 / 2). A candidate is reranked on the original vectors, in double precision and in
+the inner product a of the unit vector with its own sign vector. The rotation leads into D dimensions,
+a few times those of the vectors up to ``LONGEST``: short vectors get longer codes, as the error falls
+with D. For a query q, rotated to y, <v, q> is estimated as |v| <s, y> / a, and the part that the code
+does not see is bounded by |v| |y| ``EPSILON`` sqrt((1 - a^2) / (a^2 (D - 1))), a bound that fails with
+a probability of about exp(-EPSILON^2 / 2). A candidate is reranked on the original vectors, in double precision and in
 the order of the dimensions, if its estimate plus bound reaches the score of the query's k-th best so far.
 
 The queries are taken in blocks of at most ``BLOCK_BYTES``, each broadcast once; every block is held
@@ -30,39 +31,42 @@ from rillflow.llm import common
 
 K = 20
 EPSILON = 4.0
+#: Bits of a code: WIDER times the dimensions, up to LONGEST, and one for each dimension at least.
+WIDER, LONGEST = 8, 1024
 BLOCK_BYTES = 32 << 20
 _ROWS = 2048
 _SEED = 7
 
 
 def rotation(dim: int) -> np.ndarray:
-    """A random rotation, the same for all: the orthogonal part of a seeded Gaussian matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """A random rotation into the dimensions of the code, the same for all: orthonormal rows from a seeded Gaussian matrix."""
+    bits = max(dim, min(WIDER * dim, LONGEST))
+    q, r = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((bits, dim)))
+    return (q * np.sign(np.diag(r))).T
 
 
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits, norms and corrections a."""
     norm = np.linalg.norm(vectors, axis=1)
     unit = (vectors / norm[:, None]) @ turn
-    return np.packbits(unit > 0, axis=1), norm, np.abs(unit).sum(axis=1) / np.sqrt(vectors.shape[1])
+    return np.packbits(unit > 0, axis=1), norm, np.abs(unit).sum(axis=1) / np.sqrt(turn.shape[1])
 
 
 def estimate(bits: np.ndarray, norm: np.ndarray, a: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates of <v, q> and their error bounds, candidates by queries."""
+    """Estimates of <v, q>, candidates by queries, and each candidate's error bound for a query of length one."""
     dim = rotated.shape[1]
     sign = np.unpackbits(bits, axis=1, count=dim).astype(np.float32)
     half = rotated.sum(axis=1).astype(np.float32)
     est = (sign @ (2 * rotated.T).astype(np.float32) - half) * (norm / (a * np.sqrt(dim))).astype(np.float32)[:, None]
     slack = norm * EPSILON * np.sqrt(np.maximum(0, 1 - a * a) / max(1, dim - 1)) / a + norm * 1e-5
-    return est, slack[:, None].astype(np.float32) * np.linalg.norm(rotated, axis=1).astype(np.float32)
+    return est, slack.astype(np.float32)
 
 
-def exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Inner products row by row, summed from the first dimension to the last."""
-    out = np.zeros(len(left))
-    for d in range(left.shape[1]):
-        out += left[:, d] * right[:, d]
+def exact(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of left[:, i] and right[:, j], summed from the first dimension to the last."""
+    out = np.zeros(len(i))
+    for d in range(len(left)):
+        out += left[d][i] * right[d][j]
     return out
 
 
@@ -73,30 +77,33 @@ class Search:
         self.ids, self.vectors, self.k = ids, vectors, k
         self.turn = rotation(vectors.shape[1])
         self.rotated = vectors @ self.turn
+        self.columns, self.length = np.ascontiguousarray(vectors.T), np.linalg.norm(vectors, axis=1).astype(np.float32)
         self.score = np.full((len(ids), k), -np.inf)
         self.best = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         est, slack = estimate(*encode(vectors, self.turn), self.rotated)
-        if not np.isfinite(self.score[:, -1]).all():  # first, a few of the best estimates set the bar
-            own = ids[:, None] == self.ids
-            top = min(2 * self.k, len(ids))
-            rows = np.argpartition(-np.where(own, -np.inf, est), top - 1, axis=0)[:top]
-            pick = np.zeros(est.shape, bool)
-            np.put_along_axis(pick, rows, True, axis=0)
-            self._merge(ids, vectors, pick & ~own)
-            rest = ~pick
-        else:
-            rest = np.ones(est.shape, bool)
-        self._merge(ids, vectors, rest & (est + slack >= self.score[:, -1].astype(np.float32) - 1e-6 * np.abs(self.score[:, -1]).astype(np.float32)))
-
-    def _merge(self, ids: np.ndarray, vectors: np.ndarray, pick: np.ndarray) -> None:
+        columns = np.ascontiguousarray(vectors.T)
+        bar = lambda: (self.score[:, -1] - 1e-6 * np.abs(self.score[:, -1])).astype(np.float32)
+        if np.isfinite(self.score[:, -1]).all():
+            self._merge(ids, columns, est + slack[:, None] * self.length >= bar())
+            return
+        # first, a few of the best estimates set the bar
+        own = ids[:, None] == self.ids
+        top = min(2 * self.k, len(ids))
+        rows = np.argpartition(-np.where(own, -np.inf, est), top - 1, axis=0)[:top]
+        pick = np.zeros(est.shape, bool)
+        np.put_along_axis(pick, rows, True, axis=0)
+        self._merge(ids, columns, pick & ~own)
+        self._merge(ids, columns, ~pick & (est + slack[:, None] * self.length >= bar()))
+
+    def _merge(self, ids: np.ndarray, columns: np.ndarray, pick: np.ndarray) -> None:
         q, c = np.nonzero(pick.T)
         other = ids[c] != self.ids[q]
         q, c = q[other], c[other]
         if not len(q):
             return
-        score = np.concatenate([exact(self.vectors[q[i : i + 65536]], vectors[c[i : i + 65536]]) for i in range(0, len(q), 65536)])
+        score = np.concatenate([exact(self.columns, columns, q[i : i + 65536], c[i : i + 65536]) for i in range(0, len(q), 65536)])
         better = score >= self.score[q, -1]
         q, c, score = q[better], c[better], score[better]
         who = np.unique(q)
