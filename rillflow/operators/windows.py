@@ -65,19 +65,17 @@ def neighbours(cells: DataFrame, keys: Sequence[str] = (), columns: Sequence[str
 
 
 def slope(cells: DataFrame, cell: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Cells with slope_deg by Horn's 3 x 3 gradient; beyond an edge or a hole the cell's own value plus the opposite difference stands in.
+    """Cells with slope_deg by Horn's 3 x 3 gradient.
 
-    A value missing on one side is extrapolated from the opposite neighbour (2 z - opposite), or is z itself if both are missing.
+    A neighbour missing at an edge or a hole is extrapolated from the opposite neighbour (2 z - opposite), or is z itself if both are missing.
     """
-    across = Window.partitionBy(*keys, "r").orderBy("c")
-    # three columns of the row above, the row itself and the row below come from a window along columns and two joins on the row
-    near = lambda k: F.when(F.lead("c", k).over(across) == F.col("c") + k, F.lead("z", k).over(across)) if k > 0 else F.when(F.lag("c", -k).over(across) == F.col("c") + k, F.lag("z", -k).over(across))
-    rows = cells.select(*keys, "r", "c", "z", near(-1).alias("w"), near(1).alias("e"))
-    down = Window.partitionBy(*keys, "c").orderBy("r")
-    here = F.struct("z", "w", "e")
-    rows = rows.withColumn("n", F.when(F.lag("r").over(down) == F.col("r") - 1, F.lag(here).over(down)))
-    rows = rows.withColumn("s", F.when(F.lead("r").over(down) == F.col("r") + 1, F.lead(here).over(down)))
-    raw = {"nw": F.col("n.w"), "nn": F.col("n.z"), "ne": F.col("n.e"), "ww": F.col("w"), "ee": F.col("e"), "sw": F.col("s.w"), "ss": F.col("s.z"), "se": F.col("s.e")}
+    raw, rows = {}, cells.select(*keys, "r", "c", "z")
+    lines = {"r": ("c", "ww", "ee"), "c": ("r", "nn", "ss"), "r - c": ("r", "nw", "se"), "r + c": ("r", "ne", "sw")}
+    for line, (along, before, after) in lines.items():  # neighbours along rows, columns and both diagonals
+        w = Window.partitionBy(*keys, F.expr(line)).orderBy(along)
+        rows = rows.withColumn(before, F.when(F.lag(along).over(w) == F.col(along) - 1, F.lag("z").over(w)))
+        rows = rows.withColumn(after, F.when(F.lead(along).over(w) == F.col(along) + 1, F.lead("z").over(w)))
+        raw |= {before: F.col(before), after: F.col(after)}
     opposite = {"nw": "se", "nn": "ss", "ne": "sw", "ww": "ee", "ee": "ww", "sw": "ne", "ss": "nn", "se": "nw"}
     v = {k: F.coalesce(x, 2 * F.col("z") - raw[opposite[k]], F.col("z")) for k, x in raw.items()}
     dx = (v["ne"] + 2 * v["ee"] + v["se"] - v["nw"] - 2 * v["ww"] - v["sw"]) / (8 * cell)
