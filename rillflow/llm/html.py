@@ -16,7 +16,7 @@ short ordered pass. No host is ever gathered in a task. Lines are compared as 64
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; unclosed,
 misnested or cut markup is read as far as it goes; a page without neighbour in its host keeps all its
-undecided lines; repeated rows are pages of their own; rows with a null page_id are kept; an empty table gives an
+undecided lines; repeated rows are one page in the order, and each gets its text; rows with a null page_id are kept; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -316,7 +316,7 @@ def shared_lines(rows: DataFrame) -> DataFrame:
     """row and shared (a flag a line) of pages (row, page_id, url, html)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["host", "path", "page_id", "row"]
-    flat = _addresses(rows).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    flat = _addresses(rows).dropDuplicates(["row"]).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found, _ = common.materialize(_neighbours(flat), "html-lines")
     ends = found.where("part is not null").select("part", "place", *[x.split()[0] for x in _PAGE.split(", ")])
     ends = ends.coalesce(1).sortWithinPartitions("part", "place").mapInArrow(_join_ends, "row string, shared array<boolean>")
@@ -325,9 +325,9 @@ def shared_lines(rows: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page."""
+    key = F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("page_id", "url", "html")))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    key = F.concat_ws("-", F.lpad(F.hex(F.xxhash64("page_id", "url", "html")), 16, "0"), F.expr("uuid()"))
-    rows, _ = common.materialize(rows.select(key.alias("row"), "page_id", "url", "html"), "html-rows")
+    rows = rows.select(key.alias("row"), "page_id", "url", "html")
     flags = shared_lines(rows).withColumnRenamed("row", "_row")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
