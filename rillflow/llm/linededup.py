@@ -89,7 +89,7 @@ def _rewritten(batch: pa.RecordBatch, spot: int, gone: list, names: list[str]) -
     for text, drop in zip(batch.column(spot), gone):
         text = text.as_py()
         parts = text.split("\n") if text else []
-        n_lines.append(sum(1 for x in parts if x and not x.isspace()))
+        n_lines.append(sum(1 for x in parts if x.strip(" \t\n\v\f\r")))
         n_dropped.append(len(drop))
         texts.append("\n".join(x for k, x in enumerate(parts) if k not in drop) if drop else text)
     cols = list(batch.columns[: len(names)])
@@ -146,3 +146,17 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+_PARTS = ", ".join(f"list_concat(['part {k}'], rest[:len(rest) * {k} // {PARTS}], [chr(10)], rest[len(rest) * {k + 1} // {PARTS} + 1:])" for k in range(PARTS))
+OP7_SQL = rf"""
+WITH l AS (SELECT doc_id, text, line, row_number() OVER () AS id, n FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents)),
+t AS (SELECT *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
+r AS (SELECT *, len(w) AS m, array_to_string(w[:{LEAD}], ' ') AS lead, w[{LEAD + 1}:] AS rest FROM t WHERE len(w) > 0),
+k AS (SELECT doc_id, id, unnest(list_transform(CASE WHEN m >= {LONG} THEN [list_concat(['all'], rest), {_PARTS}] ELSE [list_concat(['all'], rest)] END, lambda x: m || ' ' || lead || chr(10) || array_to_string(x, ' '))) AS key FROM r),
+h AS (SELECT key, min(doc_id) AS first FROM k GROUP BY 1 HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+g AS (SELECT DISTINCT id FROM k JOIN h USING (key) WHERE doc_id <> first)
+SELECT d.doc_id, CAST(coalesce(c.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n_dropped, 0) AS BIGINT) AS n_dropped, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.kept, '') END AS text
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE len(w) > 0) AS n_lines, count(*) FILTER (WHERE g.id IS NOT NULL) AS n_dropped,
+  string_agg(line, chr(10) ORDER BY n) FILTER (WHERE g.id IS NULL) AS kept FROM t LEFT JOIN g ON g.id = t.id GROUP BY 1) c ON c.doc_id = d.doc_id
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
 }
 
-SQL = {"op3_warc": warc.OP3_SQL, "op9_ann": ann.OP9_SQL}
+SQL = {"op3_warc": warc.OP3_SQL, "op6_decontaminate": decontam.OP6_SQL, "op7_lines": linededup.OP7_SQL, "op9_ann": ann.OP9_SQL}
