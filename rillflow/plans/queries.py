@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import scalar as S
 from rillflow.operators import aggregates as A
-from rillflow.operators import graph, reshape, spatial, windows
+from rillflow.operators import graph, hydro, reshape, spatial, windows
 from rillflow.plans import shapes as X
+from rillflow.plans import themes as T
 from rillflow.sources import layers
 from rillflow.sources.layers import table
 
@@ -720,3 +721,68 @@ def longest_path(spark, sf):
     cells = table(spark, sf, "customer").select(k.alias("id"), F.when(k > 0, F.expr("(c_custkey - 1) div 2")).alias("down"), (1 + k % 3).cast("double").alias("step"))
     outlets = spark.createDataFrame([(b, b) for b in (0, 1, 2)], "basin_id long, id long")
     return graph.longest_path(cells, outlets)
+
+
+# themes, on basins of the regions
+
+_HIT = f"(SELECT b, p_brand, p_type, k, x0, y0, x1, y1, bx0, by0, bx1, by1, {X.SQL_OVERLAP} AS o FROM {X.SQL_PART} JOIN {X.SQL_BASIN} ON {X.SQL_MEET})"
+
+
+def _basins(spark, sf):
+    return X.basins(spark, sf).withColumn("area", F.lit(160_000.0))
+
+
+@query(f"""
+WITH h AS (SELECT *, CAST(1 + k % 5 AS VARCHAR) || '1' || CAST(k % 3 AS VARCHAR) AS code FROM {_HIT}), c AS (SELECT b, code, sum(o) AS a FROM h GROUP BY 1, 2),
+d AS (SELECT b, code, a FROM c QUALIFY row_number() OVER (PARTITION BY b ORDER BY a DESC, code) = 1),
+s AS (SELECT b, {', '.join(f"round(coalesce(sum(o) FILTER (WHERE left(code, 1) = '{k}'), 0) / 1600, 6) AS {n}" for k, n in T.LAND_COVER.items())} FROM h GROUP BY 1)
+SELECT s.b AS basin_id, {', '.join(T.LAND_COVER.values())}, CASE WHEN d.code LIKE '_11' THEN 'Classe ' || d.code ELSE d.code END AS ocs_dominante, round(d.a / 1600, 6) AS ocs_dom_pct FROM s JOIN d ON d.b = s.b
+""")
+def theme_land_cover(spark, sf):
+    k = F.col("fid")
+    code = F.concat((1 + k % 5).cast("string"), F.lit("1"), (k % 3).cast("string"))
+    labels = spark.createDataFrame([(f"{a}11", f"Classe {a}11") for a in range(1, 6)], "code_18 string, libelle string")
+    out = T.land_cover(X.boxes(spark, sf).withColumn("code_18", code), _basins(spark, sf), labels).summary
+    return out.select("basin_id", *[F.round(c, 6).alias(c) for c in T.LAND_COVER.values()], "ocs_dominante", F.round("ocs_dom_pct", 6).alias("ocs_dom_pct"))
+
+
+@query(f"""
+WITH h AS (SELECT *, CASE WHEN k % 4 = 0 THEN 'Prairie ' || p_type WHEN k % 4 = 1 THEN NULL ELSE p_type END AS l, CASE k % 5 WHEN 0 THEN 'TA' WHEN 1 THEN 'PP' WHEN 2 THEN 'CP' ELSE 'NA' END AS cat FROM {_HIT}),
+g AS (SELECT *, CASE WHEN l IS NOT NULL THEN lower(l) LIKE '%prairie%' ELSE cat = 'PP' END AS grass FROM h)
+SELECT b AS basin_id, sum(o) / 10000 AS rpg_ha, count(*) AS rpg_nb, round(median(o) / 10000, 9) AS rpg_med_ha, round(coalesce(sum(o) FILTER (WHERE grass), 0) / 1600, 6) AS herbe_pct, round(coalesce(sum(o) FILTER (WHERE NOT grass), 0) / 1600, 6) AS rpg_cult_pct,
+  round(sum(o) FILTER (WHERE cat = 'TA') / 1600, 6) AS rpg_arable_pct, round(sum(o) FILTER (WHERE cat = 'PP') / 1600, 6) AS rpg_prairie_pct FROM g GROUP BY 1
+""")
+def theme_parcels(spark, sf):
+    k = F.col("fid")
+    types = table(spark, sf, "part").select("p_type").distinct()
+    crops = types.select(F.concat(F.lit("P "), "p_type").alias("code"), F.concat(F.lit("Prairie "), "p_type").alias("libelle")).unionByName(types.select(F.concat(F.lit("T "), "p_type").alias("code"), F.col("p_type").alias("libelle")))
+    code = F.when(k % 4 == 0, F.concat(F.lit("P "), "p_type")).when(k % 4 == 1, F.lit("?")).otherwise(F.concat(F.lit("T "), "p_type"))
+    cat = F.get(F.array(*map(F.lit, ["TA", "PP", "CP", "NA", "NA"])), (k % 5).cast("int"))
+    out = T.declared_parcels(X.boxes(spark, sf).withColumns({"code_cultu": code, "cat_cult_p": cat}), _basins(spark, sf), crops).summary
+    r = lambda c, n=6: F.round(c, n).alias(c)
+    return out.select("basin_id", "rpg_ha", "rpg_nb", r("rpg_med_ha", 9), r("herbe_pct"), r("rpg_cult_pct"), r("rpg_arable_pct"), r("rpg_prairie_pct"))
+
+
+@query(f"""
+WITH c AS (SELECT b, k % 3 AS kind, unnest(generate_series(CAST(greatest(x0, bx0) AS BIGINT), CAST(least(x1, bx1) AS BIGINT) - 1)) AS cx, greatest(y0, by0) AS lo, least(y1, by1) AS hi FROM {_HIT}),
+u AS (SELECT b, kind, cx, unnest(generate_series(CAST(lo AS BIGINT), CAST(hi AS BIGINT) - 1)) AS cy FROM c), n AS (SELECT b, count(*) AS n FROM {_HIT} GROUP BY 1)
+SELECT u.b AS basin_id, round(count(DISTINCT cx * 10000 + cy) FILTER (WHERE kind = 0) / 10000.0, 6) AS zsc_ha, round(count(DISTINCT cx * 10000 + cy) FILTER (WHERE kind = 1) / 10000.0, 6) AS zps_ha,
+  round(count(DISTINCT cx * 10000 + cy) / 10000.0, 6) AS zonage_ha, round(count(DISTINCT cx * 10000 + cy) / 1600.0, 6) AS zonage_pct, max(n.n) AS zonage_nb FROM u JOIN n USING (b) GROUP BY 1
+""")
+def theme_zonings(spark, sf):
+    sites = X.boxes(spark, sf).select(F.col("p_name").alias("nom_site"), F.col("fid").cast("string").alias("id_mnhn"), "fid", "geom", *spatial.BOX)
+    layers_ = {key: [(sites.where(F.col("fid") % 3 == n), None)] for n, key in enumerate(("zsc", "zps", "pnr"))}
+    out = T.zonings(layers_, _basins(spark, sf)).summary
+    return out.select("basin_id", *[F.round(c, 6).alias(c) for c in ("zsc_ha", "zps_ha", "zonage_ha", "zonage_pct")], "zonage_nb")
+
+
+@query()
+def delineate_outlets(spark, sf):
+    """Basins of one outlet a nation, each over a grid of its own; no SQL states them."""
+    k = F.col("p_partkey")
+    z = 900 + 4 * F.abs(F.expr("p_partkey % 50") - 25) - 2 * F.expr("p_partkey div 50") + (k * 37 % 11) / 10
+    cells = table(spark, sf, "part").select(F.expr("p_partkey div 50").alias("r"), F.expr("p_partkey % 50").alias("c"), z.cast("double").alias("z"))
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("basin_id"))
+    outlets = nations.select("basin_id", (F.lit(255.0) + F.col("basin_id").cast("int") % 5).alias("ox"), (-F.lit(30.0)).alias("oy"), F.lit(0.0).alias("upstream_km"))
+    each = cells.withColumn("basin_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda x: x.cast("string"))))
+    return hydro.delineate(each, outlets, 10.0, 20).drop("geom")
