@@ -50,31 +50,74 @@ def as_points(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.withColumns({"xmin": F.col(x), "xmax": F.col(x), "ymin": F.col(y), "ymax": F.col(y)})
 
 
-def kernel(fn: Callable[[list, list], float]) -> Callable[[Column, Column], Column]:
-    """A pandas UDF from a measure of two shapes (parts of WKB); the second shape is parsed once while it repeats."""
+Decoder = Callable[[list], tuple[np.ndarray, np.ndarray]]
+
+
+def kernel(fn: Callable[[list, list], float], simple: Callable[[np.ndarray, np.ndarray], np.ndarray], decode: Decoder = G.rectangles) -> Callable[[Column, Column], Column]:
+    """A pandas UDF from a measure of two shapes (parts of WKB).
+
+    Where the first shape is of the kind that ``decode`` knows and the second a rectangle, ``simple`` measures a whole
+    batch of arrays; all other pairs go through ``fn`` one by one, the second shape parsed once while it repeats.
+    """
 
     @F.pandas_udf(DoubleType())
     def measure(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         last, shape = None, None
         for a, b in parts:
-            out = np.full(len(a), np.nan)
-            for k, (p, q) in enumerate(zip(a, b)):
-                if p is None or q is None:
+            left, right = [None if g is None else bytes(g) for g in a], [None if g is None else bytes(g) for g in b]
+            out = np.full(len(left), np.nan)
+            (w, p), (v, q) = decode(left), G.rectangles(right)
+            both = w & v
+            if both.any():
+                out[both] = simple(p[both[w]], q[both[v]])
+            for k in np.flatnonzero(~both):
+                if left[k] is None or right[k] is None:
                     continue
-                if q is not last:
-                    last, shape = q, G.from_wkb(q)[1]
-                out[k] = fn(G.from_wkb(p)[1], shape)
+                if right[k] != last:
+                    last, shape = right[k], G.from_wkb(right[k])[1]
+                out[k] = fn(G.from_wkb(left[k])[1], shape)
             yield pd.Series(out).astype(object).where(~np.isnan(out), None)
 
     return measure
 
 
-overlap_area = kernel(G.intersection_area)
-inside_length = kernel(G.length_inside)
-touching = kernel(lambda p, q: float(G.intersects(p, q)))
-point_in = kernel(lambda p, q: float(G.contains(q, *p[0][0])))
-point_distance = kernel(lambda p, q: G.distance(q, *p[0][0]))
-line_distance = kernel(lambda p, q: G.nearest_on_line(q, *p[0][0])[0])
+def _boxes_overlap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    side = np.maximum(0, np.minimum(p[:, 2:], q[:, 2:]) - np.maximum(p[:, :2], q[:, :2]))
+    return side[:, 0] * side[:, 1]
+
+
+def _boxes_touch(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return ((p[:, :2] <= q[:, 2:]) & (q[:, :2] <= p[:, 2:])).all(axis=1).astype(float)
+
+
+def _segment_inside(s: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Length of segments in rectangles, by the stretch between entry and exit on either axis."""
+    start, move = s[:, :2], s[:, 2:] - s[:, :2]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.stack([(q[:, :2] - start) / move, (q[:, 2:] - start) / move])
+    still = move == 0
+    held = (start >= q[:, :2]) & (start <= q[:, 2:])
+    enter = np.where(still, np.where(held, 0, 2), t.min(axis=0)).max(axis=1)
+    leave = np.where(still, np.where(held, 1, -1), t.max(axis=0)).min(axis=1)
+    return np.maximum(0, np.minimum(leave, 1) - np.maximum(enter, 0)) * np.hypot(*move.T)
+
+
+def _point_to_box(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.hypot(*np.maximum(0, np.maximum(q[:, :2] - p, p - q[:, 2:])).T)
+
+
+overlap_area = kernel(G.intersection_area, _boxes_overlap)
+inside_length = kernel(G.length_inside, _segment_inside, G.segments)
+touching = kernel(lambda p, q: float(G.intersects(p, q)), _boxes_touch)
+point_in = kernel(lambda p, q: float(G.contains(q, *p[0][0])), lambda p, q: (_point_to_box(p, q) == 0).astype(float), G.points)
+point_distance = kernel(lambda p, q: G.distance(q, *p[0][0]), _point_to_box, G.points)
+
+
+@F.pandas_udf(DoubleType())
+def line_distance(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """From points to lines."""
+    for a, b in parts:
+        yield pd.Series([G.nearest_on_line(G.from_wkb(q)[1], *G.from_wkb(p)[1][0][0])[0] for p, q in zip(a, b)])
 
 
 @F.pandas_udf(BinaryType())
@@ -169,7 +212,7 @@ def union_areas(polygons: DataFrame, keys: list[str], size: float) -> DataFrame:
     def measure(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tx, ty = key[-2:]
         cell = G.box(tx * size, ty * size, (tx + 1) * size, (ty + 1) * size)
-        parts = [x for g in rows["geom"] for x in _within(G.from_wkb(g)[1], cell)]
+        parts = [x for g in rows["geom"] for x in G.within(G.from_wkb(g)[1], cell)]
         return pd.DataFrame([[*key[:-2], G.union_area(parts)]])
 
     kinds = {f.name: f.dataType.simpleString() for f in polygons.schema}
@@ -178,15 +221,6 @@ def union_areas(polygons: DataFrame, keys: list[str], size: float) -> DataFrame:
     return tiled.groupBy(*keys, "tx", "ty").applyInPandas(measure, schema).groupBy(*keys).agg(F.sum("area").alias("area"))
 
 
-def _within(rings: list, cell: list) -> list:
-    """Parts of a polygon within a cell, as polygons; a rectangle's by its corners."""
-    if len(rings) == 1 and G.is_box(rings[0]):
-        (x0, y0, x1, y1), (u0, v0, u1, v1) = G.bounds(rings), G.bounds(cell)
-        a, b, c, d = max(x0, u0), max(y0, v0), min(x1, u1), min(y1, v1)
-        return [G.box(a, b, c, d)] if a < c and b < d else []
-    return [[r] for r in G.intersection(rings, cell)]
-
-
 _MEASURES = StructType()
 for _name in ("area", "length", "perimeter", "cx", "cy", *BOX):
     _MEASURES = _MEASURES.add(_name, DoubleType())
