@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,23 @@ def session(app: str = "rillflow", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=SETTINGS | settings).getOrCreate()
 
 
+_ROOT = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, unless they find it on their path anyway."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped or os.getcwd() == str(_ROOT) or str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    path = Path(tempfile.mkdtemp(prefix="rillflow-code-")) / "rillflow.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted((_ROOT / "rillflow").rglob("*.py")):
+            z.write(file, file.relative_to(_ROOT))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir``, or one of this machine's where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("rillflow.work.dir", None)
