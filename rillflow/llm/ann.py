@@ -21,6 +21,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ EPSILON = 4.0
 #: Bits of a code: WIDER times the dimensions, up to LONGEST, and one for each dimension at least.
 WIDER, LONGEST = 8, 1024
 BLOCK_BYTES = 32 << 20
+#: Blocks whose results one plan joins.
+UNION = 16
 _ROWS = 2048
 _SEED = 7
 
@@ -153,7 +156,7 @@ def _found(candidates: DataFrame, ids: np.ndarray, block: np.ndarray, k: int) ->
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of ``vectors`` to each of ``queries`` (both vec_id, v)."""
-    found = None
+    lots_found: list[DataFrame] = []
     dims = [(r[0], r[1]) for r in queries.groupBy(F.size("v").alias("d")).count().orderBy("d").toLocalIterator()]
     for dim, n in dims:
         own = queries.where(F.size("v") == dim)
@@ -163,12 +166,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             rows = part.orderBy("vec_id").collect() if lots == 1 else sorted(part.collect())
             if rows:
                 ids, block = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-                one = _found(vectors, ids, block, k)
-                found = one if found is None else found.unionByName(one)
-    if found is None:
+                lots_found.append(_found(vectors, ids, block, k))
+                if len(lots_found) == UNION:  # many blocks: written so far, so that the plan stays small
+                    lots_found = [common.materialize(_ranked(lots_found, k).drop("rank"), "ann-best")[0]]
+    if not lots_found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return _ranked(lots_found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: list[DataFrame], k: int) -> DataFrame:
+    """The k best of each query over all tasks' rows."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,7 @@ def test_blocks_of_queries(spark, monkeypatch):
     v = rng.standard_normal((200, 8))
     want = brute(dict(enumerate(v)))
     monkeypatch.setattr(ann, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(ann, "UNION", 3)
     assert result(frame(spark, v)) == want
 
 
