@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rillflow.functions import scalar as S
 from rillflow.operators import aggregates as A
 from rillflow.operators import graph, hydro, reshape, spatial, windows
+from rillflow.plans import elevation, report
 from rillflow.plans import shapes as X
 from rillflow.plans import themes as T
 from rillflow.sources import layers
@@ -786,3 +787,72 @@ def delineate_outlets(spark, sf):
     outlets = nations.select("basin_id", (F.lit(255.0) + F.col("basin_id").cast("int") % 5).alias("ox"), (-F.lit(30.0)).alias("oy"), F.lit(0.0).alias("upstream_km"))
     each = cells.withColumn("basin_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda x: x.cast("string"))))
     return hydro.delineate(each, outlets, 10.0, 20).drop("geom")
+
+
+# elevation and report data
+
+
+@query("""
+WITH g AS (SELECT p_partkey AS fid, CAST(p_size AS BIGINT) * 300 AS width, (1 + p_partkey % 20) * 500 AS height FROM part),
+s AS (SELECT *, CASE WHEN width * height < 1000000 THEN 5000 ELSE least(5000, CAST(ceil(greatest(width, height) / 2) AS BIGINT)) END AS side FROM g),
+r AS (SELECT *, unnest(range(0, height, side)) AS "row" FROM s), c AS (SELECT *, unnest(range(0, width, side)) AS col FROM r)
+SELECT fid, col, "row", least(side, width - col) AS w, least(side, height - "row") AS h FROM c
+""")
+def tile_plan(spark, sf):
+    k = F.col("p_partkey")
+    g = table(spark, sf, "part").select(k.alias("fid"), (F.col("p_size").cast("long") * 300).alias("width"), ((1 + k % 20) * 500).alias("height"))
+    return elevation.tile_plan(g, "fid")
+
+
+@query("""
+WITH e AS (SELECT p_brand, p_partkey, 150 + sum(5 + p_size / 4.0) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) > 281 AS over FROM part)
+SELECT p_brand, p_partkey, max(over) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS deferred FROM e
+""")
+def section_packing(spark, sf):
+    blocks = table(spark, sf, "part").select("p_brand", "p_partkey", (5 + F.col("p_size") / 4.0).alias("height"))
+    return report.placed(blocks, "p_brand", "p_partkey", "height", 150.0, 281.0).select("p_brand", "p_partkey", "deferred")
+
+
+@query(f"""
+WITH g AS {X.sql_cells(_ZSQL)}, s AS (SELECT max(r) + 1 AS h, 50 AS w FROM g), f AS (SELECT h, w, greatest(greatest(h, w) / 16.0, 1.0) AS f FROM s),
+t AS (SELECT h, w, CASE WHEN f <= 1 THEN h ELSE greatest(2, CAST(floor(h / f) AS BIGINT)) END AS th, CASE WHEN f <= 1 THEN w ELSE greatest(2, CAST(floor(w / f) AS BIGINT)) END AS tw FROM f),
+a AS (SELECT *, unnest(range(th)) AS tr FROM t), b AS (SELECT *, unnest(range(tw)) AS tc FROM a)
+SELECT tr AS r, tc AS c, z FROM b JOIN g ON g.r = CAST(floor((tr + 0.5) * h / th) AS BIGINT) AND g.c = CAST(floor((tc + 0.5) * w / tw) AS BIGINT)
+""")
+def relief_decimate(spark, sf):
+    return report.decimated(X.grid(spark, sf, _Z), [], F.col("h"), F.col("w"), 16)
+
+
+@query(f"""
+WITH g AS {X.sql_cells(_ZSQL)}, s AS (SELECT max(r) + 1 AS h FROM g), a AS (SELECT h, unnest(range(2 * h)) AS fr FROM s), t AS (SELECT h, fr, unnest(range(100)) AS fc FROM a),
+p AS (SELECT *, least(greatest((fr + 0.5) / 2 - 0.5, 0), h - 1) AS pr, least(greatest((fc + 0.5) / 2 - 0.5, 0), 49) AS pc FROM t),
+q AS (SELECT *, CAST(floor(pr) AS BIGINT) AS r0, CAST(floor(pc) AS BIGINT) AS c0 FROM p)
+SELECT fr AS r, fc AS c, round((a.z * (1 - (pc - c0)) + b.z * (pc - c0)) * (1 - (pr - r0)) + (d.z * (1 - (pc - c0)) + e.z * (pc - c0)) * (pr - r0), 6) AS z
+FROM q JOIN g a ON a.r = r0 AND a.c = c0 JOIN g b ON b.r = r0 AND b.c = least(c0 + 1, 49) JOIN g d ON d.r = least(r0 + 1, h - 1) AND d.c = c0 JOIN g e ON e.r = least(r0 + 1, h - 1) AND e.c = least(c0 + 1, 49)
+""")
+def relief_upsample(spark, sf):
+    return report.upsampled(X.grid(spark, sf, _Z), [], F.col("h"), F.col("w"), 2).withColumn("z", F.round("z", 6))
+
+
+@query(f"""
+WITH g AS {X.sql_cells(_ZSQL)}, p AS (SELECT s_suppkey AS line, unnest(range(12)) AS n FROM supplier), q AS (SELECT line, n, (line * 7 % 40 + n) * 10 + 5 AS x, (line % 3 + n // 2) * 10 + 5 AS y FROM p),
+m AS (SELECT q.*, g.z FROM q LEFT JOIN (SELECT * FROM g WHERE z > 25) g ON g.c = x // 10 AND g.r = y // 10), i AS (SELECT *, sum(CASE WHEN z IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY n ROWS UNBOUNDED PRECEDING) AS piece FROM m)
+SELECT line, n, CAST(piece AS BIGINT) AS piece, z FROM (SELECT * FROM i WHERE z IS NOT NULL) QUALIFY count(*) OVER (PARTITION BY line, piece) >= 2
+""")
+def line_on_grid(spark, sf):
+    p = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("line"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("n"))
+    p = p.withColumns({"x": (F.col("line") * 7 % 40 + F.col("n")) * 10 + 5, "y": (F.col("line") % 3 + F.expr("n div 2")) * 10 + 5})
+    return report.laid_on(p, X.grid(spark, sf, _Z).where("z > 25"), [], "line", "n", 10.0).select("line", F.col("n").cast("long").alias("n"), "piece", "z")
+
+
+@query("""
+WITH l AS (SELECT p_partkey AS fid, [p_partkey % 256, p_partkey * 3 % 256, p_partkey * 7 % 256] AS b, p_size / 100.0 AS a1, (p_partkey % 10) / 10.0 AS a2 FROM part),
+m AS (SELECT fid, list_transform(b, lambda x: 200 * a1 + x * (1 - a1)) AS m, a2 FROM l)
+SELECT fid, CAST(floor(m[1] * (1 - a2) + 10 * a2) AS INTEGER) AS red, CAST(floor(m[2] * (1 - a2) + 20 * a2) AS INTEGER) AS green, CAST(floor(m[3] * (1 - a2) + 30 * a2) AS INTEGER) AS blue FROM m
+""")
+def composed_layers(spark, sf):
+    k = F.col("p_partkey")
+    one = lambda rgb, opacity: F.struct(F.array(*map(F.lit, rgb)).alias("rgb"), F.lit(255.0).alias("alpha"), opacity.alias("opacity"))
+    layers_ = F.array(one((200, 200, 200), F.col("p_size") / 100.0), one((10, 20, 30), (k % 10) / 10.0))
+    out = report.composed(F.array(k % 256, k * 3 % 256, k * 7 % 256), layers_)
+    return table(spark, sf, "part").select(k.alias("fid"), *[F.get(out, F.lit(i)).alias(n) for i, n in enumerate(("red", "green", "blue"))])
