@@ -72,13 +72,18 @@ def slices(benchmark: DataFrame, most: int = SLICE) -> Iterator[list[tuple[str,
         yield lot
 
 
+def found_in(docs: DataFrame) -> list[str]:
+    """Names of the columns that ``scan`` adds."""
+    return common.fresh(docs, "n_words", "hit_words", "items")
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = SLICE) -> DataFrame:
-    """``docs`` with n_words, hit_words (first and past-the-last word of each hit run, flat) and items (sorted)."""
+    """``docs`` with n_words, hit_words (first and past-the-last word of each hit run, flat) and items (sorted);
+    where ``docs`` has such a column, with underscores behind."""
     sc = docs.sparkSession.sparkContext
-    own = [f"`{c}`" for c in docs.columns]
-    extra = "n_words long, hit_words array<long>, items array<string>"
-    schema = f"{docs._jdf.schema().toDDL()}, {extra}"
-    now = docs.selectExpr(*own, "cast(0 as bigint) as n_words", "cast(array() as array<bigint>) as hit_words", "cast(array() as array<string>) as items")
+    a, b, c = found_in(docs)
+    schema = f"{docs._jdf.schema().toDDL()}, {a} long, {b} array<long>, {c} array<string>"
+    now = docs.selectExpr(*common.own(docs), f"cast(0 as bigint) as {a}", f"cast(array() as array<bigint>) as {b}", f"cast(array() as array<string>) as {c}")
     previous = None
     for lot in slices(benchmark, most):
         shared = sc.broadcast(lot)
@@ -123,7 +128,7 @@ def _union(flat: list[int]) -> list[int]:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return scan(docs, benchmark).where("size(hit_words) = 0").select(*[f"`{c}`" for c in docs.columns])
+    return scan(docs, benchmark).where(F.size(found_in(docs)[1]) == 0).select(*common.own(docs))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

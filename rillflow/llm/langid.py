@@ -130,7 +130,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected."""
+    """``docs`` with lang_pred, score and rejected; where ``docs`` has such a column, with underscores behind."""
+    added = common.fresh(docs, "lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spot = docs.columns.index("text")
 
@@ -146,9 +147,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     rejected[at] = ~ok
                     for k, x in zip(at, which):
                         lang[k] = m.langs[x]
-            yield pa.record_batch([*batch.columns, pa.array(lang), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+            yield pa.record_batch([*batch.columns, pa.array(lang), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, *added])
 
-    return docs.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, {added[0]} string, {added[1]} double, {added[2]} boolean")
 
 
 def held_out() -> Column:
@@ -162,7 +163,7 @@ def classify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected."""
-    return classify(docs).where("not rejected").select(*[f"`{c}`" for c in docs.columns])
+    return classify(docs).where(~F.col(common.fresh(docs, "rejected")[0])).select(*common.own(docs))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,10 +80,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return each.groupBy("key").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
 
 
-_OUT = "text string, n_lines long, n_dropped long"
-
-
-def _rewritten(batch: pa.RecordBatch, spot: int, gone: list, names: list[str]) -> pa.RecordBatch:
+def _rewritten(batch: pa.RecordBatch, spot: int, gone: list, names: list[str], added: tuple[str, str] = ("n_lines", "n_dropped")) -> pa.RecordBatch:
     """The batch with the lines flagged in ``gone`` (by row: a set of line numbers) taken out."""
     texts, n_lines, n_dropped = [], [], []
     for text, drop in zip(batch.column(spot), gone):
@@ -94,14 +91,15 @@ def _rewritten(batch: pa.RecordBatch, spot: int, gone: list, names: list[str]) -
         texts.append("\n".join(x for k, x in enumerate(parts) if k not in drop) if drop else text)
     cols = list(batch.columns[: len(names)])
     cols[spot] = pa.array(texts, pa.string())
-    return pa.record_batch([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+    return pa.record_batch([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, *added])
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, most_keys: int = MOST_KEYS) -> DataFrame:
-    """``docs`` with recurring lines out of text, and n_lines and n_dropped."""
+    """``docs`` with recurring lines out of text, and n_lines and n_dropped (where ``docs`` has such a column, with underscores behind)."""
     hot, _ = common.materialize(recurring(docs, min_docs), "lines-hot")
     names, spot, id_spot = docs.columns, docs.columns.index("text"), docs.columns.index("doc_id")
-    schema = f"{docs._jdf.schema().toDDL()}, n_lines long, n_dropped long"
+    n_lines, n_dropped, key, lost_lines = common.fresh(docs, "n_lines", "n_dropped", "_d", "_gone")
+    schema = f"{docs._jdf.schema().toDDL()}, {n_lines} long, {n_dropped} long"
     if hot.count() <= most_keys:
         got = hot.select("key", F.coalesce("first", F.lit(None)).alias("first")).orderBy("key").toArrow()
         shared = docs.sparkSession.sparkContext.broadcast((got["key"].to_numpy(), got["first"].to_pylist()))
@@ -114,7 +112,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, most_keys: int = MOST_
                 for doc, text in zip(batch.column(id_spot).to_pylist(), batch.column(spot)):
                     text = text.as_py()
                     gone.append({k for k, line in enumerate(text.split("\n")) if any(index[t] is not None and index[t] != doc for t in templates(line) if t in index)} if text and index else ())
-                yield _rewritten(batch, spot, gone, names)
+                yield _rewritten(batch, spot, gone, names, (n_lines, n_dropped))
 
         return docs.mapInArrow(run, schema)
 
@@ -126,21 +124,22 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, most_keys: int = MOST_
     digest = F.xxhash64("doc_id", "text")
     nodes = common.map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), digest.alias("h")), reached, "_h long, _doc long, _line long, key long")
     lost = nodes.join(hot.where("first is not null"), "key").where(~F.col("_doc").eqNullSafe(F.col("first"))).select("_h", "_line").distinct()
-    gone = lost.groupBy("_h").agg(F.collect_list("_line").alias("_gone"))
-    joined = docs.withColumn("_d", digest).join(gone, F.col("_d") == F.col("_h"), "left").select(*[f"`{c}`" for c in names], "_gone")
+    gone = lost.groupBy("_h").agg(F.collect_list("_line").alias(lost_lines)).withColumnRenamed("_h", key)
+    joined = docs.withColumn(key, digest).join(gone, key, "left").select(*common.own(docs), lost_lines)
 
     def apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield _rewritten(batch, spot, [set(g or ()) for g in batch.column(len(names)).to_pylist()], names)
+        yield _rewritten(batch, spot, [set(g or ()) for g in batch.column(len(names)).to_pylist()], names, (n_lines, n_dropped))
 
     return common.map_arrow(joined, apply, schema)
 
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents less their recurring lines, n_chars (if there) to match; those of which nothing is left go."""
-    kept = drop_lines(docs, min_docs).where("n_lines > n_dropped or n_dropped = 0")
+    n_lines, n_dropped = map(F.col, common.fresh(docs, "n_lines", "n_dropped"))
+    kept = drop_lines(docs, min_docs).where((n_lines > n_dropped) | (n_dropped == 0))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+        kept = kept.withColumn("n_chars", F.when(n_dropped > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*common.own(docs))
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,8 +133,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The documents of which the mix takes something, with the words that it takes."""
-    takes = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("taken")).where("taken > 0")
-    return docs.join(takes, docs.doc_id == F.col("_id")).drop("_id")
+    key, taken = common.fresh(docs, "_id", "taken")
+    takes = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("taken").alias(taken)).where(F.col(taken) > 0)
+    return docs.join(takes, F.col("doc_id") == F.col(key)).drop(key)
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,7 +162,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` less all but one of each group of near-duplicates (the smallest doc_id stays)."""
+    """The rows of ``docs`` less all but one of each group of near-duplicates (the smallest doc_id stays).
+
+    Of rows that share a doc_id one stays; rows without doc_id cannot be told apart, and go.
+    """
     kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs.doc_id == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
 
