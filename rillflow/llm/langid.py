@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from rillflow.llm import common
 
 DIM = 1 << 12
-SAMPLE = 1000
+SAMPLE = 600
 #: Most texts of the fit, whatever the number of languages.
-TOTAL = 8000
+TOTAL = 4000
 CENTROIDS = 4
 FLOOR = 0.25
+#: Least share of a language's texts that a centroid must own, lest a few mixed texts make one.
+SHARE = 0.1
 _ROUNDS = 12
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes below 128 that are not letters become spaces.
@@ -82,8 +84,10 @@ class Model:
             self.floor[~np.isfinite(self.floor)] = 0
 
     def unit(self, vectors: np.ndarray) -> np.ndarray:
-        v = np.log1p(vectors) * self.idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        v = np.log1p(vectors)
+        v *= self.idf
+        v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v))[:, None], 1e-12)
+        return v
 
     @staticmethod
     def _cluster(unit: np.ndarray) -> np.ndarray:
@@ -96,7 +100,8 @@ class Model:
             near = (unit @ centre.T).argmax(axis=1)
             centre = np.stack([unit[near == k].sum(axis=0) if (near == k).any() else centre[k] for k in range(len(centre))])
             centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-        return centre
+        size = np.bincount((unit @ centre.T).argmax(axis=1), minlength=len(centre))
+        return centre[size >= min(size.max(), SHARE * len(unit))]
 
     def predict(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number, cosine and acceptance of each row of counts."""
@@ -124,9 +129,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.record_batch([pa.array([x[0] for x in lot]), pa.array([x[1].astype("<f4").tobytes() for x in lot], pa.binary())], names=["lang", "v"])
 
     drawn = rows.where(F.col("draw") < share * (1 << 30)).select("lang", "text")
-    got = common.map_arrow(drawn, vectors, "lang string, v binary").limit(sample * max(1, len(per))).collect()
-    got.sort(key=lambda r: (r.lang, bytes(r.v)))
-    return Model(np.stack([np.frombuffer(r.v, "<f4") for r in got]) if got else np.zeros((0, DIM), np.float32), [r.lang for r in got])
+    got = common.map_arrow(drawn, vectors, "lang string, v binary").limit(sample * max(1, len(per))).toArrow()
+    got = got.sort_by([("lang", "ascending"), ("v", "ascending")])
+    rows = np.frombuffer(b"".join(x.as_py() for x in got["v"]), "<f4").reshape(-1, DIM)
+    return Model(rows, got["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -149,7 +155,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                         lang[k] = m.langs[x]
             yield pa.record_batch([*batch.columns, pa.array(lang), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, *added])
 
-    return docs.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, {added[0]} string, {added[1]} double, {added[2]} boolean")
+    return common.in_arrow(docs, run, f"{docs._jdf.schema().toDDL()}, {added[0]} string, {added[1]} double, {added[2]} boolean")
 
 
 def held_out() -> Column:
