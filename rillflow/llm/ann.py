@@ -151,7 +151,7 @@ def _found(candidates: DataFrame, ids: np.ndarray, block: np.ndarray, k: int) ->
             q, c, s = search.rows()
             yield pa.record_batch([pa.array(q), pa.array(c), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    return candidates.where(F.size("v") == dim).mapInArrow(run, "query_id long, vec_id long, score double")
+    return common.in_arrow(candidates.where(F.size("v") == dim), run, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts, U+0020 and U+0009 to U+000D; also what ``bytes.split()`` splits at.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most rows and bytes of an Arrow batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return kept
 
 
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: the lineage ends here."""
+#: Rows of a file of an iteration's table.
+FILE_ROWS = 200_000
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back: the lineage ends here.
+
+    Where a bound of its rows is known, it goes into as few files as they need, not one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -68,6 +77,29 @@ def own(df: DataFrame) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
 
 
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches that stay small whatever the length of texts; larger settings of the session are lowered."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        held = conf.get(key, None)
+        if held is None or not held.isdigit() or not 0 < int(held) <= most:
+            conf.set(key, most)
+    return df.mapInArrow(fn, schema)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``rows`` rows, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
@@ -76,7 +108,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def local_forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -123,7 +155,7 @@ def connected_components(edges: DataFrame, tag: str = "components") -> tuple[Dat
             .where("u <> v")
             .distinct()
         )
-        flat_next, path_next = materialize(small, tag)
+        flat_next, path_next = materialize(small, tag, seen[0])  # a round never has more edges than the last
         now = mark(flat_next)
         discard(spark, path)
         flat, path = flat_next, path_next

@@ -110,7 +110,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int
 
         if previous is not None:
             now, previous = common.materialize(now, "decontam")
-        now, previous = now.mapInArrow(run, schema), ""
+        now, previous = common.in_arrow(now, run, schema), ""
     return now
 
 

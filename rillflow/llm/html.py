@@ -281,7 +281,7 @@ def _neighbours(sorted_pages: DataFrame) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return sorted_pages.mapInArrow(run, _ENDS)
+    return common.in_arrow(sorted_pages, run, _ENDS)
 
 
 def _join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +319,7 @@ def shared_lines(rows: DataFrame) -> DataFrame:
     flat = _addresses(rows).dropDuplicates(["row"]).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found, _ = common.materialize(_neighbours(flat), "html-lines")
     ends = found.where("part is not null").select("part", "place", *[x.split()[0] for x in _PAGE.split(", ")])
-    ends = ends.coalesce(1).sortWithinPartitions("part", "place").mapInArrow(_join_ends, "row string, shared array<boolean>")
+    ends = common.in_arrow(ends.coalesce(1).sortWithinPartitions("part", "place"), _join_ends, "row string, shared array<boolean>")
     return found.where("part is null").select("row", "shared").unionByName(ends)
 
 

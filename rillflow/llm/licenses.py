@@ -154,7 +154,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, cover: float =
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kind)], names=["doc_id", "license_id", "coverage", "start", "end"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, license_id string, coverage double, start long, end long")
+    return common.in_arrow(rows, run, "doc_id long, license_id string, coverage double, start long, end long")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

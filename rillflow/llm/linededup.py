@@ -114,7 +114,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, most_keys: int = MOST_
                     gone.append({k for k, line in enumerate(text.split("\n")) if any(index[t] is not None and index[t] != doc for t in templates(line) if t in index)} if text and index else ())
                 yield _rewritten(batch, spot, gone, names, (n_lines, n_dropped))
 
-        return docs.mapInArrow(run, schema)
+        return common.in_arrow(docs, run, schema)
 
     def reached(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = [(h, doc, k, t) for doc, text, h in zip(*(c.to_pylist() for c in batch.columns)) if text for k, line in enumerate(text.split("\n")) for t in templates(line)]

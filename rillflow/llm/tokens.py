@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of one pass; documents are cut only between words.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _R = np.uint64(0xD6E8FEB86659FD93)
 

@@ -98,7 +98,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.record_batch([[path], [size], [records]], names=["path", "bytes", "records"])
 
-    return pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "path string, bytes long, records long")
+    return common.in_arrow(pages.select("page_id", "url", "html", "digest", "refers_to"), run, "path string, bytes long, records long")
 
 
 class _Range:
