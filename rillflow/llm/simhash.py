@@ -28,7 +28,8 @@ from rillflow.llm import common
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-_PAIRS = 2_000_000
+#: Pairs of one array; the arrays of a task stay small, however large its groups.
+_PAIRS = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -92,6 +93,16 @@ def _big_group(fp: np.ndarray, probe: np.ndarray, segment: int) -> Iterator[tupl
             yield rows[i + found // len(masks)], held[at[found]]
 
 
+def _mid_group(fp: np.ndarray, probe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of one key, its table entries against all its rows, some entries at a time."""
+    held = fp[~probe]
+    for i in range(0, len(held), step := max(1, _PAIRS // len(fp))):
+        part = held[i : i + step]
+        a, b = np.nonzero(np.bitwise_count(part[:, None] ^ fp) <= RADIUS)
+        other = part[a] != fp[b]
+        yield part[a[other]], fp[b[other]]
+
+
 def _links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Verified links of whole groups of rows sorted by key."""
     cut = np.flatnonzero(np.diff(key)) + 1
@@ -99,7 +110,9 @@ def _links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> Iterator[tuple
     held = np.add.reduceat((~probe).astype(np.int64), start)
     work = held * (end - start)
     for g in np.flatnonzero(work > _PAIRS):
-        yield from _big_group(fp[start[g] : end[g]], probe[start[g] : end[g]], int(key[start[g]] >> 32))
+        own, flag = fp[start[g] : end[g]], probe[start[g] : end[g]]
+        ball = held[g] * 5489 + (len(own) - held[g]) * 529  # words of at most 3 and 2 bits of 32
+        yield from _big_group(own, flag, int(key[start[g]] >> 32)) if 4 * ball < work[g] else _mid_group(own, flag)
     fit = np.flatnonzero((held > 0) & (end - start > 1) & (work <= _PAIRS))
     many = np.cumsum(work[fit])
     for lot in np.split(fit, np.searchsorted(many, np.arange(_PAIRS, many[-1], _PAIRS)) if len(fit) else []):
@@ -131,10 +144,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(nodes[moved].view(np.int64)), pa.array(nodes[root[moved]].view(np.int64))], names=["a", "b"])
 
     held = []
-    for batch in batches:
+    for batch in common.gathered(batches, 1 << 16):
         key = batch.column(0).to_numpy()
-        if not len(key):
-            continue
         cols = [key, batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
         if len(kept[0]) and kept[0][0] == key[-1]:
             held.append(cols)
@@ -153,7 +164,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     probes = _probes(groups.select("fp"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = probes.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long")
+    edges = common.in_arrow(probes.repartition(parts, "key").sortWithinPartitions("key"), _verify, "a long, b long")
     nodes, _ = common.connected_components(edges, "simhash-cc")
     member = groups.join(nodes, groups.fp == nodes.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     least = member.groupBy("component").agg(F.min("rep").alias("component_id"))

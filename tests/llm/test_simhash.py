@@ -68,7 +68,7 @@ def test_components_match_brute_force(docs_of):
 
 
 @pytest.mark.parametrize("segment", [0, 1])
-def test_big_groups_lose_no_link(segment):
+def test_big_groups_lose_no_link(segment, monkeypatch):
     rng = random.Random(8)
     other = {0xABCD1234}
     while len(other) < 300:
@@ -82,6 +82,9 @@ def test_big_groups_lose_no_link(segment):
     assert want and got == want
     few = {(int(a), int(b)) for x, y in simhash._links(np.full(len(fp), segment << 32), fp, flag) for a, b in zip(x, y)}
     assert {frozenset(p) for p in few} == {frozenset(p) for p in want}
+    monkeypatch.setattr(simhash, "_PAIRS", 1000)
+    some = {(int(a), int(b)) for x, y in simhash._links(np.full(len(fp), segment << 32), fp, flag) for a, b in zip(x, y)}
+    assert {frozenset(p) for p in some} == {frozenset(p) for p in want}
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(None, None), (None, "")]])
