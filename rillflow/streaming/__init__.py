@@ -1,0 +1 @@
+"""Empty: nothing that this library reproduces is a stream."""
