@@ -1,6 +1,6 @@
 """A corpus from ``documents``: stages that each write a table for the next.
 
-Language ID, line dedup, SimHash near-dedup, benchmark decontamination, mixing to target weights. Each
+Language ID, line dedup with removal of near copies, SimHash near-dedup, benchmark decontamination, mixing to target weights. Each
 stage works on all that its predecessor kept. Stages are functions of (spark, docs, sf_dir); their results
 go to the shared folder as Parquet, so a lost executor never costs more than the stage at hand.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import common, decontam, langid, linededup, mixing, simhash
+from rillflow.llm import common, decontam, langid, linededup, mixing, nearcopies, simhash
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.clean(docs)
+    """Line dedup, then near copies of 0.8 or more on five-word shingles; the SimHash stage after it is op1's contract."""
+    kept, _ = common.materialize(linededup.clean(docs), "pipeline-lines")
+    return nearcopies.keep_one(kept)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

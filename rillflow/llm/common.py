@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts, U+0020 and U+0009 to U+000D; also what ``bytes.split()`` splits at.
@@ -77,6 +77,12 @@ def own(df: DataFrame) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash of all columns of a row; nulls count by place, and maps, which Spark does not hash, as JSON."""
+    cols = [F.to_json(F.struct(F.col(q).alias("m"))) if "map<" in f.dataType.simpleString() else F.col(q) for q, f in zip(own(df), df.schema.fields)]
+    return F.xxhash64(*cols, *(F.col(q).isNull() for q in own(df)))
+
+
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` in batches that stay small whatever the length of texts; larger settings of the session are lowered."""
     conf = df.sparkSession.conf
