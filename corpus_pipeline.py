@@ -47,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix: the documents of the last stage, their texts what the mix takes of them, with repeats."""
     docs = common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES[:-1]):
         docs, _ = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
-    return docs
+    return common.materialize(mixing.emit(docs), "pipeline-mix")[0]

@@ -1,4 +1,4 @@
-"""Mixing sources to target weights, in DataFrame functions only.
+"""Mixing sources to target weights, in DataFrame functions but for the cutting of texts in ``emit``.
 
 A source's documents, laid end to end, are packed into blocks of ``BLOCK`` words. The mix is made of
 slots, each filled by one block. A source gets as many slots as bring it to its target; each slot
@@ -18,6 +18,10 @@ block plus half a pass of rounding on its last, partial block.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +36,10 @@ _CHUNK = 65536
 _PRIMES = (999953, 999959, 999961, 999979, 999983, 1000003, 1000033, 1000037)
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, *keys: Column) -> DataFrame:
+    """doc_id, source, size and the given keys of every document."""
     count = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(common.WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), count.alias("size"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), count.alias("size"), *keys)
 
 
 def targets(sized: DataFrame, repeats: int = REPEATS) -> DataFrame:
@@ -96,34 +101,44 @@ def shard_counts(sources: DataFrame) -> DataFrame:
 
 def layout(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Every document with its first word's place in its source, summed lane by lane."""
+    keys = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     lane = F.pmod(F.xxhash64("doc_id"), F.lit(LANES))
-    placed = sized.join(sources.select(F.col("source").alias("_s"), "rank"), sized.source.eqNullSafe(F.col("_s"))).select("doc_id", "size", "rank", lane.alias("lane"))
+    placed = sized.join(sources.select(F.col("source").alias("_s"), "rank"), sized.source.eqNullSafe(F.col("_s"))).select("doc_id", "size", "rank", lane.alias("lane"), *keys)
     lanes = placed.groupBy("rank", "lane").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("rank").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lanes = lanes.select("rank", "lane", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("rank", "lane").orderBy("doc_id", "size")
+    within = Window.partitionBy("rank", "lane").orderBy("doc_id", "size", *keys)
     run = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     return (
         placed.withColumn("pos", F.row_number().over(within))
         .withColumn("run", run)
         .join(lanes, ["rank", "lane"])
-        .select("doc_id", "size", "rank", "lane", "pos", (F.col("base") + F.col("run")).alias("start"))
+        .select("doc_id", "size", "rank", "lane", "pos", *keys, (F.col("base") + F.col("run")).alias("start"))
     )
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
-    sized, _ = common.materialize(sizes(docs), "mix-size")
-    sources, _ = common.materialize(targets(sized), "mix-source")
+def pieces(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """The mix itself: the layout's documents cut at blocks, with first (word of the document), words and uses of each piece.
+
+    Uses are null where no slot reads the block, words where the document is empty.
+    """
     placed = layout(sized, sources)
     last = F.col("start") + F.col("size")
     block = F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / BLOCK), F.floor((last - 1) / BLOCK))))
-    words = F.least(last, (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK)
-    pieces = placed.withColumn("block", block).withColumn("words", words)
+    first = F.greatest("start", F.col("block") * BLOCK)
+    words = F.least(last, (F.col("block") + 1) * BLOCK) - first
+    cut = placed.withColumn("block", block).withColumn("words", words).withColumn("first", first - F.col("start"))
     used = slots(sources).groupBy("rank", "block").agg(F.count("*").alias("uses"))
+    return cut.join(used.hint("merge"), ["rank", "block"], "left")  # Spark estimates slots by the sources they come from, a few rows
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document."""
+    sized, _ = common.materialize(sizes(docs), "mix-size")
+    sources, _ = common.materialize(targets(sized), "mix-source")
     taken = F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0))
     return (
-        pieces.join(used.hint("merge"), ["rank", "block"], "left")  # Spark estimates slots by the sources they come from, a few rows
+        pieces(sized, sources)
         .groupBy("rank", "lane", "pos", "doc_id", "size")
         .agg(taken.alias("taken"))
         .join(sources.select("rank", "source_size", "target"), "rank")
@@ -131,12 +146,59 @@ def mix(docs: DataFrame) -> DataFrame:
     )
 
 
+def taken_text(text: str, parts: list[tuple[int, int, int]]) -> str:
+    """The words of the pieces (first, words, uses), each as often as used: pass after pass in the document's order.
+
+    Pieces that meet keep the white space between them; others are set apart by a line end.
+    """
+    spans = [m.span() for m in re.finditer(common.WORD, text)]
+    out, parts = [], sorted(parts)
+    for turn in range(max(p[2] for p in parts)):
+        runs: list[list[int]] = []
+        for first, words, uses in parts:
+            if uses > turn:
+                if runs and runs[-1][1] == first:
+                    runs[-1][1] += words
+                else:
+                    runs.append([first, first + words])
+        out += [text[spans[a][0] : spans[b - 1][1]] for a, b in runs]
+    return "\n".join(out)
+
+
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The documents of which the mix takes something, with the words that it takes."""
+    """The documents of which the mix takes something, whole and once, with the words that it takes; ``emit`` gives the mix."""
     key, taken = common.fresh(docs, "_id", "taken")
     takes = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("taken").alias(taken)).where(F.col(taken) > 0)
     return docs.join(takes, F.col("doc_id") == F.col(key)).drop(key)
 
 
+def emit(docs: DataFrame) -> DataFrame:
+    """The mix by document: text (and n_chars, if there) is what the slots take of it, with repeats; taken counts its words.
+
+    Rows are told apart by all their columns, whatever their doc_id; equal rows have each their own share.
+    """
+    row, key, takes, parts, taken = common.fresh(docs, "_row", "_key", "_takes", "_parts", "taken")
+    whole = common.row_hash(docs)
+    sized, _ = common.materialize(sizes(docs, whole.alias("row")), "mix-size")
+    sources, _ = common.materialize(targets(sized), "mix-source")
+    each = pieces(sized, sources).where("uses > 0 and words > 0").groupBy("rank", "lane", "pos", "row").agg(F.collect_list(F.struct("first", "words", "uses")).alias("parts"))
+    shares = each.groupBy(F.col("row").alias(key)).agg(F.collect_list("parts").alias(takes))
+    names, spot = docs.columns, docs.columns.index("text")
+    dealt = docs.withColumn(row, whole).join(shares, F.col(row) == F.col(key)).dropDuplicates([row]).select(*common.own(docs), F.explode(takes).alias(parts))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, counts = [], []
+        for text, held in zip(batch.column(spot), batch.column(len(names))):
+            own = [(p["first"], p["words"], p["uses"]) for p in held.as_py()]
+            texts.append(taken_text(str(text.as_py()), own))
+            counts.append(sum(w * u for _, w, u in own))
+        cols = list(batch.columns[: len(names)])
+        cols[spot] = pa.array(texts, pa.string())
+        yield pa.record_batch([*cols, pa.array(counts, pa.int64())], names=[*names, taken])
+
+    out = common.map_arrow(dealt, run, f"{docs._jdf.schema().toDDL()}, {taken} long")
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents"))

@@ -105,3 +105,39 @@ def test_apply(docs_of):
     kept = mixing.apply_mix(docs)
     assert kept.columns == [*docs.columns, "taken"]
     assert all(r.taken > 0 for r in kept.collect())
+
+
+def test_emit_holds_what_is_taken(docs_of):
+    """Texts hold the words taken, with repeats, so sources come out on target."""
+    rows = [(i, f" d{i}" + "".join(f" {i}w{k}" + "\n" * (k % 7 == 0) for k in range(n)), "en", s) for i, (n, s) in enumerate([(2000, "a"), (700, "b"), (40, "b"), (900, "c"), (90, "c"), (1, "a")] * 3)]
+    docs = docs_of(rows)
+    want = brute_targets({s: sum(size_of(t) for _, t, _, x in rows if x == s) for s in "abc"})
+    digest = {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
+    got = mixing.emit(docs).collect()
+    texts, words = {r[0]: r[1] for r in rows}, Counter()
+    for r in got:
+        assert size_of(r.text) == r.taken and r.n_chars == len(r.text)
+        own = Counter(texts[r.doc_id].split())
+        assert all(n <= 3 * own[w] for w, n in Counter(r.text.split()).items())
+        words[r.source] += size_of(r.text)
+    assert {r.doc_id: r.taken for r in got} == digest
+    for s, t in want.items():
+        assert abs(words[s] - t) <= max(0.02 * t, 2 * mixing.BLOCK), s
+
+
+def test_emit_tells_rows_of_one_id_apart(docs_of):
+    rows = [(1, "a b c d", "en", "x"), (1, "e f g", "en", "x"), (None, "h i", "en", "x"), (1, "a b c d", "en", "x"), (2, None, "en", "x")]
+    got = Counter(w for r in mixing.emit(docs_of(rows, extra=True)).collect() for w in r.text.split())
+    assert got == Counter("abcdabcdefghi")
+
+
+def test_taken_text():
+    text = " one two\nthree  four five"
+    assert mixing.taken_text(text, [(0, 2, 1), (2, 1, 2), (4, 1, 1)]) == "one two\nthree\nfive\nthree"
+
+
+def test_pipeline_returns_the_mix(spark, sf_dir):
+    import corpus_pipeline as P
+
+    out = P.run(spark, sf_dir).select("text", "taken").collect()
+    assert out and all(size_of(r.text) == r.taken for r in out)
