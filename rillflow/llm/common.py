@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine's only where none is named (tests)."""
+    """The cluster's shared folder; a folder of this machine's only where none is named and no other machine takes part (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         return f"{full.getScheme()}://{full.getAuthority() or ''}{full.getPath()}".rstrip("/")
     kept = spark.conf.get("rillflow.shared.dir", None)
     if kept is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         kept = f"file://{tempfile.mkdtemp(prefix='rillflow-')}"
         spark.conf.set("rillflow.shared.dir", kept)
     return kept
@@ -83,6 +85,18 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*cols, *(F.col(q).isNull() for q in own(df)))
 
 
+def one_of_each(docs: DataFrame, kept: DataFrame, row: str, first: str) -> DataFrame:
+    """The rows of ``docs`` whose hash is in column ``first`` of ``kept``; of rows equal in all columns, one.
+
+    Equal rows are found by their hashes, so texts move only where a join by hash needs them.
+    """
+    marked = docs.withColumn(row, row_hash(docs))
+    many, _ = materialize(marked.groupBy(F.col(row).alias(first)).count().where("count > 1").select(first), "repeated")
+    found = marked.join(kept, F.col(row) == F.col(first), "left_semi")
+    single, repeated = (found.join(many, F.col(row) == F.col(first), how) for how in ("left_anti", "left_semi"))
+    return single.unionByName(repeated.dropDuplicates([row])).select(*own(docs))
+
+
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` in batches that stay small whatever the length of texts; larger settings of the session are lowered."""
     conf = df.sparkSession.conf

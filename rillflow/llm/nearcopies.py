@@ -1,8 +1,10 @@
-"""Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near-duplicates of the pipeline: SimHash groups on five-word shingles, and all pairs of a Jaccard similarity of 0.8 or more.
 
-A SimHash of 64 bits cannot tell 0.8 from chance at any radius that an index bears, so candidates come
-from MinHash: ``BANDS`` bands of ``ROWS`` values, of which a pair at 0.8 shares none with probability
-3e-6. Every candidate is verified on the whole sets. Equal sets are one node before any lookup. In each
+Fingerprints of five-word shingles are linked by multi-index hashing (``simhash``) at 3 bits. At 0.8, two sets differ in 15 %
+of the bits on average (10 of 64), and no table of segments and balls finds that surely: segments of 24 bits with balls of
+radius 1 on both sides find 27 % of such pairs each, so 0.99 would take 15 tables and 375 rows a text. What the fingerprints
+leave is therefore found by MinHash: ``BANDS`` bands of ``ROWS`` values, of which a pair at 0.8 shares none with probability
+3e-6. Every candidate of these is verified on the whole sets. Equal sets are one node before any lookup. In each
 bucket all first meet the least member; then those that are still in different components meet each
 other, less the pairs that a bitmap proves too far apart: a bit is the parity of the shingles that hash
 to it, so bits that differ never outnumber shingles that do.
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm import common
+from rillflow.llm import common, simhash
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -70,20 +72,20 @@ def _sid(held: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """th (hash of the text), sid (name of the shingle set), size, bits and bands of every distinct text."""
+    """th (hash of the text), fp (SimHash), sid (name of the shingle set), size, bits and bands of every distinct text."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[] for _ in range(4)]
+        cols: list[list] = [[] for _ in range(5)]
         for x in batch.column(1):
             text = x.as_py()
             held = shingles(text)
-            for col, v in zip(cols, (_sid(held), len(held), bitmap(held), bands(held) if len(held) else [])):
+            for col, v in zip(cols, (simhash.signed(simhash.fingerprint(text, SHINGLE)), _sid(held), len(held), bitmap(held), bands(held) if len(held) else [])):
                 col.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        yield pa.record_batch([batch.column(0), *map(pa.array, cols, kinds)], names=["th", "sid", "size", "bits", "bands"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        yield pa.record_batch([batch.column(0), *map(pa.array, cols, kinds)], names=["th", "fp", "sid", "size", "bits", "bands"])
 
     rows = docs.select(F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string"))
-    return common.map_arrow(rows, run, "th long, sid long, size long, bits binary, bands array<long>").dropDuplicates(["th"])
+    return common.map_arrow(rows, run, "th long, fp long, sid long, size long, bits binary, bands array<long>").dropDuplicates(["th"])
 
 
 def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
@@ -149,7 +151,9 @@ def components(docs: DataFrame) -> DataFrame:
     least = entries.groupBy("key").agg(F.min("sid").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     met, _ = common.materialize(entries.join(least, "key"), "near-met")
     stars, _ = common.materialize(met.where("sid <> a").select("a", F.col("sid").alias("b")).distinct(), "near-stars")
-    nodes, _ = common.connected_components(_verified(stars, heads, docs), "near-cc")
+    alike, _ = common.materialize(seen.select("fp", "sid").distinct().join(simhash.labels(seen), "fp").select("component", "sid"), "near-alike")
+    alike = alike.join(alike.groupBy("component").agg(F.min("sid").alias("a")), "component").where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+    nodes, _ = common.connected_components(_verified(stars, heads, docs).unionByName(alike), "near-cc")
 
     placed = met.select("key", "sid").join(nodes.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
@@ -164,9 +168,9 @@ def components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` less all but the one of the smallest doc_id (null last) of each component."""
-    th, row, first = common.fresh(docs, "_th", "_row", "_first")
+    row, first = common.fresh(docs, "_row", "_first")
     label, _ = common.materialize(components(docs), "near-label")
-    marked = docs.withColumn(th, F.xxhash64(F.col("text").cast("string"))).withColumn(row, common.row_hash(docs))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"))
-    kept = marked.select(th, order.alias("o")).join(label, F.col(th) == F.col("th")).groupBy("component").agg(F.min("o").alias("o")).select(F.col("o.row").alias(first))
-    return marked.join(kept, F.col(row) == F.col(first), "left_semi").dropDuplicates([row]).select(*common.own(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), common.row_hash(docs).alias("row"))
+    heads = docs.select(F.xxhash64(F.col("text").cast("string")).alias("_th"), order.alias("o")).groupBy("_th").agg(F.min("o").alias("o"))
+    kept = heads.join(label, F.col("_th") == F.col("th")).groupBy("component").agg(F.min("o").alias("o")).select(F.col("o.row").alias(first))
+    return common.one_of_each(docs, kept, row, first)

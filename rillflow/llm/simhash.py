@@ -5,12 +5,13 @@ into two 32-bit segments; of two linked fingerprints, one segment differs in at
 every distinct fingerprint is entered in a table under both segments, and looks up the Hamming ball
 of radius one around each (each pair once: from the side whose differing bit is clear). What is
 found is verified on all 64 bits. Equal texts have one fingerprint, so groups of copies are one row
-before any lookup; and each task reduces the links that it verified to a spanning forest, so even a
-segment that thousands of near copies share emits no more rows than it holds.
+before any lookup; and each task folds the links that it verifies, block by block, into a spanning forest, so even a
+segment that thousands of near copies share holds and emits no more rows than it has fingerprints.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and links like
 any other; rows with a null doc_id get a fingerprint, but cannot name a component; repeated rows
 are kept, each with the same result; an empty table gives an empty result; extra columns are ignored.
+``keep_one`` tells rows apart by all their columns: of a group, the row of the smallest doc_id stays (null last, then the smallest text).
 """
 
 from __future__ import annotations
@@ -51,11 +52,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * count > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def signed(fp: int) -> int:
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, of every row."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
+        fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
         yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
@@ -135,12 +140,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)]
 
     def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        pairs = list(_links(*cols)) if len(cols[0]) else []
-        if pairs:
-            a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            root = common.local_forest(at[: len(a)], at[len(a) :], len(nodes))
-            moved = root != np.arange(len(nodes))
+        if not len(cols[0]):
+            return
+        nodes = np.unique(cols[1])
+        root = np.arange(len(nodes))
+        for a, b in _links(*cols):  # each block of links joins trees of the forest, and is forgotten
+            if len(a):
+                root = root[common.local_forest(root[np.searchsorted(nodes, a)], root[np.searchsorted(nodes, b)], len(nodes))[root]]
+                while not np.array_equal(jumped := root[root], root):
+                    root = jumped
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        if len(moved):
             yield pa.record_batch([pa.array(nodes[moved].view(np.int64)), pa.array(nodes[root[moved]].view(np.int64))], names=["a", "b"])
 
     held = []
@@ -157,28 +167,42 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit([np.concatenate([k, *(h[i] for h in held)]) for i, k in enumerate(kept)])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def labels(fps: DataFrame) -> DataFrame:
+    """fp and component, the smallest fingerprint that links reach, of every distinct ``fp``."""
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = fps.select("fp").distinct()
+    edges = common.in_arrow(_probes(groups).repartition(parts, "key").sortWithinPartitions("key"), _verify, "a long, b long")
+    nodes, _ = common.connected_components(edges, "simhash-cc")
+    return groups.join(nodes, groups.fp == nodes.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach, of every row of ``docs``."""
-    spark = docs.sparkSession
-    fps, _ = common.materialize(fingerprints(docs), "simhash-fp")
+    fps, _ = common.materialize(fingerprints(docs, shingle), "simhash-fp")
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    probes = _probes(groups.select("fp"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = common.in_arrow(probes.repartition(parts, "key").sortWithinPartitions("key"), _verify, "a long, b long")
-    nodes, _ = common.connected_components(edges, "simhash-cc")
-    member = groups.join(nodes, groups.fp == nodes.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    member, _ = common.materialize(groups.join(labels(fps), "fp"), "simhash-member")
     least = member.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = member.select("fp", "component").join(least, "component").select("fp", "component_id")
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` less all but one of each group of near-duplicates (the smallest doc_id stays).
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of near-duplicates.
 
-    Of rows that share a doc_id one stays; rows without doc_id cannot be told apart, and go.
+    The row of the smallest doc_id stays (null last, then by the hash of all columns), so no group is lost for want of an id.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    row, first = common.fresh(docs, "_row", "_first")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        made = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(2)), np.uint64, batch.num_rows)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], names=["row", "doc_id", "fp"])
+
+    rows = docs.select(common.row_hash(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    fps, _ = common.materialize(common.map_arrow(rows, run, "row long, doc_id long, fp long"), "simhash-rows")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("o")
+    best, _ = common.materialize(fps.groupBy("fp").agg(order), "simhash-best")
+    kept = best.join(labels(best), "fp").groupBy("component").agg(F.min("o").alias("o")).select(F.col("o.row").alias(first))
+    return common.one_of_each(docs, kept, row, first)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,10 @@ def test_keep_one(docs_of):
     kept = simhash.keep_one(docs_of([(3, "a b c d"), (2, "a b c d"), (9, "completely different words in here"), (2, "a b c d")]))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 9]
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_keep_one_loses_no_text(docs_of):
+    """Rows without doc_id, and unlike rows of one doc_id, are rows like others."""
+    rows = [(None, "a text without id stands here"), (None, "another text, and again no id"), (None, "a text without id stands here"), (4, "one text of the id four"), (4, "something else under this id"), (7, "a text without id stands here"), (None, None), (8, "")]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs_of(rows, extra=True), 5).collect()), key=repr)
+    assert kept == sorted([(None, rows[1][1]), rows[3], rows[4], rows[5], (8, "")], key=repr)
