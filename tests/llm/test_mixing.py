@@ -66,7 +66,7 @@ def test_reruns_agree(docs_of):
     assert one == two
 
 
-def test_slots_are_permutations(spark, docs_of):
+def test_slots_are_permutations(docs_of):
     sources = mixing.targets(mixing.sizes(docs_of(corpus())))
     n = {r["rank"]: r.blocks for r in sources.collect()}
     by = defaultdict(list)
@@ -74,8 +74,49 @@ def test_slots_are_permutations(spark, docs_of):
         by[r["rank"], r.slot // n[r["rank"]]].append(r.block)
     for (rank, _), blocks in by.items():
         assert len(set(blocks)) == len(blocks) and set(blocks) <= set(range(n[rank]))
-    counts = mixing.shard_counts(sources).groupBy("rank").sum("slots").collect()
-    assert {r[0]: r[1] for r in counts} == {r["rank"]: r["slots"] for r in sources.where("slots > 0").collect()}
+
+
+def test_counts_are_drawn_for_shards_and_filled(spark, docs_of, monkeypatch):
+    """Each shard holds as many slots of a source as were drawn for it, and the draws of a source add up to its slots."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
+    sources = mixing.targets(mixing.sizes(docs_of(corpus())))
+    counts = {(r["rank"], r.shard): r["count"] for r in mixing.shard_counts(sources).collect()}
+    total, made = Counter(), Counter((r["rank"], r.shard) for r in mixing.slots(sources).collect())
+    assert made == counts and len({k for _, k in counts}) > 5
+    for (rank, _), c in counts.items():
+        total[rank] += c
+    assert total == {r["rank"]: r["slots"] for r in sources.where("slots > 0").collect()}
+    # as a multinomial draw scatters: the largest source, over the shards, by its variance
+    rank, n = total.most_common(1)[0]
+    shards = max(k for _, k in counts) + 1
+    chi = sum((counts.get((rank, k), 0) - n / shards) ** 2 / (n / shards) for k in range(shards))
+    assert 0.2 * shards < chi < 3 * shards
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 12, 97, 1000, 4099])
+def test_permutation(spark, n):
+    from pyspark.sql import functions as F
+
+    made = spark.range(3 * n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long")).alias("p"), "id").orderBy("id").collect()
+    passes = [[r.p for r in made[k * n : (k + 1) * n]] for k in range(3)]
+    assert all(sorted(p) == list(range(n)) for p in passes)
+    if n >= 97:
+        assert passes[0] != passes[1] and len({(b - a) % n for a, b in zip(passes[0], passes[0][1:])}) > n // 3  # no equal strides
+
+
+def test_shards_hold_the_mix(docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 50)
+    rows = [(i, f" d{i}" + "".join(f" {i}w{k}" + "\n" * (k % 7 == 0) for k in range(n)), "en", s) for i, (n, s) in enumerate([(2000, "a"), (700, "b"), (40, "b"), (900, "c"), (90, None), (1, "a")] * 3)]
+    docs = docs_of(rows)
+    got = mixing.shards(docs).collect()
+    assert all(size_of(r.text) <= mixing.BLOCK for r in got) and len({r.shard for r in got}) > 3
+    assert len({(r.shard, r.place) for r in got}) == len(got)
+    words, want = Counter(), Counter()
+    for r in got:
+        words.update((r.source, w) for w in r.text.split())
+    for r in mixing.emit(docs).collect():
+        want.update((r.source, w) for w in r.text.split())
+    assert words == want
 
 
 def test_taken_matches_brute_force(spark, docs_of):
@@ -100,13 +141,6 @@ def test_one_source_and_empty(docs_of):
     assert [tuple(r) for r in mixing.mix(docs_of([(1, None, None, None)])).collect()] == [(1, 0, 0, 0.0, 0)]
 
 
-def test_apply(docs_of):
-    docs = docs_of(corpus(60, 2))
-    kept = mixing.apply_mix(docs)
-    assert kept.columns == [*docs.columns, "taken"]
-    assert all(r.taken > 0 for r in kept.collect())
-
-
 def test_emit_holds_what_is_taken(docs_of):
     """Texts hold the words taken, with repeats, so sources come out on target."""
     rows = [(i, f" d{i}" + "".join(f" {i}w{k}" + "\n" * (k % 7 == 0) for k in range(n)), "en", s) for i, (n, s) in enumerate([(2000, "a"), (700, "b"), (40, "b"), (900, "c"), (90, "c"), (1, "a")] * 3)]
@@ -131,9 +165,31 @@ def test_emit_tells_rows_of_one_id_apart(docs_of):
     assert got == Counter("abcdabcdefghi")
 
 
-def test_taken_text():
+def test_taken_text(spark):
+    from pyspark.sql import functions as F
+
+    def made(text, *parts):
+        held = F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip(("first", "words", "uses"), p))) for p in parts))
+        return spark.createDataFrame([(text,)], "text string").select(mixing._taken_text(F.col("text"), held)).first()[0]
+
     text = " one two\nthree  four five"
-    assert mixing.taken_text(text, [(0, 2, 1), (2, 1, 2), (4, 1, 1)]) == "one two\nthree\nfive\nthree"
+    assert made(text, (0, 2, 1), (2, 1, 2), (4, 1, 1)) == "one two\nthree\nfive\nthree"
+    assert made(text, (0, 5, 1)) == "one two\nthree  four five"
+    assert made("a \n\n b  c \n", (0, 1, 2), (1, 2, 2)) == "a \n\n b  c\na \n\n b  c"
+    assert made("a \nb \n\nc d", (0, 3, 1), (3, 1, 1)) == "a \nb \n\nc d"
+    assert size_of(made("w " * 100_000, *((i, 32, 1) for i in range(0, 99_000, 64)))) == 1547 * 32
+
+
+def test_sources_without_number_end_in_targets(docs_of):
+    """Hundreds of sources, with ties in name order and in size: as the brute force shares."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([0, 1, 1, 2, 50, 400]), "en", f"s{rng.randrange(300)}") for i in range(900)]
+    sizes = defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s] += size_of(t)
+    want = brute_targets(dict(sizes))
+    got = {r.source: r.target for r in mixing.targets(mixing.sizes(docs_of(rows))).collect()}
+    assert got == pytest.approx(want)
 
 
 def test_pipeline_returns_the_mix(spark, sf_dir):
