@@ -1,6 +1,6 @@
 """A corpus from ``documents``: stages that each write a table for the next.
 
-Language ID, line dedup with removal of near copies, SimHash near-dedup, benchmark decontamination, mixing to target weights. Each
+Language ID, line dedup, SimHash near-dedup, benchmark decontamination, mixing to target weights. Each
 stage works on all that its predecessor kept. Stages are functions of (spark, docs, sf_dir); their results
 go to the shared folder as Parquet, so a lost executor never costs more than the stage at hand.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import common, decontam, langid, linededup, mixing, nearcopies, simhash
+from rillflow.llm import common, decontam, langid, linededup, mixing, nearcopies
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,13 +17,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup, then near copies of 0.8 or more on five-word shingles; the SimHash stage after it is op1's contract."""
-    kept, _ = common.materialize(linededup.clean(docs), "pipeline-lines")
-    return nearcopies.keep_one(kept)
+    return linededup.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """Groups of SimHash on five-word shingles, with the pairs of 0.8 or more that its fingerprints leave."""
+    return nearcopies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.apply_mix(docs)
+    """The mix itself: texts cut and repeated as the slots take them, with the words taken."""
+    return mixing.emit(docs)
 
 
 STAGES = [
@@ -47,8 +47,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix: the documents of the last stage, their texts what the mix takes of them, with repeats."""
     docs = common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
+    for k, (_, stage) in enumerate(STAGES):
         docs, _ = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
-    return common.materialize(mixing.emit(docs), "pipeline-mix")[0]
+    return docs
