@@ -2,12 +2,15 @@
 
 A text becomes a TF-IDF vector of its letter n-grams (one to three bytes of the lower-case UTF-8 text,
 everything that is not a letter read as a space), hashed to ``DIM`` places and scaled to length one.
-Each language has ``CENTROIDS`` centroids from spherical k-means. A text gets the language of the
-centroid of highest cosine; it is rejected if that cosine is below ``FLOOR`` times the lowest that
-training texts of about its length, or longer ones, reach with their own language.
-
-The classifier is fitted on at most ``SAMPLE`` labelled texts of each language (those of the smallest
-hashes of doc_id, whole texts, ``TOTAL`` in all); document frequencies, centroids and rejection bounds come from them.
+Each language has up to ``CENTROIDS`` centroids from spherical k-means. A text gets the language of the
+centroid of highest cosine. It is rejected if that cosine, over the median cosine of training texts of about its length,
+is below a bound: the ``QUANTILE`` lowest such ratio of the training texts, ``RATIO`` at most, so that few texts
+do not set a bound that many would not.
+
+Document frequencies come from all training texts, medians and bound from all of one in ``FOLD`` of them that the centroids
+are not fitted on. The centroids are fitted on a bounded sample: at most ``SAMPLE`` labelled whole texts of each language, those of the
+smallest hashes of doc_id and text, of about ``TOTAL`` in all, for the ``LANGUAGES`` most frequent languages (ties by
+code point); rarer ones are not learned, nor is a language that has texts in the other fold alone.
 Prediction reads the text alone.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; rows without
@@ -23,19 +26,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm import common
 
 DIM = 1 << 12
 SAMPLE = 600
-#: Most texts of the fit, whatever the number of languages.
+#: Most texts of the fit, but for ``LEAST`` of each language.
 TOTAL = 4000
+LEAST = 8
+LANGUAGES = 4096
 CENTROIDS = 4
-FLOOR = 0.25
-#: Least share of a language's texts that a centroid must own, lest a few mixed texts make one.
+#: One in so many training texts sets the bound of rejection.
+FOLD = 4
+QUANTILE = 0.002
+RATIO = 0.3
+#: Texts that a centroid must own: this share of its language's, or TIGHT that lie closer to it than those of the largest do.
 SHARE = 0.1
+TIGHT = 5
+LEVELS = 16
+_BINS = 1000
 _ROUNDS = 12
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes below 128 that are not letters become spaces.
@@ -61,27 +72,38 @@ def counts(text: str) -> np.ndarray:
 
 
 def _level(total: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(total, 1)).astype(int), 15)
+    return np.minimum(np.log2(np.maximum(total, 1)).astype(int), LEVELS - 1)
 
 
 class Model:
     """idf, unit centroids with their languages, and the lowest accepted cosine by length."""
 
-    def __init__(self, vectors: np.ndarray, langs: list[str]):
+    def __init__(self, vectors: np.ndarray, langs: list[str], texts: int, frequency: np.ndarray):
+        """From the sample's counts and languages, and the number of all training texts that each place occurs in."""
         self.langs = sorted(set(langs))
-        total = vectors.sum(axis=1)
-        self.idf = np.log((1 + len(vectors)) / (1 + (vectors > 0).sum(axis=0, dtype=np.float64))).astype(np.float32) + np.float32(0.1)
+        self.idf = np.log((1 + texts) / (1 + frequency.astype(np.float64))).astype(np.float32) + np.float32(0.1)
         unit, label = self.unit(vectors), np.array([self.langs.index(x) for x in langs], int)
         parts = [self._cluster(unit[label == k]) for k in range(len(self.langs))]
         self.centroids = np.concatenate(parts) if parts else np.zeros((0, DIM), np.float32)
         self.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        self.floor = np.zeros(16)
-        if len(langs):
-            best = np.where(self.owner == label[:, None], unit @ self.centroids.T, -1).max(axis=1)
-            level = _level(total)
-            low = [best[level == k].min() * FLOOR if (level == k).any() else np.inf for k in range(16)]
-            self.floor = np.minimum.accumulate(low[::-1])[::-1]  # a shorter text is never held to more than a longer one
-            self.floor[~np.isfinite(self.floor)] = 0
+        self.floor = np.zeros(LEVELS)
+
+    def calibrate(self, seen: np.ndarray) -> None:
+        """Set the bounds from ``seen``: how many training texts of each length reach each cosine, in ``_BINS`` steps."""
+        n = seen.sum(axis=1)
+        if not n.sum():
+            return
+        middle = np.array([(np.searchsorted(np.cumsum(row), (k + 1) // 2) + 0.5) / _BINS if k else np.nan for row, k in zip(seen, n)])
+        for k in range(1, LEVELS):  # lengths without a text: as the next shorter ones, or scaled down from longer ones
+            if np.isnan(middle[k]):
+                middle[k] = middle[k - 1]
+        for k in range(LEVELS - 2, -1, -1):
+            if np.isnan(middle[k]):
+                middle[k] = middle[k + 1] / np.sqrt(2)
+        ratio = ((np.arange(_BINS) + 0.5) / _BINS / middle[:, None]).ravel()
+        order = np.argsort(ratio, kind="stable")
+        least = ratio[order][np.searchsorted(np.cumsum(seen.ravel()[order]), QUANTILE * n.sum(), "right")]
+        self.floor = min(RATIO, least) * middle
 
     def unit(self, vectors: np.ndarray) -> np.ndarray:
         v = np.log1p(vectors)
@@ -100,8 +122,11 @@ class Model:
             near = (unit @ centre.T).argmax(axis=1)
             centre = np.stack([unit[near == k].sum(axis=0) if (near == k).any() else centre[k] for k in range(len(centre))])
             centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-        size = np.bincount((unit @ centre.T).argmax(axis=1), minlength=len(centre))
-        return centre[size >= min(size.max(), SHARE * len(unit))]
+        cosine = unit @ centre.T
+        near = cosine.argmax(axis=1)
+        size = np.bincount(near, minlength=len(centre))
+        close = np.bincount(near, cosine.max(axis=1), minlength=len(centre)) / np.maximum(size, 1)
+        return centre[(size >= min(size.max(), SHARE * len(unit))) | (size >= TIGHT) & (close >= close[size.argmax()])]
 
     def predict(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number, cosine and acceptance of each row of counts."""
@@ -113,26 +138,58 @@ class Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from rows that have text, lang and doc_id: at most ``sample`` of each language."""
-    rows = docs.where("doc_id is not null and lang is not null and text is not null").select(
-        F.col("lang").cast("string"), F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw")
-    )
-    per = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
-    sample = min(sample, TOTAL // max(1, len(per)))
-    share = F.lit(0).cast("double")
-    for lang, n in per.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 0.8 * sample / n if n > sample else 1.0))).otherwise(share)
-
-    def vectors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = [(lang, counts(text)) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _LETTER.search(text)]
-        for i in range(0, len(keep), 256):
-            lot = keep[i : i + 256]
-            yield pa.record_batch([pa.array([x[0] for x in lot]), pa.array([x[1].astype("<f4").tobytes() for x in lot], pa.binary())], names=["lang", "v"])
-
-    drawn = rows.where(F.col("draw") < share * (1 << 30)).select("lang", "text")
-    got = common.map_arrow(drawn, vectors, "lang string, v binary").limit(sample * max(1, len(per))).toArrow()
-    got = got.sort_by([("lang", "ascending"), ("v", "ascending")])
-    rows = np.frombuffer(b"".join(x.as_py() for x in got["v"]), "<f4").reshape(-1, DIM)
-    return Model(rows, got["lang"].to_pylist())
+    rows = docs.where("doc_id is not null and lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"), "doc_id")
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id", "text"), F.lit(FOLD)))
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
+    per = {r[0]: r[1] for r in rows.where("fold > 0").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sample = min(sample, max(LEAST, TOTAL // max(1, len(per))))
+    share = docs.sparkSession.sparkContext.broadcast({lang: int((1.5 * sample + 20) / n * (1 << 30)) for lang, n in per.items()})
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sample's counts, and at last in how many texts of the task each place occurs."""
+        share_, texts, seen, names = share.value, 0, np.zeros(DIM, np.int64), ["lang", "draw", "v", "place", "n"]
+        kinds = (pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                out: list[tuple] = []
+                for lang, text, draw in zip(*(batch.column(c)[i : i + 256].to_pylist() for c in range(3))):
+                    if _LETTER.search(text):
+                        v = counts(text)
+                        texts, seen = texts + 1, seen + (v > 0)
+                        if draw < share_.get(lang, 0):
+                            out.append((lang, draw, v.astype("<f4").tobytes(), None, None))
+                if out:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+        if texts:
+            places, n = [-1, *np.flatnonzero(seen).tolist()], [texts, *seen[seen > 0].tolist()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(([None] * len(n), [None] * len(n), [None] * len(n), places, n), kinds)], names=names)
+
+    drawn, path = common.materialize(common.in_arrow(rows.where("fold > 0").select("lang", "text", "draw"), vectors, "lang string, draw long, v binary, place int, n long"), "langid")
+    seen = {r[0]: r[1] for r in drawn.where("place is not null").groupBy("place").agg(F.sum("n")).collect()}
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "v"))
+    got = drawn.where("place is null").withColumn("nth", first).where(F.col("nth") <= sample).select("lang", "v").toArrow().sort_by([("lang", "ascending"), ("v", "ascending")])
+    common.discard(docs.sparkSession, path)
+    frequency = np.array([seen.get(k, 0) for k in range(DIM)])
+    model = Model(np.frombuffer(b"".join(x.as_py() for x in got["v"]), "<f4").reshape(-1, DIM), got["lang"].to_pylist(), seen.get(-1, 0), frequency)
+    if model.langs:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros((LEVELS, _BINS), np.int64)
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    held = [counts(t) for t in batch.column(0)[i : i + 256].to_pylist() if _LETTER.search(t)]
+                    if held:
+                        _, score, _ = shared.value.predict(v := np.stack(held))
+                        np.add.at(table, (_level(v.sum(axis=1)), np.minimum((score * _BINS).astype(int), _BINS - 1)), 1)
+            level, step = np.nonzero(table)
+            yield pa.record_batch([pa.array(level, pa.int32()), pa.array(step, pa.int32()), pa.array(table[level, step])], names=["level", "step", "n"])
+
+        seen_at = np.zeros((LEVELS, _BINS), np.int64)
+        for level, step, n in common.in_arrow(rows.where("fold = 0").select("text"), reached, "level int, step int, n long").groupBy("level", "step").agg(F.sum("n")).collect():
+            seen_at[level, step] = n
+        model.calibrate(seen_at)
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -46,6 +46,56 @@ def test_edges(docs_of):
     assert not kept & {500, 501, 502} and {d for d, *_ in corpus(90)} <= kept | {None}
 
 
+FOREIGN = {
+    "pl": "zażółć gęślą jaźń przez wszystkie dni tygodnia kiedy szczęście sprzyja odważnym ludziom wczoraj wieczorem poszliśmy do kina".split(),
+    "hu": "az őszi napokban gyakran sétálok a folyó partján ahol fák levelei sárgára pirosra színeződnek miközben gyerekek játszanak".split(),
+    "fi": "suomen kielessä on paljon pitkiä sanoja ja monimutkaisia taivutusmuotoja jotka tekevät siitä haastavan oppia".split(),
+}
+
+
+def test_foreign_and_junk_texts_are_rejected(docs_of):
+    """Texts in unlearned languages of the same script, and random letters, go; texts of learned languages stay."""
+    rng = random.Random(9)
+    known = corpus(900, 3)
+    texts = [" ".join(rng.choice(FOREIGN[x]) for _ in range(n)) for x in FOREIGN for n in (12, 40, 300) for _ in range(5)]
+    texts += [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(n)) for n in (12, 40, 300) for _ in range(5)]
+    rows = [*known, *((5000 + i, t, None) for i, t in enumerate(texts))]
+    kept = {r.doc_id for r in langid.keep_known(docs_of(rows)).collect()}
+    assert len(kept & {d for d, *_ in known}) >= 0.99 * len(known)
+    assert len(kept - {d for d, *_ in known}) <= 0.1 * len(texts)
+
+
+def test_predictions_match_a_plain_classifier(docs_of):
+    """The whole query against n-gram counts, TF-IDF and cosines in plain Python, with the model's centroids."""
+    rows = corpus(160, 8)
+    docs = docs_of(rows)
+    model = langid.fit(docs.where(~langid.held_out()))
+    got = {r.doc_id: r for r in langid.classify(docs).collect()}
+    for d, text, _ in rows[:40]:
+        data = b" " + "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).encode() + b" "
+        v = np.zeros(langid.DIM)
+        for n in (1, 2, 3):
+            for i in range(len(data) - n + 1):
+                g = data[i : i + n]
+                if not (n < 3 and set(g) == {32}):
+                    code = g[0] if n == 1 else g[0] * 257 + g[1] if n == 2 else (g[0] * 257 + g[1]) * 65599 + g[2] * 31
+                    v[((code % 2**32) * 2654435761 % 2**32) >> 20] += 1
+        v = np.log1p(v) * model.idf
+        cosine = model.centroids @ (v / np.linalg.norm(v))
+        assert got[d].lang_pred == model.langs[model.owner[cosine.argmax()]]
+        assert abs(got[d].score - cosine.max()) < 1e-4
+
+
+def test_every_language_is_learned(docs_of):
+    """Hundreds of labels, some of a few texts each."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rng, rows = random.Random(2), []
+    for k in range(300):
+        words = ["".join(rng.choice(alphabet) for _ in range(6)) for _ in range(6)]
+        rows += [(len(rows) + j, " ".join(rng.choice(words) for _ in range(30)), f"l{k:03d}") for j in range(9)]
+    assert len(langid.fit(docs_of(rows)).langs) == 300
+
+
 def test_nothing_to_learn(docs_of):
     assert [r.lang_pred for r in langid.classify(docs_of([(1, "text", None)])).collect()] == ["und"]
     assert langid.classify(docs_of([])).count() == 0

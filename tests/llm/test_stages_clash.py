@@ -43,7 +43,7 @@ def test_stage(spark, folder, k, rows):
     if rows is ROWS and k == 2:
         assert sorted(r["doc_id"] for r in found if (r["doc_id"] or 0) >= 100) == [100, 200, 202]
         assert [r["text"] for r in found if r["doc_id"] is None] == ["no id but a text of some words"]
-        assert any(r["text"].startswith("again the id five") for r in found)
+        assert any((r["text"] or "").startswith("again the id five") for r in found)
 
 
 def test_line_dedup_by_join(spark, monkeypatch):
