@@ -7,7 +7,7 @@ centroid of highest cosine. It is rejected if that cosine, over the median cosin
 is below a bound: the ``QUANTILE`` lowest such ratio of the training texts, ``RATIO`` at most, so that few texts
 do not set a bound that many would not.
 
-Document frequencies come from all training texts, medians and bound from all of one in ``FOLD`` of them that the centroids
+Document frequencies, each language's share averaged over the languages, come from all training texts, medians and bound from all of one in ``FOLD`` of them that the centroids
 are not fitted on. The centroids are fitted on a bounded sample: at most ``SAMPLE`` labelled whole texts of each language, those of the
 smallest hashes of doc_id and text, of about ``TOTAL`` in all, for the ``LANGUAGES`` most frequent languages (ties by
 code point); rarer ones are not learned, nor is a language that has texts in the other fold alone.
@@ -21,6 +21,7 @@ digest and kept by the filter.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ LANGUAGES = 4096
 CENTROIDS = 4
 #: One in so many training texts sets the bound of rejection.
 FOLD = 4
-QUANTILE = 0.002
+QUANTILE = 0.001
 RATIO = 0.3
 #: Texts that a centroid must own: this share of its language's, or TIGHT that lie closer to it than those of the largest do.
 SHARE = 0.1
@@ -79,7 +80,7 @@ class Model:
     """idf, unit centroids with their languages, and the lowest accepted cosine by length."""
 
     def __init__(self, vectors: np.ndarray, langs: list[str], texts: int, frequency: np.ndarray):
-        """From the sample's counts and languages, and the number of all training texts that each place occurs in."""
+        """From the sample's counts and languages, the number of all training texts, and how many of as many, balanced by language, hold each place."""
         self.langs = sorted(set(langs))
         self.idf = np.log((1 + texts) / (1 + frequency.astype(np.float64))).astype(np.float32) + np.float32(0.1)
         unit, label = self.unit(vectors), np.array([self.langs.index(x) for x in langs], int)
@@ -146,31 +147,36 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     share = docs.sparkSession.sparkContext.broadcast({lang: int((1.5 * sample + 20) / n * (1 << 30)) for lang, n in per.items()})
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sample's counts, and at last in how many texts of the task each place occurs."""
-        share_, texts, seen, names = share.value, 0, np.zeros(DIM, np.int64), ["lang", "draw", "v", "place", "n"]
+        """The sample's counts, and at last in how many of the task's texts of a language each place occurs (-1: in how many texts)."""
+        share_, texts, seen, names = share.value, Counter(), {}, ["lang", "draw", "v", "place", "n"]
         kinds = (pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 out: list[tuple] = []
                 for lang, text, draw in zip(*(batch.column(c)[i : i + 256].to_pylist() for c in range(3))):
-                    if _LETTER.search(text):
+                    if lang in share_ and _LETTER.search(text):
                         v = counts(text)
-                        texts, seen = texts + 1, seen + (v > 0)
-                        if draw < share_.get(lang, 0):
+                        texts[lang] += 1
+                        seen.setdefault(lang, np.zeros(DIM, np.int32))[v > 0] += 1
+                        if draw < share_[lang]:
                             out.append((lang, draw, v.astype("<f4").tobytes(), None, None))
                 if out:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-        if texts:
-            places, n = [-1, *np.flatnonzero(seen).tolist()], [texts, *seen[seen > 0].tolist()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(([None] * len(n), [None] * len(n), [None] * len(n), places, n), kinds)], names=names)
+        for lang, held in seen.items():
+            places, n = [-1, *np.flatnonzero(held).tolist()], [texts[lang], *held[held > 0].tolist()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(([lang] * len(n), [None] * len(n), [None] * len(n), places, n), kinds)], names=names)
 
     drawn, path = common.materialize(common.in_arrow(rows.where("fold > 0").select("lang", "text", "draw"), vectors, "lang string, draw long, v binary, place int, n long"), "langid")
-    seen = {r[0]: r[1] for r in drawn.where("place is not null").groupBy("place").agg(F.sum("n")).collect()}
+    sums = drawn.where("place is not null").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    sizes = sums.where("place = -1").select("lang", F.col("n").alias("texts"))
+    shares = sums.join(sizes, "lang").groupBy("place").agg(F.sum("n").alias("n"), F.sum(F.col("n") / F.col("texts")).alias("share"))
+    seen = {r.place: (r.n, r.share) for r in shares.collect()}  # a row for each of DIM places
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "v"))
     got = drawn.where("place is null").withColumn("nth", first).where(F.col("nth") <= sample).select("lang", "v").toArrow().sort_by([("lang", "ascending"), ("v", "ascending")])
     common.discard(docs.sparkSession, path)
-    frequency = np.array([seen.get(k, 0) for k in range(DIM)])
-    model = Model(np.frombuffer(b"".join(x.as_py() for x in got["v"]), "<f4").reshape(-1, DIM), got["lang"].to_pylist(), seen.get(-1, 0), frequency)
+    texts, langs = seen.get(-1, (0, 0.0))
+    frequency = np.array([round(seen.get(k, (0, 0.0))[1] / max(langs, 1) * texts, 6) for k in range(DIM)])
+    model = Model(np.frombuffer(b"".join(x.as_py() for x in got["v"]), "<f4").reshape(-1, DIM), got["lang"].to_pylist(), texts, frequency)
     if model.langs:
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
