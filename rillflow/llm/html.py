@@ -4,18 +4,22 @@ Pages of a host, in order of URL path, stand beside the pages most like them in
 template. A page's lines (blocks of text, in page order) are aligned with those of the nearer
 neighbour by longest common subsequence, and lines that both share are template, not content.
 
-Two kinds of evidence bound this. A line that the markup itself marks as page furniture (menus,
-headers, footers, sidebars, notices, adverts, forms, comments) goes whether or not a neighbour shares
-it, as adverts change from page to page. And a line inside the page's article or main element stays
-even if a neighbour shares it, as copied articles share all their lines: plain differencing would
-empty them. Lines outside both are decided by the differencing alone.
+What makes lines equal: a line in a *slot* of the template (the path of the elements around it that bear a class or id, or
+are a menu, header, footer, sidebar or form by name) stands for the slot, as adverts, menus and footers fill one slot with other words on
+every page. Any other line stands for its text. The main slot of a page, its article or main element or, without one, the
+unmarked slot that holds most text, is never taken as a slot: its lines are compared by text.
+
+Three kinds of evidence bound the differencing. Lines inside the article or main element stay though a neighbour shares
+them, as copied articles share all their lines. A neighbour that shares ``COPY`` of a page's texts is a copy of it
+and says nothing of texts: the other neighbour is asked, and if that is a copy as well, slots alone are deleted. And what no neighbour
+shares, but the markup names as page furniture (an advert on one page alone, a page alone in its host), goes as well.
 
 Neighbours come from a range-partitioned sort by (host, path, page_id); the first and last page of each
 partition travel on with their neighbour inside, and the few rows of all partition ends meet in one
-short ordered pass. No host is ever gathered in a task. Lines are compared as 64-bit digests.
+short ordered pass. No host is ever gathered in a task. Lines are compared as 63-bit digests.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; unclosed,
-misnested or cut markup is read as far as it goes; a page without neighbour in its host keeps all its
+misnested or cut markup is read as far as it goes, in time linear in the page; a page without neighbour in its host keeps all its
 undecided lines; repeated rows are one page in the order, and each gets its text; rows with a null page_id are kept; an empty table gives an
 empty result; extra columns are ignored.
 """
@@ -23,9 +27,13 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import groupby
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -51,76 +59,127 @@ _MARKED = re.compile(
     re.I,
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z))", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WHITE = re.compile(r"\s+")
 
+#: Elements that a new paragraph closes together with the open one.
+_FORMAT = frozenset("b i em strong a span u font".split())
+_NAMED = re.compile(r"\b(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_NUMBER = re.compile("[0-9]+")
+
 UNDECIDED, FURNITURE, CONTENT = 0, 1, 2
+#: Share of a page's texts that makes a neighbour a copy.
+COPY = 0.8
 _PAIRS = 1 << 25
 
 
-def lines(page: str | None) -> list[tuple[str, int]]:
-    """Text and region of each block of a page that has text, in page order."""
+class _Open(NamedTuple):
+    """An open element: whether its text counts, in which region and slot, and the place of the innermost element that is no mere format."""
+
+    name: str
+    region: int
+    hidden: bool
+    slot: int
+    base: int
+
+
+_ROOT = _Open("", UNDECIDED, False, 0, -1)
+
+
+def lines(page: str | None) -> list[tuple[str, int, int]]:
+    """Text, region and slot (0: none) of each block of a page that has text, in page order."""
     page, out, held = page or "", [], []
-    stack: list[tuple[str, int, bool]] = []  # name, region, skipped
-    region, skipped = UNDECIDED, False
+    stack: list[_Open] = []
+    depth: Counter[str] = Counter()
+    now = _ROOT
 
     def close() -> None:
         if held:
             if text := _WHITE.sub(" ", entities.unescape("".join(held))).strip():
-                out.append((text, region))
+                out.append((text, now.region, now.slot))
             held.clear()
 
+    def leave(to: int) -> _Open:
+        for x in stack[to:]:
+            depth[x.name] -= 1
+        del stack[to:]
+        return stack[-1] if stack else _ROOT
+
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not skipped:
+        if stop > at and not now.hidden:
             held.append(page[at:stop])
         if not m:
             break
         at, name = m.end(), (m[2] or "").lower()
         if not name:
             continue
-        if name in _BLOCKS:
+        block = name in _BLOCKS
+        if block:
             close()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if any(x[1] != region or x[2] != skipped for x in stack[: k + 1]) or k == 0:
-                        close()
-                    del stack[k:]
-                    break
-            region, skipped = stack[-1][1:] if stack else (UNDECIDED, False)
+            if depth[name]:
+                to = len(stack) - 1
+                while stack[to].name != name:
+                    to -= 1
+                if any(x.name in _BLOCKS for x in stack[to:]):
+                    close()
+                now = leave(to)
             continue
         if name in _VOID:
             continue
-        own, hidden = region, skipped or name in _SKIPPED
+        if name == "p" and stack and stack[-1].base >= 0 and stack[stack[-1].base].name == "p":  # a paragraph ends where the next begins
+            now = leave(stack[-1].base)
+        region, hidden, slot = now.region, now.hidden or name in _SKIPPED, now.slot
         if name in _CONTENT and region == UNDECIDED:
-            own = CONTENT
-        elif name in _FURNITURE and name != "body" or _furniture(m[3]):
-            own = FURNITURE
-        if own != region or hidden != skipped:
-            close()
-        if name == "p":  # a paragraph ends where the next begins
-            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "a", "span", "u", "font"):
-                if stack[-1][0] == "p":
-                    stack.pop()
-                    break
-                if "p" not in {x[0] for x in stack}:
-                    break
-                stack.pop()
+            region = CONTENT
+        elif name in _FURNITURE or _furniture(m[3]):
+            region, hidden = (FURNITURE, hidden) if block else (region, True)
+        if block and (name in _FURNITURE or _NAMED.search(m[3])):
+            part = name + "".join(_NUMBER.sub("0", f" {x[0].lower()}={x[1] or x[2] or x[3]}") for x in _NAMED.findall(m[3]))
+            slot = _digest(f"{slot} {part}")
         if name in _RAW and not m[0].endswith("/>"):
-            shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            shut = _shut(name).search(page, at)
             at = shut.end() if shut else end
             continue
-        if not m[3].endswith("/") or name in _BLOCKS:
-            stack.append((name, own, hidden))
-            region, skipped = own, hidden
+        if not m[3].endswith("/") or block:
+            base = stack[-1].base if name in _FORMAT and stack else -1 if name in _FORMAT else len(stack)
+            stack.append(now := _Open(name, region, hidden, slot, base))
+            depth[name] += 1
     close()
     return out
 
 
+@cache
+def _shut(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def keys(found: list[tuple[str, int, int]]) -> list[int]:
+    """What each line stands for in an alignment: an odd number for its slot, an even one for its text."""
+    mass: Counter[int] = Counter()
+    if all(region != CONTENT for _, region, _ in found):
+        for text, region, slot in found:
+            if region == UNDECIDED:
+                mass[slot] += len(text)
+    main = max(mass, key=lambda k: mass[k]) if mass else None
+    own = lambda region, slot: slot and region != CONTENT and not (region == UNDECIDED and slot == main)
+    return [_digest(str(slot)) | 1 if own(region, slot) else _digest(text) & -2 for text, region, slot in found]
+
+
+def kept(found: list[tuple[str, int, int]], shared: list[bool]) -> list[str]:
+    """The lines that stay: what differencing deletes goes outside the article, and furniture by name goes as well."""
+    shared = shared or [False] * len(found)
+    return [text for (text, region, _), gone in zip(found, shared) if region == CONTENT or not gone and region != FURNITURE]
+
+
 def _furniture(attributes: str) -> bool:
     for name, *value in _ATTR.findall(attributes) if "=" in attributes or "hidden" in attributes else ():
         name, value = name.lower(), "".join(value)
@@ -134,7 +193,7 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
     After common ends are set aside, the table of the alignment is kept as bit vectors, one integer of
     len(b) bits for each entry of a; entries that the other side lacks are left out before. Where the
-    table would pass ``_PAIRS`` bits, the halves of a are aligned to the best cut of b (Hirschberg).
+    table would pass ``_PAIRS`` bits, every so many rows are kept and the rows between made again; the result is the same.
     """
     keep = np.zeros(len(a), bool)
     n = min(len(a), len(b))
@@ -151,57 +210,39 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _table(x: list, y: list) -> list[int]:
-    where: dict = {}
-    for j, v in enumerate(y):
-        where[v] = where.get(v, 0) | 1 << j
-    full = (1 << len(y)) - 1
-    state, out = full, []
-    for v in x:
-        u = state & where.get(v, 0)
-        state = (state + u | state - u) & full
-        out.append(state)
-    return out
-
-
 def _aligned(x: list, y: list) -> list[int]:
     """Indices of x in a longest common subsequence with y."""
     if not x or not y:
         return []
-    if len(x) * len(y) > _PAIRS and len(x) > 1:
-        mid = len(x) // 2
-        left = _scores(_last(x[:mid], y), len(y))
-        right = _scores(_last(x[mid:][::-1], y[::-1]), len(y))[::-1]
-        cut = int(np.argmax(left + right))
-        return _aligned(x[:mid], y[:cut]) + [mid + k for k in _aligned(x[mid:], y[cut:])]
-    table, out, j = _table(x, y), [], len(y)
-    for i in range(len(x) - 1, -1, -1):  # a zero bit is a step of the length at that place
-        while j and table[i] >> (j - 1) & 1:
-            j -= 1
-        if not j:
-            break
-        if i == 0 or table[i - 1] >> (j - 1) & 1:
-            out.append(i)
-            j -= 1
-    return out[::-1]
-
-
-def _last(x: list, y: list) -> int:
     where: dict = {}
     for j, v in enumerate(y):
         where[v] = where.get(v, 0) | 1 << j
     full = (1 << len(y)) - 1
-    state = full
-    for v in x:
-        u = state & where.get(v, 0)
-        state = (state + u | state - u) & full
-    return state
-
 
-def _scores(state: int, n: int) -> np.ndarray:
-    """Length of the common subsequence with each prefix of y, of 0 to n entries."""
-    bits = np.unpackbits(np.frombuffer(state.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n]
-    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+    def below(state: int, part: list) -> Iterator[int]:
+        for v in part:
+            u = state & where.get(v, 0)
+            state = (state + u | state - u) & full
+            yield state
+
+    step = len(x) if len(x) * len(y) <= _PAIRS else math.isqrt(len(x)) + 1
+    marks, state = [full], full  # the state before each run of rows
+    for i in range(0, len(x) - step, step):
+        for state in below(state, x[i : i + step]):
+            pass
+        marks.append(state)
+    out, j = [], len(y)
+    for k in range(len(marks) - 1, -1, -1):
+        table = [marks[k], *below(marks[k], x[k * step : (k + 1) * step])]
+        for i in range(len(table) - 1, 0, -1):  # a zero bit is a step of the length at that place
+            while j and table[i] >> (j - 1) & 1:
+                j -= 1
+            if not j:
+                return out[::-1]
+            if table[i - 1] >> (j - 1) & 1:
+                out.append(k * step + i - 1)
+                j -= 1
+    return out[::-1]
 
 
 def _address(url: str | None) -> tuple[str, str]:
@@ -227,19 +268,22 @@ def _addresses(pages: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         spots = [_address(u) for u in batch.column(2).to_pylist()]
-        digests = [[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in lines(h.as_py())] for h in batch.column(3)]
+        digests = [keys(lines(h.as_py())) for h in batch.column(3)]
         yield pa.record_batch([batch.column(0), pa.array([s[0] for s in spots]), pa.array([s[1] for s in spots]), batch.column(1), pa.array(digests, pa.list_(pa.int64()))], names=[x.split()[0] for x in _PAGE.split(", ")])
 
     return common.map_arrow(pages, run, _PAGE)
 
 
 def _shared(page: tuple, before: tuple | None, after: tuple | None) -> list[bool]:
-    """Flags of a page's lines that the nearer of its neighbours in the same host shares; ties: the one before."""
+    """Flags of a page's lines that a neighbour in the same host shares: the nearer one (ties: the one before) that is no copy."""
     near = [(_nearness(page[2], x[2]), -k, x) for k, x in enumerate((before, after)) if x is not None and x[1] == page[1]]
-    if not near:
-        return [False] * len(page[4])
-    other = max(near, key=lambda x: x[:2])[2]
-    return common_lines(np.array(page[4], np.int64), np.array(other[4], np.int64)).tolist()
+    near = [np.array(x[2][4], np.int64) for x in sorted(near, key=lambda x: x[:2], reverse=True)]
+    own = np.array(page[4], np.int64)
+    texts = own[own & 1 == 0]
+    for other in near:
+        if not len(texts) or np.isin(texts, other).mean() < COPY:
+            return common_lines(own, other).tolist()
+    return (common_lines(own, near[0]) & (own & 1 == 1)).tolist() if near else [False] * len(own)
 
 
 _ENDS = f"shared array<boolean>, part int, place int, {_PAGE}"
@@ -319,7 +363,7 @@ def shared_lines(rows: DataFrame) -> DataFrame:
     flat = _addresses(rows).dropDuplicates(["row"]).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found, _ = common.materialize(_neighbours(flat), "html-lines")
     ends = found.where("part is not null").select("part", "place", *[x.split()[0] for x in _PAGE.split(", ")])
-    ends = common.in_arrow(ends.coalesce(1).sortWithinPartitions("part", "place"), _join_ends, "row string, shared array<boolean>")
+    ends = common.in_arrow(ends.repartition(1).sortWithinPartitions("part", "place"), _join_ends, "row string, shared array<boolean>")
     return found.where("part is null").select("row", "shared").unionByName(ends)
 
 
@@ -333,9 +377,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, shared in zip(batch.column(2), batch.column(3)):
-            flag = shared.as_py() or []
-            found = lines(page.as_py())
-            texts.append("\n".join(t for (t, region), gone in zip(found, flag or [False] * len(found)) if region == CONTENT or region == UNDECIDED and not gone))
+            texts.append("\n".join(kept(lines(page.as_py()), shared.as_py() or [])))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     joined = rows.join(flags, rows.row == flags["_row"], "left").select("page_id", "url", "html", "shared")

@@ -21,15 +21,18 @@ def is_subsequence(a, b):
     return all(x in it for x in a)
 
 
-@pytest.mark.parametrize("most", [1 << 25, 40])
-def test_alignment_is_a_longest_common_subsequence(monkeypatch, most):
-    monkeypatch.setattr(html, "_PAIRS", most)
+def test_alignment_is_a_longest_common_subsequence(monkeypatch):
+    """The same one whether the table is kept whole or made again piece by piece."""
     rng = random.Random(2)
     for _ in range(300):
         a = [rng.randrange(6) for _ in range(rng.randrange(30))]
         b = [rng.randrange(6) for _ in range(rng.randrange(30))]
-        keep = html.common_lines(np.array(a, np.int64), np.array(b, np.int64))
-        kept = [x for x, k in zip(a, keep) if k]
+        flags = []
+        for most in (1 << 25, 40, 0):
+            monkeypatch.setattr(html, "_PAIRS", most)
+            flags.append(html.common_lines(np.array(a, np.int64), np.array(b, np.int64)).tolist())
+        assert flags[0] == flags[1] == flags[2]
+        kept = [x for x, k in zip(a, flags[0]) if k]
         assert len(kept) == lcs_length(a, b) and is_subsequence(kept, b)
 
 
@@ -41,8 +44,8 @@ PAGE = (
 
 
 def test_article():
-    assert [t for t, r in html.lines(PAGE.format(n=5)) if r == html.CONTENT] == ["Head é 5", "One 5 two.", "Three <b> é", "Unclosed it"]
-    assert {t for t, r in html.lines(PAGE.format(n=5)) if r == html.FURNITURE} == {"Menu", "Buy 5", "Top", "Name", "Side", "Reader 5", "© host"}
+    assert [t for t, r, _ in html.lines(PAGE.format(n=5)) if r == html.CONTENT] == ["Head é 5", "One 5 two.", "Three <b> é", "Unclosed it"]
+    assert {t for t, r, _ in html.lines(PAGE.format(n=5)) if r == html.FURNITURE} == {"Menu", "Buy 5", "Top", "Name", "Side", "Reader 5", "© host"}
 
 
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!-- open", "<script>x", "</p></p>", "<p>a<<b>c", "text only", "<a href='>'>x</a>", "<div hidden>x</div>", "<![CDATA[x]]>y", "&am &a &#xZZ;"])
@@ -89,3 +92,69 @@ def test_copies_of_an_article_stay(spark):
     rows = [(i, f"http://h/{i}", PAGE.format(n=1)) for i in range(6)]
     assert {t for *_, t in result(spark, rows)} == {"Head é 1\nOne 1 two.\nThree <b> é\nUnclosed it"}
     assert result(spark, []) == []
+
+
+def test_inline_markup_does_not_split_a_block():
+    page = '<article><p>a <b>b</b>, <a href="/x">c</a>d<script>e</script> <span class="share">no</span> <button>no</button>f</p><p>g<br>h</p></article>'
+    assert html.kept(html.lines(page), []) == ["a b, cd f", "g", "h"]
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a ", "<div><b>", "<p><div><b><b>", "</i></b>", "<p>", "<a title='", "<!--", "<script>", "&#", '<p class="x" id=y>t'])
+def test_broken_pages_take_linear_time(unit):
+    import time
+
+    start = time.time()
+    for page in (unit * (2_000_000 // len(unit)), unit * (1_000_000 // len(unit)) + "</b></p>" * 120_000, unit * (1_000_000 // len(unit)) + '"'):
+        html.lines(page)
+    assert time.time() - start < 20
+
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
+
+
+def made(rng, n, template, article):
+    """A page of random parts, and its main text."""
+    sentence = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 9))) + f" {rng.randrange(10**6)}"
+    body, out, text = [sentence() for _ in range(rng.randrange(2, 7))], [], []
+    for block in body:
+        words = block.split()
+        styled = " ".join(f"<{t}>{w}</{t}>" if (t := rng.choice(["", "", "b", "em", "a"])) else w for w in words)
+        out.append(rng.choice([f"<p>{styled}</p>", f"<p>{styled}", f"<blockquote>{styled}</blockquote>", f"<ul><li>{styled}</li></ul>"]))
+        text.append(" ".join(words))
+        if template["inner"] and rng.random() < 0.3:
+            out.append(f'<aside>{sentence()}</aside>')
+    inner = "".join(out)
+    wrap = f"<article>{inner}</article>" if article else f'<div class="story">{inner}</div>'
+    nav = "".join(f"<li>{rng.choice(WORDS)}{rng.randrange(99)}</li>" for _ in range(template["items"]))
+    page = f'<html><head><title>{sentence()}</title></head><body><ul class="{template["menu"]}">{nav}</ul><div class="{template["promo"]}">{sentence()}</div>{wrap}<div id="{template["foot"]}">{sentence()}</div></body></html>'
+    return page, "\n".join(text)
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_whole_query_against_pages_of_known_text(spark, tmp_path, article):
+    """Menus, promotions and footers bear names that no word list knows, and other words on each page; only differencing can find them."""
+    rng, rows, want = random.Random(11), [], {}
+    for host in range(6):
+        template = {"items": rng.randrange(2, 6), "menu": f"zq-{host}", "promo": f"vx-{host}", "foot": f"kk-{host}", "inner": host % 2}
+        for n in range(30):
+            page, want[len(rows)] = made(rng, n, template, article)
+            rows.append((len(rows), f"http://h{host}.example/{n % 3}/{n}", page))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in html.op2_html(spark, str(tmp_path)).collect()}
+    assert {p: r.text for p, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    bare_ = [html.kept(html.lines(h), []) for _, _, h in rows]
+    assert all(len(b) > len(want[p].split("\n")) for p, b in enumerate(bare_)), "markup alone leaves furniture on every page"
+
+
+def test_a_copy_beside_a_page_says_nothing_of_its_text(spark):
+    """Copies under neighbouring addresses, without an article element: the text stays."""
+    rows = [(i, f"http://h/{i:03d}", f"<div>Story {i // 2} is told</div><div>and it ends well {i // 2}</div>") for i in range(10)]
+    assert {t for _, _, t in result(spark, rows)} == {f"Story {k} is told\nand it ends well {k}" for k in range(5)}
+
+
+def test_long_page(spark):
+    text = "\n".join(f"line {k} of a long page" for k in range(60_000))
+    rows = [(1, "http://h/1", "<nav>x</nav><article>" + "".join(f"<p>{t}</p>" for t in text.split("\n")) + "</article>"), (2, "http://h/2", "<nav>y</nav>" + "<p>a</p>" * 50_000)]
+    got = {p: t for p, _, t in result(spark, rows)}
+    assert got[1] == text and set(got[2].split("\n")) == {"a"}
