@@ -1,46 +1,53 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
-A vector v is stored as |v|, the signs of the rotated unit vector packed into bits, and a correction:
+A vector v is stored once, in a table of codes: |v|, the signs of the rotated unit vector packed into bits, and a correction:
 the inner product a of the unit vector with its own sign vector. The rotation leads into D dimensions,
 a few times those of the vectors up to ``LONGEST``: short vectors get longer codes, as the error falls
-with D. For a query q, rotated to y, <v, q> is estimated as |v| <s, y> / a, and the part that the code
-does not see is bounded by |v| |y| ``EPSILON`` sqrt((1 - a^2) / (a^2 (D - 1))), a bound that fails with
+with D. A query q, rotated to y, is rounded to ``PLANES`` bits a dimension, kept as bit planes. So <s, y>, s the signs, is a
+weighted sum of counts of the bits that a code and a plane have in common, and <v, q> is estimated as |v| <s, y> / a,
+from packed bits and two scalars. What the code does not see is bounded by |v| |y| ``EPSILON`` sqrt((1 - a^2) / (a^2 (D - 1))), what rounding
+took by |v| ``EPSILON`` |y - rounded| / (a sqrt(D)), taken together as independent errors; the bound fails with
 a probability of about exp(-EPSILON^2 / 2). A candidate is reranked on the original vectors, in double precision and in
 the order of the dimensions, if its estimate plus bound reaches the score of the query's k-th best so far.
 
 The queries are taken in blocks of at most ``BLOCK_BYTES``, each broadcast once; every block is held
-against all rows where they lie, without a shuffle. A task keeps k rows of each query, and the tasks'
+against all codes where they lie, without a shuffle. A task keeps k rows of each query, and the tasks'
 rows meet in a ranking per query.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
-nor do rows without vec_id; a query meets the vectors of its own length only; repeated vec_ids count
-once (with the smallest vector); ties go to the smaller vec_id; an empty table gives an empty result;
+nor do rows without vec_id; a query meets the vectors of its own length only; every row is a candidate, also one of a repeated
+vec_id, and a query leaves out its own row alone; ties go to the smaller vec_id; an empty table gives an empty result;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm import common
 
 K = 20
-EPSILON = 4.0
+EPSILON = 5.0
+PLANES = 4
 #: Bits of a code: WIDER times the dimensions, up to LONGEST, and one for each dimension at least.
 WIDER, LONGEST = 8, 1024
 BLOCK_BYTES = 32 << 20
 #: Blocks whose results one plan joins.
 UNION = 16
 _ROWS = 2048
+#: Pairs of one pass over the planes, so that its arrays stay in a processor's cache.
+_CELLS = 1 << 15
 _SEED = 7
 
 
+@cache
 def rotation(dim: int) -> np.ndarray:
     """A random rotation into the dimensions of the code, the same for all: orthonormal rows from a seeded Gaussian matrix."""
     bits = max(dim, min(WIDER * dim, LONGEST))
@@ -49,19 +56,46 @@ def rotation(dim: int) -> np.ndarray:
 
 
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign bits, norms and corrections a."""
+    """Sign bits packed into words of 64, norms and corrections a."""
     norm = np.linalg.norm(vectors, axis=1)
     unit = (vectors / norm[:, None]) @ turn
-    return np.packbits(unit > 0, axis=1), norm, np.abs(unit).sum(axis=1) / np.sqrt(turn.shape[1])
-
-
-def estimate(bits: np.ndarray, norm: np.ndarray, a: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates of <v, q>, candidates by queries, and each candidate's error bound for a query of length one."""
-    dim = rotated.shape[1]
-    sign = np.unpackbits(bits, axis=1, count=dim).astype(np.float32)
-    half = rotated.sum(axis=1).astype(np.float32)
-    est = (sign @ (2 * rotated.T).astype(np.float32) - half) * (norm / (a * np.sqrt(dim))).astype(np.float32)[:, None]
-    slack = norm * EPSILON * np.sqrt(np.maximum(0, 1 - a * a) / max(1, dim - 1)) / a + norm * 1e-5
+    return _packed(unit > 0), norm, np.abs(unit).sum(axis=1) / np.sqrt(turn.shape[1])
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view("<u8")
+
+
+class Rounded:
+    """Rotated queries at ``PLANES`` bits a dimension: low + step * value, the values as bit planes."""
+
+    def __init__(self, rotated: np.ndarray):
+        self.dim, self.sum = rotated.shape[1], rotated.sum(axis=1)
+        self.low = rotated.min(axis=1)
+        self.step = np.maximum((rotated.max(axis=1) - self.low) / ((1 << PLANES) - 1), 1e-300)
+        value = np.rint((rotated - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.lost = np.linalg.norm(rotated - self.low[:, None] - self.step[:, None] * value, axis=1)
+        self.planes = [_packed(value >> j & 1) for j in range(PLANES)]
+
+
+def estimate(bits: np.ndarray, norm: np.ndarray, a: np.ndarray, queries: Rounded, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of <v, q>, candidates by queries, and their error bounds; ``length`` holds the queries' norms."""
+    scale = norm / (a * np.sqrt(queries.dim))
+    est = np.empty((len(bits), len(length)), np.float32)
+    ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    for i in range(0, len(bits), step := max(1, _CELLS // max(1, len(length)))):
+        part = bits[i : i + step]
+        total = np.zeros((len(part), len(length)), np.int32)
+        for j, plane in enumerate(queries.planes):
+            shared = np.zeros(total.shape, np.int32)
+            for w in range(bits.shape[1]):
+                shared += np.bitwise_count(part[:, w, None] & plane[:, w])
+            total += shared << j
+        signed = 2 * (queries.low * ones[i : i + step, None] + queries.step * total) - queries.sum
+        est[i : i + step] = signed * scale[i : i + step, None]
+    unseen = np.maximum(0, 1 - a * a) / max(1, queries.dim - 1)
+    slack = EPSILON * (norm / a)[:, None] * np.sqrt(unseen[:, None] * length**2 + queries.lost**2 / queries.dim) + (norm * 1e-5)[:, None] * length
     return est, slack.astype(np.float32)
 
 
@@ -76,34 +110,32 @@ def exact(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) ->
 class Search:
     """The k best of each query of one block, over the candidates that were offered so far."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.turn = rotation(vectors.shape[1])
-        self.rotated = vectors @ self.turn
-        self.columns, self.length = np.ascontiguousarray(vectors.T), np.linalg.norm(vectors, axis=1).astype(np.float32)
-        self.score = np.full((len(ids), k), -np.inf)
-        self.best = np.full((len(ids), k), np.iinfo(np.int64).max)
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.k = rows, k
+        self.rounded = Rounded(vectors @ rotation(vectors.shape[1]))
+        self.columns, self.length = np.ascontiguousarray(vectors.T), np.linalg.norm(vectors, axis=1)
+        self.score = np.full((len(rows), k), -np.inf)
+        self.best = np.full((len(rows), k), np.iinfo(np.int64).max)
 
-    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        est, slack = estimate(*encode(vectors, self.turn), self.rotated)
+    def offer(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Candidates with their rows, vec_ids, vectors and codes."""
+        est, slack = estimate(*code, self.rounded, self.length)
         columns = np.ascontiguousarray(vectors.T)
         bar = lambda: (self.score[:, -1] - 1e-6 * np.abs(self.score[:, -1])).astype(np.float32)
+        own = rows[:, None] == self.ids
         if np.isfinite(self.score[:, -1]).all():
-            self._merge(ids, columns, est + slack[:, None] * self.length >= bar())
+            self._merge(ids, columns, (est + slack >= bar()) & ~own)
             return
         # first, a few of the best estimates set the bar
-        own = ids[:, None] == self.ids
         top = min(2 * self.k, len(ids))
-        rows = np.argpartition(-np.where(own, -np.inf, est), top - 1, axis=0)[:top]
+        best = np.argpartition(-np.where(own, -np.inf, est), top - 1, axis=0)[:top]
         pick = np.zeros(est.shape, bool)
-        np.put_along_axis(pick, rows, True, axis=0)
+        np.put_along_axis(pick, best, True, axis=0)
         self._merge(ids, columns, pick & ~own)
-        self._merge(ids, columns, ~pick & (est + slack[:, None] * self.length >= bar()))
+        self._merge(ids, columns, ~pick & ~own & (est + slack >= bar()))
 
     def _merge(self, ids: np.ndarray, columns: np.ndarray, pick: np.ndarray) -> None:
         q, c = np.nonzero(pick.T)
-        other = ids[c] != self.ids[q]
-        q, c = q[other], c[other]
         if not len(q):
             return
         score = np.concatenate([exact(self.columns, columns, q[i : i + 65536], c[i : i + 65536]) for i in range(0, len(q), 65536)])
@@ -123,12 +155,23 @@ class Search:
         return np.repeat(self.ids, ok.sum(axis=1)), self.best[ok], self.score[ok]
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v, one row of each vec_id that takes part."""
+_CODES = "row long, vec_id long, v array<double>, bits binary, norm double, a double"
+
+
+def codes(vectors: DataFrame) -> DataFrame:
+    """The table of codes: row (a number of its own), vec_id, v, bits, norm and correction of every vector that takes part."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), v.alias("v"))
-    return rows.where(F.col("vec_id").isNotNull() & fine).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), v.alias("v"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = pc.list_value_length(batch.column(2)).to_numpy()
+        for dim in np.unique(size).tolist():
+            part = batch.filter(pa.array(size == dim))
+            bits, norm, a = encode(_matrix(part.column(2), dim), rotation(dim))
+            yield pa.record_batch([*part.columns, pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(norm), pa.array(a)], names=[x.split()[0] for x in _CODES.split(", ")])
+
+    return common.materialize(common.map_arrow(rows.where(F.col("vec_id").isNotNull() & fine), run, _CODES), "ann-codes")[0]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -136,53 +179,56 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _found(candidates: DataFrame, ids: np.ndarray, block: np.ndarray, k: int) -> DataFrame:
-    shared, dim = candidates.sparkSession.sparkContext.broadcast((ids, block)), block.shape[1]
+def _found(candidates: DataFrame, rows: np.ndarray, block: np.ndarray, k: int) -> DataFrame:
+    shared, dim = candidates.sparkSession.sparkContext.broadcast((rows, block)), block.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = None
         for batch in batches:
             if batch.num_rows:
                 search = search or Search(*shared.value, k)
-                vec, v = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
+                row, vec, norm, a = (batch.column(c).to_numpy() for c in (0, 1, 4, 5))
+                v, bits = _matrix(batch.column(2), dim), np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(len(row), -1)
                 for i in range(0, len(vec), _ROWS):
-                    search.offer(vec[i : i + _ROWS], v[i : i + _ROWS])
+                    j = i + _ROWS
+                    search.offer(row[i:j], vec[i:j], v[i:j], (bits[i:j], norm[i:j], a[i:j]))
         if search:
             q, c, s = search.rows()
-            yield pa.record_batch([pa.array(q), pa.array(c), pa.array(s)], names=["query_id", "vec_id", "score"])
+            yield pa.record_batch([pa.array(q), pa.array(c), pa.array(s)], names=["query", "vec_id", "score"])
 
-    return common.in_arrow(candidates.where(F.size("v") == dim), run, "query_id long, vec_id long, score double")
+    return common.in_arrow(candidates.where(F.size("v") == dim), run, "query long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest of ``vectors`` to each of ``queries`` (both vec_id, v)."""
+    """query_id, rank, vec_id and score of the k nearest of ``vectors`` to each of ``queries`` (rows of one table of codes)."""
     lots_found: list[DataFrame] = []
     dims = [(r[0], r[1]) for r in queries.groupBy(F.size("v").alias("d")).count().orderBy("d").toLocalIterator()]
     for dim, n in dims:
-        own = queries.where(F.size("v") == dim)
+        own = queries.where(F.size("v") == dim).select("row", "v")
         lots = max(1, -(-n * dim * 8 // BLOCK_BYTES))
         for lot in range(lots):
-            part = own if lots == 1 else own.where(F.pmod(F.xxhash64("vec_id"), F.lit(lots)) == lot)
-            rows = part.orderBy("vec_id").collect() if lots == 1 else sorted(part.collect())
+            part = own if lots == 1 else own.where(F.pmod(F.xxhash64("row"), F.lit(lots)) == lot)
+            rows = sorted(part.collect())
             if rows:
-                ids, block = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-                lots_found.append(_found(vectors, ids, block, k))
+                numbers, block = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+                lots_found.append(_found(vectors, numbers, block, k))
                 if len(lots_found) == UNION:  # many blocks: written so far, so that the plan stays small
                     lots_found = [common.materialize(_ranked(lots_found, k).drop("rank"), "ann-best")[0]]
     if not lots_found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return _ranked(lots_found, k).select("query_id", "rank", "vec_id", "score")
+    best = _ranked(lots_found, k).join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query")
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def _ranked(found: list[DataFrame], k: int) -> DataFrame:
     """The k best of each query over all tasks' rows."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     rows = reduce(DataFrame.unionByName, found)
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, _ = common.materialize(usable(common.table(spark, sf_dir, "embeddings")), "ann")
+    vectors = codes(common.table(spark, sf_dir, "embeddings"))
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 

@@ -23,7 +23,7 @@ def brute(vectors, k=20):
 
 
 def result(df):
-    v = ann.usable(df)
+    v = ann.codes(df)
     return {tuple(r) for r in ann.nearest(v, v.where("vec_id % 20 = 0")).collect()}
 
 
@@ -39,12 +39,18 @@ def test_recall_and_bounds():
     v = rng.standard_normal((3000, 64))
     turn = ann.rotation(64)
     assert np.allclose(turn @ turn.T, np.eye(64))
-    est, slack = ann.estimate(*ann.encode(v, turn), v[:50] @ turn)
-    wrong = np.abs(est - v @ v[:50].T) > slack[:, None] * np.linalg.norm(v[:50], axis=1)
-    assert wrong.mean() < 1e-3
-    s = ann.Search(np.arange(0, 3000, 20), v[::20], 20)
+    queries, length = v[::20], np.linalg.norm(v[::20], axis=1)
+    code = ann.encode(v, turn)
+    assert code[0].dtype == np.uint64 and code[0].shape == (3000, 8)
+    est, slack = ann.estimate(*code, ann.Rounded(queries @ turn), length)
+    wrong = np.abs(est - v @ queries.T) > slack
+    assert wrong.mean() < 1e-4 and slack.mean() < 5 * np.abs(est - v @ queries.T).mean() * 2
+    reranked = (est + slack >= np.sort(v @ queries.T, axis=0)[-20]).mean()
+    assert 0 < reranked < 0.2, "the codes leave most candidates out"
+    s = ann.Search(np.arange(0, 3000, 20), queries, 20)
     for i in range(0, 3000, 500):
-        s.offer(np.arange(i, i + 500), v[i : i + 500])
+        rows = np.arange(i, i + 500)
+        s.offer(rows, rows, v[i : i + 500], tuple(x[i : i + 500] for x in code))
     exact = v[::20] @ v.T
     exact[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
     want = np.argsort(-exact, axis=1)[:, :20]
@@ -64,6 +70,8 @@ def test_edges(spark):
     v = [[1, 0], None, [0, 0], [np.nan, 1], [None, 1], [np.inf, 1], [], [2, 0], [1, 0, 0], [3, 0, 1]]
     ids = [0, 1, 2, 3, 4, 5, 6, 7, 20, 9]
     extra = [(0, [1, 0]), (7, [2, 0])]
-    got = result(frame(spark, v + [x for _, x in extra], ids + [i for i, _ in extra]))
-    assert got == {(0, 1, 7, 2.0), (20, 1, 9, 3.0)}
+    df = frame(spark, v + [x for _, x in extra], ids + [i for i, _ in extra])
+    assert result(df) == {(0, 1, 7, 2.0), (0, 2, 7, 2.0), (0, 3, 0, 1.0), (20, 1, 9, 3.0)}
+    coded = ann.codes(df)
+    assert ann.nearest(coded, coded.where("vec_id % 20 = 0")).count() == 7, "each row of a repeated vec_id is a query and a candidate"
     assert result(frame(spark, [])) == set()
