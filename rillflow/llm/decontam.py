@@ -1,10 +1,12 @@
 """Benchmark decontamination by a broadcast set of normalised test n-grams.
 
 Windows of ``WINDOW`` consecutive words of every benchmark item (an item of fewer words is one window)
-form a hash set that is broadcast. Documents are scanned with rolling window hashes; what the set
-finds is compared word for word, and the words inside are marked. Items are broadcast in slices of at
-most ``SLICE`` bytes of text; a benchmark of more than one slice is scanned slice by slice, the marks
-so far travelling with each document, so no benchmark is too large and none is cut short.
+form a hash set that is broadcast: sorted hashes, the place of each window in one buffer of text, and its items, some
+50 bytes a window with the text. Documents are scanned with rolling window hashes; what the set
+finds is compared byte for byte with the buffer, and the words inside are marked. Items are broadcast in slices of at
+most ``SLICE`` bytes of UTF-8 text (or one item); with more than one slice, each is scanned for on its own, only what it
+hits is written, by the hash of the text, and the hits meet the documents in one join: no benchmark is too large, none is cut short,
+and the corpus is never rewritten for a slice.
 
 Defined cases: a null or empty text has no words and no hits; items of no words never occur; rows of
 the benchmark without item_id are ignored; repeated item_ids count once; repeated documents are
@@ -16,45 +18,86 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm import common, tokens
 
 WINDOW = 10
-SLICE = 16 << 20
-_BITS = 22
+SLICE = 8 << 20
+
+
+class _Set(NamedTuple):
+    """Windows of one length: sorted hashes, a bitmap of their leading bits, each one's first word, and where its items start."""
+
+    keys: np.ndarray
+    map: np.ndarray
+    shift: np.uint64
+    first: np.ndarray
+    at: np.ndarray
+    items: np.ndarray
+    odd: dict[int, list[tuple[int, list[int]]]]  # other windows of the same hash
 
 
 class Index:
-    """Windows of some items: by length, sorted hashes and a bitmap before them; by hash, words and items."""
+    """Windows of some items, in arrays."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        by_size: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for item, text in items:
-            w = tokens.words_of(text)
-            if n := min(window, len(w.hash)):
-                for i, h in enumerate(w.windows(n)[0].tolist()):
-                    by_size[n][h][w.text(i, n)].add(item)
-        self.held = {n: {h: dict(x) for h, x in by.items()} for n, by in by_size.items()}
-        self.keys = {n: np.sort(np.fromiter(by, np.uint64, len(by))) for n, by in self.held.items()}
-        self.maps = {n: np.zeros(1 << _BITS, bool) for n in self.keys}
-        for n, k in self.keys.items():
-            self.maps[n][k >> np.uint64(64 - _BITS)] = True
+        self.names = [item for item, _ in items]
+        data = [text.encode("utf-8", "surrogatepass") for _, text in items]
+        offsets = np.r_[0, np.cumsum([len(x) for x in data])].astype(np.int64)
+        w = tokens.Words(np.frombuffer(b"".join(data), np.uint8), offsets)
+        self.buf, self.start, self.end = w.buf, w.start.astype(np.int32), w.end.astype(np.int32)
+        size = np.minimum(window, np.bincount(w.doc, minlength=len(items)))
+        self.sets = {int(n): self._set(w, n, size == n) for n in np.unique(size[size > 0])}
+
+    def _set(self, w: tokens.Words, n: int, own: np.ndarray) -> _Set:
+        h, whole = w.windows(n)
+        at = np.flatnonzero(whole & own[w.doc[: len(h)]])
+        at = at[np.argsort(h[at], kind="stable")]
+        keys, start = np.unique(h[at], return_index=True)
+        odd: dict[int, dict[bytes, tuple[int, set[int]]]] = defaultdict(dict)
+        same = np.ones(len(at), bool)
+        ends = np.r_[start[1:], len(at)]
+        for g in np.flatnonzero(ends - start > 1):
+            first = self.text(at[start[g]], n)
+            for k in range(start[g] + 1, ends[g]):
+                if (text := self.text(at[k], n)) != first:
+                    same[k] = False
+                    odd[int(h[at[k]])].setdefault(text, (int(at[k]), set()))[1].add(int(w.doc[at[k]]))
+        group = np.repeat(np.arange(len(keys)), np.diff(np.r_[start, len(at)]))[same]
+        pairs = np.unique(group * np.int64(len(self.names)) + w.doc[at[same]])
+        bits = min(26, max(10, int(len(keys) * 8).bit_length()))
+        shift = np.uint64(64 - bits)
+        seen = np.zeros(1 << bits, bool)
+        seen[keys >> shift] = True
+        places = np.searchsorted(pairs // len(self.names), np.arange(len(keys) + 1))
+        return _Set(keys, seen, shift, at[start].astype(np.int32), places.astype(np.int32), (pairs % len(self.names)).astype(np.int32), {k: [(p, sorted(d)) for p, d in x.values()] for k, x in odd.items()})
+
+    def text(self, word: int, n: int) -> bytes:
+        return b" ".join(self.buf[a:b].tobytes() for a, b in zip(self.start[word : word + n], self.end[word : word + n]))
 
     def hits(self, w: tokens.Words) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, words, items) of each verified window."""
-        for n, keys in self.keys.items():
+        for n, held in self.sets.items():
             h, whole = w.windows(n)
-            at = np.flatnonzero(self.maps[n][h >> np.uint64(64 - _BITS)] & whole)
-            found = np.searchsorted(keys, h[at])
-            at = at[keys[np.minimum(found, len(keys) - 1)] == h[at]]
-            for i, key in zip(at.tolist(), h[at].tolist()):
-                if items := self.held[n][key].get(w.text(i, n)):
-                    yield i, n, items
+            at = np.flatnonzero(held.map[h >> held.shift] & whole)
+            found = np.searchsorted(held.keys, h[at])
+            ok = held.keys[np.minimum(found, len(held.keys) - 1)] == h[at]
+            for i, k in zip(at[ok].tolist(), found[ok].tolist()):
+                text = w.text(i, n)
+                if text == self.text(held.first[k], n):
+                    yield i, n, {self.names[x] for x in held.items[held.at[k] : held.at[k + 1]].tolist()}
+                for other, docs in held.odd.get(int(held.keys[k]), ()):
+                    if text == self.text(other, n):
+                        yield i, n, {self.names[x] for x in docs}
 
 
 def slices(benchmark: DataFrame, most: int = SLICE) -> Iterator[list[tuple[str, str]]]:
@@ -63,13 +106,31 @@ def slices(benchmark: DataFrame, most: int = SLICE) -> Iterator[list[tuple[str,
     total = rows.agg(F.sum(F.octet_length("text") + F.octet_length("item_id") + 16)).first()[0] or 0
     lots, lot, held = (rows.collect() if total <= most else rows.toLocalIterator()), [], 0
     for item, text in lots:
-        lot.append((item, text))
-        held += len(text) * 4
-        if held > 4 * most:
+        size = len(text.encode("utf-8", "surrogatepass")) + len(item.encode("utf-8", "surrogatepass")) + 16
+        if lot and held + size > most:
             yield lot
             lot, held = [], 0
-    if lot or total == 0:
-        yield lot
+        lot.append((item, text))
+        held += size
+    yield lot
+
+
+def _found(texts: pa.Array, index: Index | None) -> tuple[list[int], list[list[int]], list[list[str]]]:
+    """n_words, hit words (first and past-the-last of each run, flat) and items (sorted) of each text."""
+    n_words, spans, items = [], [[] for _ in texts], [set() for _ in texts]
+    for i, j, buf, offsets in tokens.chunks(texts.cast(pa.large_string())):
+        w = tokens.Words(buf, offsets)
+        first = np.searchsorted(w.doc, np.arange(j - i + 1))
+        n_words += np.diff(first).tolist()
+        for word, n, found in index.hits(w) if index else ():
+            row = int(w.doc[word])
+            own, at = spans[i + row], word - int(first[row])
+            if own and own[-2] <= at <= own[-1]:
+                own[-1] = max(own[-1], at + n)
+            else:
+                own += [at, at + n]
+            items[i + row] |= found
+    return n_words, [_union(s) for s in spans], [sorted(x) for x in items]
 
 
 def found_in(docs: DataFrame) -> list[str]:
@@ -77,41 +138,73 @@ def found_in(docs: DataFrame) -> list[str]:
     return common.fresh(docs, "n_words", "hit_words", "items")
 
 
+_HIT = "array<struct<hit_words:array<long>,items:array<string>>>"
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = SLICE) -> DataFrame:
     """``docs`` with n_words, hit_words (first and past-the-last word of each hit run, flat) and items (sorted);
     where ``docs`` has such a column, with underscores behind."""
     sc = docs.sparkSession.sparkContext
-    a, b, c = found_in(docs)
-    schema = f"{docs._jdf.schema().toDDL()}, {a} long, {b} array<long>, {c} array<string>"
-    now = docs.selectExpr(*common.own(docs), f"cast(0 as bigint) as {a}", f"cast(array() as array<bigint>) as {b}", f"cast(array() as array<string>) as {c}")
-    previous = None
-    for lot in slices(benchmark, most):
-        shared = sc.broadcast(lot)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, window)
-            for batch in batches:
-                spot = batch.schema.get_field_index("text")
-                n_words, spans, items = [], batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-                for i, j, buf, offsets in tokens.chunks(batch.column(spot).cast(pa.large_string())):
-                    w = tokens.Words(buf, offsets)
-                    first = np.searchsorted(w.doc, np.arange(j - i + 1))
-                    n_words += np.diff(first).tolist()
-                    for word, n, found in index.hits(w):
-                        row = int(w.doc[word])
-                        at = word - int(first[row])
-                        spans[i + row] = [*spans[i + row], at, at + n] if not spans[i + row] or spans[i + row][-1] < at or spans[i + row][-2] > at else [*spans[i + row][:-1], max(spans[i + row][-1], at + n)]
-                        if not found <= (had := set(items[i + row])):
-                            items[i + row] = sorted(had | found)
-                spans = [_union(s) for s in spans]
-                yield pa.record_batch(
-                    [*batch.columns[:-3], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names
-                )
-
-        if previous is not None:
-            now, previous = common.materialize(now, "decontam")
-        now, previous = common.in_arrow(now, run, schema), ""
-    return now
+    added = found_in(docs)
+    schema = f"{docs._jdf.schema().toDDL()}, {added[0]} long, {added[1]} array<long>, {added[2]} array<string>"
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+    lots = slices(benchmark, most)
+    lot, more = next(lots), next(lots, None)
+    if more is None:
+        shared = sc.broadcast(Index(lot, window))
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            made = _found(batch.column(batch.schema.get_field_index("text")), shared.value)
+            yield pa.record_batch([*batch.columns, *map(pa.array, made, kinds)], names=[*batch.schema.names, *added])
+
+        return common.map_arrow(docs, run, schema)
+
+    hits = []
+    for lot in chain((lot, more), lots):
+        hits.append(_hit(docs, sc.broadcast(Index(lot, window))))
+        if len(hits) == _UNION:
+            hits = [_joined(hits)]
+    ((one, two), hit) = common.fresh(docs, "_one", "_two"), common.fresh(docs, "_hit")[0]
+    met = _joined(hits).select(F.col("one").alias(one), F.col("two").alias(two), F.col("hit").alias(hit))
+    marked = docs.withColumn(one, _key()[0]).withColumn(two, _key()[1]).join(met, [one, two], "left").select(*common.own(docs), hit)
+
+    def merge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        made = _found(batch.column(batch.schema.get_field_index("text")), None)
+        held = [h or () for h in batch.column(batch.num_columns - 1).to_pylist()]
+        spans = [_union([x for h in own for x in h["hit_words"]]) for own in held]
+        items = [sorted({x for h in own for x in h["items"]}) for own in held]
+        yield pa.record_batch([*batch.columns[:-1], *map(pa.array, (made[0], spans, items), kinds)], names=[*batch.schema.names[:-1], *added])
+
+    return common.map_arrow(marked, merge, schema)
+
+
+#: Slices whose hits one plan joins.
+_UNION = 16
+
+
+def _key() -> tuple[Column, Column]:
+    """Two hashes of a text, of 64 and 32 bits."""
+    text = F.col("text").cast("string")
+    return F.xxhash64(text, F.length(text)), F.hash(text)
+
+
+def _hit(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """one and two (the key of a text) and hit of every text that the broadcast slice hits, written."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        _, spans, items = _found(batch.column(2), shared.value)
+        at = [k for k, s in enumerate(spans) if s]
+        held = pa.array([[{"hit_words": spans[k], "items": items[k]}] for k in at], pa.list_(pa.struct([("hit_words", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])))
+        yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), held], names=["one", "two", "hit"])
+
+    one, two = _key()
+    rows = docs.select(one.alias("one"), two.alias("two"), F.col("text").cast("string").alias("text"))
+    return common.materialize(common.map_arrow(rows, run, f"one long, two int, hit {_HIT}").dropDuplicates(["one", "two"]), "decontam-hits")[0]
+
+
+def _joined(hits: list[DataFrame]) -> DataFrame:
+    every = reduce(DataFrame.unionByName, hits).groupBy("one", "two").agg(F.flatten(F.collect_list("hit")).alias("hit"))
+    return common.materialize(every, "decontam-hits")[0]
 
 
 def _union(flat: list[int]) -> list[int]:
