@@ -6,17 +6,29 @@ import pytest
 from rillflow.llm import linededup
 
 
+def shapes(line):
+    """The templates of a line by the rule of the docstring, as tuples of tokens."""
+    words = ["<*>" if any(c in "0123456789" for c in w) else w for w in line.split()]
+    n, rest = len(words), words[2:]
+    if not n:
+        return set()
+    cuts = [len(rest) * k // 4 for k in range(5)]
+    stretches = [tuple(words[:2]), *(tuple(rest[a:b]) for a, b in zip(cuts, cuts[1:]))]
+    wild = [()] + ([(k,) for k in (1, 2, 3, 4)] if n >= 8 else []) + ([(0,), *((a, b) for a in range(5) for b in range(a))] if n >= 16 else [])
+    return {(n, frozenset(w), *("any" if k in w else x for k, x in enumerate(stretches))) for w in wild}
+
+
 def brute(rows, min_docs):
     docs, first = defaultdict(set), {}
     for k, (d, t) in enumerate(rows):
         for line in (t or "").split("\n"):
-            for key in linededup.templates(line):
+            for key in shapes(line):
                 docs[key].add(k)
                 if d is not None:
                     first[key] = min(first.get(key, d), d)
     out = []
     for d, t in rows:
-        keep = [line for line in (t or "").split("\n") if not any(len(docs[k]) >= min_docs and first.get(k, d) != d for k in linededup.templates(line))]
+        keep = [line for line in (t or "").split("\n") if not any(len(docs[k]) >= min_docs and first.get(k, d) != d for k in shapes(line))]
         out.append((d, t if t is None else "\n".join(keep)))
     return sorted(out, key=repr)
 
@@ -35,6 +47,11 @@ def corpus():
     near = line(24).split()
     for i in range(15):  # differ in one word of the last stretch
         rows.append((200 + i, " ".join([*near[:-2], word(), near[-1]])))
+    for i in range(15):  # differ in two places, the leading tokens or a stretch each
+        new = list(near)
+        for at in rng.sample((0, 1, 4, 9, 15, 22), 1 + i % 2):
+            new[at] = word()
+        rows.append((300 + i, "w" + " ".join(new)))
     return rows + [(100, None), (101, ""), (None, shared[0] + "\nown line of the nameless"), rows[0], (102, "big " * 50_000 + "\n" + shared[3])]
 
 
@@ -51,6 +68,11 @@ def test_variable_fields_share_templates():
     a, b = linededup.templates("one two three four five six seven eight nine ten"), linededup.templates("one two three four five six seven eight nine ELEVEN")
     assert a[0] != b[0] and set(a) & set(b)
     assert not set(a) & set(linededup.templates("one two X four five six seven eight nine ELEVEN"))
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen".split()
+    edited = lambda *at: " ".join("XY" if k in at else w for k, w in enumerate(long))
+    base = set(linededup.templates(" ".join(long)))
+    assert base & set(linededup.templates(edited(0, 17))) and base & set(linededup.templates(edited(3, 4, 9))) and base & set(linededup.templates(edited(1)))
+    assert not base & set(linededup.templates(edited(3, 9, 17)))
     assert linededup.templates("") == linededup.templates(" \t") == []
 
 
