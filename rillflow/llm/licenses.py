@@ -9,6 +9,8 @@ third of its length, if that is less, so that a short notice and its repetition
 matched share of the template is its coverage; candidates of ``COVER`` or more are reported with the
 span of their matched words, in code points.
 
+A template of fewer than ``K`` words is one fingerprint of all its words, and must occur whole; one without words never occurs.
+
 Defined cases: null and empty texts have no matches; repeated documents are scanned each; rows with a
 null doc_id are kept; of overlapping candidates of one template the one of higher coverage stays (ties: the first); an
 empty table or no templates give an empty result; extra columns are ignored.
@@ -16,6 +18,7 @@ empty table or no templates give an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -60,13 +63,17 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = [tokens.words_of(templates[n]) for n in self.names]
-        self.band = [min(BAND, max(1, len(w.hash) // 3)) for w in self.words]
+        self.band = [min(BAND, max(1, len(w.hash) // 3)) if len(w.hash) >= K else 0 for w in self.words]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # by number of words, then hash
         for t, w in enumerate(self.words):
-            h = w.windows(min(K, max(1, len(w.hash))))[0]
-            if len(w.hash) >= K:
+            n = len(w.hash)
+            h = w.windows(min(K, n))[0] if n else ()
+            if n >= K:
                 for p in winnowed(h):
                     self.places[int(h[p])].append((t, p))
+            elif n:
+                self.short[n][int(h[0])].append(t)
         self.keys = np.sort(np.fromiter(self.places, np.uint64, len(self.places)))
         self.map = np.zeros(1 << _BITS, bool)
         self.map[self.keys >> np.uint64(64 - _BITS)] = True
@@ -75,13 +82,16 @@ class Index:
     def candidates(self, w: tokens.Words) -> Iterator[tuple[int, int, int]]:
         """(document, template, first word if aligned whole) of each group of hits on neighbouring diagonals."""
         h, whole = w.windows(K)
-        if not len(h) or not len(self.keys):
-            return
         at = np.flatnonzero(self.map[h >> np.uint64(64 - _BITS)] & whole)
-        hits = sorted((int(w.doc[i]), t, int(i) - p) for i in at for t, p in self.places.get(int(h[i]), ()))
+        hits = [(int(w.doc[i]), t, int(i) - p) for i in at for t, p in self.places.get(int(h[i]), ())]
+        for n, held in self.short.items():
+            h, whole = w.windows(n)
+            at = np.flatnonzero(np.isin(h, np.fromiter(held, np.uint64, len(held))) & whole)
+            hits += [(int(w.doc[i]), t, int(i)) for i in at for t in held[int(h[i])]]
+        hits.sort()
         last = None
         for doc, t, diagonal in hits:
-            if last is None or last[:2] != (doc, t) or diagonal - last[2] > self.band[t]:
+            if last is None or last[:2] != (doc, t) or diagonal - last[2] > self.band[t] or len(self.words[t].hash) < K:
                 yield doc, t, diagonal
                 last = (doc, t, diagonal)
 
@@ -141,13 +151,17 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, cover: float =
                     n, x, y = index.align(t, part)
                     if n / len(index.words[t].hash) >= cover:
                         found[doc, t].append((n / len(index.words[t].hash), x + diagonal - band, y + diagonal - band))
+                points, counted = None, -1
                 for (doc, t), spans in sorted(found.items()):
-                    data, kept = buf[offsets[doc] : offsets[doc + 1]].tobytes(), []
+                    kept: list[tuple[float, int, int]] = []
+                    if doc != counted:  # code points before each byte of the document
+                        counted, points = doc, np.r_[0, np.cumsum((buf[offsets[doc] : offsets[doc + 1]] & 0xC0) != 0x80)]
                     for c, x, y in sorted(spans, key=lambda s: (-s[0], s[1])):
-                        if all(y <= p or x >= q for _, p, q in kept):
-                            kept.append((c, x, y))
-                    for c, x, y in sorted(kept, key=lambda s: s[1]):
-                        cut = [len(data[: int(k - offsets[doc])].decode("utf-8", "replace")) for k in (w.start[x], w.end[y - 1])]
+                        spot = bisect(kept, x, key=lambda s: s[1])
+                        if (spot == 0 or kept[spot - 1][2] <= x) and (spot == len(kept) or y <= kept[spot][1]):
+                            kept.insert(spot, (c, x, y))
+                    for c, x, y in kept:
+                        cut = [int(points[k - offsets[doc]]) for k in (w.start[x], w.end[y - 1])]
                         out.append((ids[i + doc], index.names[t], c, *cut))
             if out:
                 kind = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())

@@ -76,3 +76,60 @@ def test_edges(docs_of):
     got = scan(docs_of(rows))
     assert [g[0] for g in got if g[1] == "mit-notice"] == [3, 3, 4, 5, 5, None]
     assert scan(docs_of([])) == [] and scan(docs_of(rows), templates={}) == []
+
+
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_whole_operator_against_unbanded_alignment(docs_of):
+    """Edited copies of templates among words that no template has: coverage and span as an alignment with the whole document gives them."""
+    import random
+
+    rng = random.Random(12)
+    templates = {f"t{k}": " ".join(f"k{k}w{j}" for j in range(n)) for k, n in enumerate((1, 2, 3, 6, 15, 40, 90))}
+    templates["none"] = "?!"
+    rows, want = [], set()
+    for d in range(120):
+        name = rng.choice([f"t{k}" for k in range(7)])
+        words = templates[name].split()
+        copy = list(words)
+        for _ in range(rng.randrange(0, max(1, len(words) // 5))):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randrange(2)] = ["edit"] * rng.randrange(2)
+        left, right = (["fill\u00e9r", "other"] * rng.randrange(20) for _ in range(2))
+        text = " ".join([*left, *copy, *right])
+        rows.append((d, text))
+        n = subsequence(words, text.split())
+        shingles = {tuple(words[i : i + 3]) for i in range(len(words) - 2)} & {tuple(copy[i : i + 3]) for i in range(len(copy) - 2)}
+        if n / len(words) >= 0.8 and (shingles or len(words) < 3):
+            own = [i for i, w in enumerate(copy) if w in words]
+            start = len(" ".join([*left, *copy[: own[0]], ""]))
+            want.add((d, name, round(n / len(words), 6), start, start + len(" ".join(copy[own[0] : own[-1] + 1]))))
+    got = {(r.doc_id, r.license_id, round(r.coverage, 6), r.start, r.end) for r in licenses.scan(docs_of(rows), templates).collect()}
+    assert len(want) > 60 and got <= want
+    assert len(want - got) <= 0.02 * len(want), "a copy whose kept fingerprints are all edited is no candidate"
+
+
+def test_many_matches_in_a_long_text_take_linear_time():
+    import time
+
+    notice = licenses.TEMPLATES["mit-notice"]
+
+    start = time.time()
+    index, w = licenses.Index(licenses.TEMPLATES), licenses.tokens.words_of((notice + " \u00e9 filler words between ") * 20_000)
+    found = sum(1 for _ in index.candidates(w))
+    assert found >= 20_000 and time.time() - start < 20
+
+
+def test_matches_in_a_long_text(docs_of):
+    notice = licenses.TEMPLATES["mit-notice"]
+    got = licenses.scan(docs_of([(1, (notice + " \u00e9 filler words between them ") * 3000)])).where("license_id = 'mit-notice'").collect()
+    step = len(notice) + len(" \u00e9 filler words between them ")
+    assert sorted(r.start for r in got) == [k * step for k in range(3000)]
