@@ -33,6 +33,8 @@ from rillflow.llm import common
 
 REVISIT = 1000
 SPLIT = 4 << 20
+#: Payloads that occur more than once are broadcast up to this many.
+FEW = 100_000
 MAGIC = b"\x1f\x8b\x08"
 _STEP = 1 << 18
 _LEVEL = 6
@@ -49,7 +51,9 @@ def marked(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("large", F.octet_length("html") >= REVISIT)
     groups = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("copies"))
-    groups = groups.where("copies > 1").select(F.col("digest").alias("_d"), "target")
+    groups, _ = common.materialize(groups.where("copies > 1").select(F.col("digest").alias("_d"), "target"), "warc-copies")
+    if groups.count() <= FEW:  # else both sides are shuffled
+        groups = F.broadcast(groups)
     target = F.when(~F.col("page_id").eqNullSafe(F.col("target")), F.col("target"))
     return rows.join(groups, F.col("large") & (F.col("digest") == F.col("_d")), "left").select("page_id", "url", "html", "digest", target.alias("refers_to"))
 
@@ -123,12 +127,15 @@ class _Range:
 
 
 def _starts_record(part: _Range, at: int) -> bool:
-    """Whether a gzip member that begins a WARC record stands here: its header and first bytes decode."""
-    z = zlib.decompressobj(31)
+    """Whether a gzip member that begins a WARC record stands here: its header, however long, and first bytes decode."""
+    z, out = zlib.decompressobj(31), b""
     try:
-        return z.decompress(part.byte(at)[:4096], 64).startswith(b"WARC/1.")
+        while len(out) < 7 and not z.eof and (data := z.unconsumed_tail or part.byte(at)):
+            at += len(data) if data is not z.unconsumed_tail else 0
+            out += z.decompress(data, 64)
     except zlib.error:
         return False
+    return out.startswith(b"WARC/1.")
 
 
 def _inflate(part: _Range, at: int) -> tuple[bytes, int]:

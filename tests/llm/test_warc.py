@@ -69,3 +69,18 @@ def test_chance_magic_is_no_record(tmp_path):
 
 def test_empty(spark):
     assert warc.round_trip(pages_of(spark, [])).count() == 0
+
+
+def test_long_gzip_header(tmp_path):
+    """A member whose gzip header alone passes some thousand bytes is found from the start of a range."""
+    import struct
+    import zlib
+
+    record = warc._record(7, "u", b"p" * 3000, hashlib.sha1(b"p" * 3000).hexdigest(), None)
+    raw = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = raw.compress(record) + raw.flush()
+    for size in (10, 5000, 600_000):
+        member = b"\x1f\x8b\x08\x08" + bytes(6) + b"n" * size + b"\0" + body + struct.pack("<II", zlib.crc32(record), len(record))
+        path = tmp_path / f"{size}.warc.gz"
+        path.write_bytes(b"noise" + member + warc._member(record))
+        assert [r[0] for r in warc.records(str(path), 0, path.stat().st_size, path.stat().st_size)] == [7, 7]
