@@ -39,11 +39,7 @@ _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    digest = xxhash.xxh64_intdigest
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + SHINGLE]), _SEED) for i in range(max(1, len(words) - SHINGLE + 1))), np.uint64))
+    return np.unique(simhash.shingle_hashes(text, SHINGLE))
 
 
 def near(a: np.ndarray, b: np.ndarray) -> bool:
@@ -77,9 +73,9 @@ def profiles(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in range(5)]
         for x in batch.column(1):
-            text = x.as_py()
-            held = shingles(text)
-            for col, v in zip(cols, (simhash.signed(simhash.fingerprint(text, SHINGLE)), _sid(held), len(held), bitmap(held), bands(held) if len(held) else [])):
+            every = simhash.shingle_hashes(x.as_py(), SHINGLE)
+            held = np.unique(every)
+            for col, v in zip(cols, (simhash.signed(simhash.majority(every)), _sid(held), len(held), bitmap(held), bands(held) if len(held) else [])):
                 col.append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
         yield pa.record_batch([batch.column(0), *map(pa.array, cols, kinds)], names=["th", "fp", "sid", "size", "bits", "bands"])

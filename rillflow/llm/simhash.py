@@ -33,23 +33,32 @@ RADIUS = 3
 _PAIRS = 1 << 18
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every word shingle of a text, in order and with repeats; of the whole sequence, if it is shorter; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: 1 - shingle].tolist()
-    ends = ends[shingle - 1 :].tolist()
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: bits that are set in over half the hashes."""
     count = np.zeros(64, np.int64)
-    for i in range(0, len(starts), 1 << 16):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)])], ">u8")
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * count > len(starts)).tobytes(), "big")
+    for i in range(0, len(hashes), 1 << 16):
+        part = hashes[i : i + (1 << 16)].astype(">u8")
+        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * count > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a text."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def signed(fp: int) -> int:
