@@ -6,15 +6,15 @@ from collections.abc import Iterable, Mapping
 
 # Dataset keys by tab, in order; those not taken unless asked for; those added to the catalogue last.
 TABS = {
-    "bassin": "metriques affinage",
-    "sol": "corine bati foret carhab",
-    "agricole": "rpg bio prairies aoc haies onf",
-    "zonages": "znieff1 znieff2 zsc zps apb rnn rnr pnr ramsar zhumide cen compens autres zhim gbif",
-    "eau": "masse_eau meso her sage roe hydrometrie vigicrues prelevements steu population basias basol sis irep",
+    "bassin": ("metriques", "affinage"),
+    "sol": ("corine", "bati", "foret", "carhab"),
+    "agricole": ("rpg", "bio", "prairies", "aoc", "haies", "onf"),
+    "zonages": ("znieff1", "znieff2", "zsc", "zps", "apb", "rnn", "rnr", "pnr", "ramsar", "zhumide", "cen", "compens", "autres", "zhim", "gbif"),
+    "eau": ("masse_eau", "meso", "her", "sage", "roe", "hydrometrie", "vigicrues", "prelevements", "steu", "population", "basias", "basol", "sis", "irep"),
 }
 OPTIONAL = frozenset({"affinage", "carhab"})
 
-KEYS = tuple(key for keys in TABS.values() for key in keys.split())
+KEYS = tuple(key for keys in TABS.values() for key in keys)
 DEFAULTS = frozenset(KEYS) - OPTIONAL
 
 
@@ -42,7 +42,7 @@ def from_text(text: str | None, known: str | None = None, later: Iterable[str] =
 
 
 def tab_of(key: str) -> str:
-    return next(tab for tab, keys in TABS.items() if key in keys.split())
+    return next(tab for tab, keys in TABS.items() if key in keys)
 
 
 def setting(stored: Mapping[str, object], key: str, default):

@@ -42,9 +42,11 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or one of this machine's where it is unset."""
+    """The folder that all executors see: ``spark.checkpoint.dir``, or one of this machine's where it is unset and no other machine takes part."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("rillflow.work.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='rillflow-')}"
         spark.conf.set("rillflow.work.dir", named)
     return named.rstrip("/")

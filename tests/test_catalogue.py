@@ -4,7 +4,7 @@ from rillflow.plans import schema
 
 def test_catalogue():
     assert len(C.KEYS) == 41 and len(set(C.KEYS)) == 41 and len(C.DEFAULTS) == 39
-    assert [k for k, *_ in schema.ZONINGS] == [k for k in C.TABS["zonages"].split() if k != "gbif"]
+    assert [k for k, *_ in schema.ZONINGS] == [k for k in C.TABS["zonages"] if k != "gbif"]
     assert C.tab_of("rpg") == "agricole"
 
 
