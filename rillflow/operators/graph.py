@@ -52,16 +52,16 @@ def heads(reaches: DataFrame) -> DataFrame:
 def upstream_closure(reaches: DataFrame, seeds: DataFrame, most: int = 100_000, hops: int = 3) -> DataFrame:
     """(basin_id, id) of all reaches upstream of each basin's seed reach (basin_id, id), the seed included.
 
-    Each round takes ``hops`` steps against the flow from what the last one found new; artificial reaches are not
+    Each round takes ``hops`` steps against the flow from what the last one found new, and writes only what it finds; artificial reaches are not
     entered, though a seed may be one. All basins go at once. Of reaches without id one is found at most.
     """
     rounds = Rounds(reaches.sparkSession, "closure")
     step = heads(reaches).join(inflows(reaches).withColumnRenamed("id", "up_id"), "node")
     step = rounds.keep("step", step.select("id", F.col("up_id")).where(~F.col("id").eqNullSafe(F.col("up_id"))).distinct())
-    found = rounds.keep("found", seeds.select("basin_id", "id").distinct())
-    frontier, n = found, found.count()
+    frontier = rounds.append("found", seeds.select("basin_id", "id").distinct())
     for _ in range(most):
-        if not n:
+        found = rounds.all("found")
+        if frontier.isEmpty():
             rounds.close("found")
             return found
         reached, last = [], frontier
@@ -70,11 +70,7 @@ def upstream_closure(reaches: DataFrame, seeds: DataFrame, most: int = 100_000,
             reached.append(last)
         new = reduce(DataFrame.unionByName, reached).distinct().alias("n")
         old = found.alias("o")
-        new = new.join(old, (F.col("n.basin_id") == F.col("o.basin_id")) & F.col("n.id").eqNullSafe(F.col("o.id")), "left_anti")
-        frontier = rounds.keep("frontier", new)
-        n = frontier.count()
-        if n:
-            found = rounds.keep("found", found.unionByName(frontier))
+        frontier = rounds.append("found", new.join(old, (F.col("n.basin_id") == F.col("o.basin_id")) & F.col("n.id").eqNullSafe(F.col("o.id")), "left_anti"))
     raise NotConverged(f"closure after {most} rounds")
 
 
@@ -89,31 +85,28 @@ def dead_ends(reaches: DataFrame) -> DataFrame:
 def strahler(reaches: DataFrame, most: int = 100_000) -> DataFrame:
     """(id, strahler_order): sources 1; at a confluence the highest, one more if two or more reach it; in cycles 1.
 
-    Each round orders the reaches all of whose tributaries are ordered.
+    Each round hands the orders found last to the reaches below, and orders those all of whose tributaries are known. Written are the new
+    orders and what reaches that still wait have got so far, by order, so a round costs what it touches, not all that is done.
     """
     rounds = Rounds(reaches.sparkSession, "strahler")
     rows = reaches.select("id", "up_node", "down_node")
     trib = rows.select(F.col("id").alias("trib"), F.col("down_node").alias("node")).where("node is not null")
-    into = rounds.keep("into", rows.join(trib, rows.up_node == trib.node).where("trib <> id").select("id", "trib"))
-    need = rounds.keep("need", into.groupBy("id").agg(F.count("*").alias("n")))
-    fresh = rounds.keep("fresh", rows.join(need, "id", "left_anti").select("id", F.lit(1).alias("strahler_order")))
-    done = rounds.keep("done", fresh)
+    into = rows.join(trib, rows.up_node == trib.node).where("trib <> id").select("id", "trib")
+    into = rounds.keep("into", into.withColumn("need", F.count("*").over(Window.partitionBy("id"))))
+    fresh = rounds.append("done", rows.join(into.select("id"), "id", "left_anti").select("id", F.lit(1).alias("strahler_order")))
+    waiting = None
     for _ in range(most):
-        touched = into.join(fresh, into.trib == fresh.id).select(into.id).distinct()
-        tops = (
-            into.join(touched, "id")
-            .join(done.withColumnRenamed("id", "trib"), "trib")
-            .groupBy("id")
-            .agg(F.count("*").alias("got"), F.max("strahler_order").alias("top"), F.sort_array(F.collect_list("strahler_order"), asc=False).alias("orders"))
-            .join(need, "id")
-            .where("got = n")
-        )
-        nxt = F.when(F.size(F.filter("orders", lambda x: x == F.col("top"))) > 1, F.col("top") + 1).otherwise(F.col("top"))
-        ready = rounds.keep("fresh", tops.select("id", nxt.alias("strahler_order")))
-        if ready.isEmpty():
+        if fresh.isEmpty():
+            done = rounds.all("done")
             rounds.close("done")
             return rows.select("id").join(done, "id", "left").select("id", F.coalesce("strahler_order", F.lit(1)).alias("strahler_order"))
-        fresh, done = ready, rounds.keep("done", done.unionByName(ready))
+        heard = into.join(fresh.withColumnRenamed("id", "trib"), "trib").select("id", "need", "strahler_order", F.lit(1).cast("long").alias("n"))
+        heard = heard if waiting is None else heard.unionByName(waiting)
+        heard = heard.groupBy("id", "need", "strahler_order").agg(F.sum("n").alias("n"))
+        heard = rounds.keep("heard", heard.withColumn("got", F.sum("n").over(Window.partitionBy("id"))))
+        top = heard.where("got = need").groupBy("id").agg(F.max(F.struct("strahler_order", "n")).alias("t"))
+        fresh = rounds.append("done", top.select("id", (F.col("t.strahler_order") + (F.col("t.n") > 1).cast("int")).alias("strahler_order")))
+        waiting = heard.where("got < need").drop("got")
     raise NotConverged(f"orders after {most} rounds")
 
 
@@ -173,23 +166,24 @@ def accumulate(cells: DataFrame, most: int = 64) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
     """(id, label): the smallest id of each node's component; edges (a, b) in either direction.
 
-    Rounds pass the smallest label over the edges and then jump to the label's own label.
+    Each round hangs all neighbours of a node, itself included, on the smallest of them: first those larger than the node, then those
+    smaller. That never adds an edge, and ends in stars after a number of rounds logarithmic in the longest way (Kiveris et al., 2014).
     """
     rounds = Rounds(edges.sparkSession, "components")
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = rounds.keep("edges", both)
-    state = rounds.keep("state", nodes.select("id", F.col("id").alias("label")))
+    stars = rounds.keep("stars", edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    seen = None
     for _ in range(most):
-        heard = both.join(state, both.b == state.id).groupBy("a").agg(F.min("label").alias("heard")).withColumnRenamed("a", "id")
-        low = state.join(heard, "id", "left").select("id", F.least("label", F.coalesce("heard", "label")).alias("low"), "label")
-        low = rounds.keep("low", low)
-        lead = low.select(F.col("id").alias("low"), F.col("low").alias("lead"))
-        nxt = rounds.keep("next", low.join(lead, "low").select("id", F.col("lead").alias("label"), (F.col("lead") != F.col("label")).alias("moved")))
-        moved = not nxt.where("moved").isEmpty()
-        state = rounds.keep("state", nxt.select("id", "label"))
-        if not moved:
-            rounds.close("state")
-            return state
+        mark = tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+        if mark == seen or not mark[0]:
+            rounds.close("stars")
+            return nodes.join(stars, nodes.id == stars.hi, "left").select("id", F.coalesce("lo", "id").alias("label"))
+        seen = mark
+        both = stars.unionByName(stars.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
+        hung = both.where("lo > hi").join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+        first = hung.groupBy("hi").agg(F.min("lo").alias("m"))
+        pair = F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"))))
+        stars = rounds.keep("stars", hung.join(first, "hi").select(pair.alias("e")).select("e.hi", "e.lo").where("hi <> lo").distinct())
     raise NotConverged(f"components after {most} rounds")
 
 

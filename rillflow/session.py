@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Settings that the plans here count on; a cluster's own values for the rest stand.
 SETTINGS = {
@@ -53,24 +54,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Rounds:
-    """Tables of an iteration, each written to the shared folder; of each name, the last is kept."""
+    """Tables of an iteration, each written to the shared folder: of those that are kept the last of a name, of those appended all."""
 
     def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.base, self.paths, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", {}, 0
+        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
+        self.paths: dict[str, list[str]] = {}
+        self.schemas: dict[str, StructType] = {}
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
+    def _write(self, name: str, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{name}-{self.n}"
         df.write.parquet(path)
-        self._drop(self.paths.get(name))
-        self.paths[name] = path
+        self.paths.setdefault(name, []).append(path)
+        self.schemas[name] = df.schema
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table in the place of the last of its name."""
+        out = self._write(name, df)
+        self._drop(self.paths[name][:-1])
+        self.paths[name] = self.paths[name][-1:]
+        return out
+
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table beside those of its name; returns what was added."""
+        return self._write(name, df)
+
+    def all(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(*self.paths[name])
+
     def close(self, *but: str) -> None:
         for name in [n for n in self.paths if n not in but]:
             self._drop(self.paths.pop(name))
 
-    def _drop(self, path: str | None) -> None:
-        if path:
+    def _drop(self, paths: list[str]) -> None:
+        for path in paths:
             target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
