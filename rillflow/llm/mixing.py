@@ -8,8 +8,8 @@ draw and b the draws before. Slot s reads block p(s mod n) of the n blocks of it
 indices that changes with each pass over the source (a Feistel network of four rounds over the two digits of the index, walked
 until it lies below n). Blocks and slots meet in a join by index.
 
-A source may hold a third of all rows: its documents are laid out in lanes of about ``LANE`` rows each by a hash of the row,
-each lane summed on its own, and its slots are made in chunks. Sources are numbered by ranges of their names, and the level
+A source may hold a third of all rows: its documents are laid out in lanes by a hash of the row, as many lanes as a lane has
+documents, each lane summed on its own, and its slots are made in chunks. Sources are numbered by ranges of their names, and the level
 of the targets comes from sums over all sources, so no task sees every source.
 
 Defined cases: a null or empty text has size 0 and is returned with taken 0; a null source is a source
@@ -27,10 +27,9 @@ from pyspark.sql import functions as F
 
 from rillflow.llm import common
 
-#: Words of a block, slots of a shard, documents of a lane: parameters of the operator, alike at every size of the input.
+#: Words of a block and slots of a shard: parameters of the operator, alike at every size of the input.
 BLOCK = 32
 SHARD_SLOTS = 4096
-LANE = 65536
 REPEATS = 3
 _CHUNK = 65536
 _ROUNDS = 4
@@ -130,7 +129,7 @@ def slots(sources: DataFrame) -> DataFrame:
 
 def layout(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Every document with its first word's place in its source, summed lane by lane."""
-    lane = F.pmod(F.xxhash64("doc_id", "row"), F.ceil(F.col("docs") / LANE))
+    lane = F.pmod(F.xxhash64("doc_id", "row"), F.ceil(F.sqrt("docs")))
     named = sources.select(F.col("source").alias("_s"), "rank", "docs")
     placed = sized.join(named, sized.source.eqNullSafe(F.col("_s"))).select("doc_id", "size", "row", "rank", lane.alias("lane"))
     lanes = placed.groupBy("rank", "lane").agg(F.sum("size").alias("words"))
