@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs, _ = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        docs, path = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        if last:
+            common.discard(spark, last)
+        last = path
     return docs

@@ -41,6 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return kept
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/rillflow-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application's operators wrote, once no result of theirs is read any more."""
+    discard(spark, work_dir(spark))
+
+
 #: Rows of a file of an iteration's table.
 FILE_ROWS = 200_000
 
@@ -51,7 +61,7 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> tuple[DataF
     Where a bound of its rows is known, it goes into as few files as they need, not one for each shuffle partition.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

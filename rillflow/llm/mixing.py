@@ -43,16 +43,17 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), count.alias("size"), common.row_hash(docs).alias("row"))
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    """``sources`` with rank, their number from 1 in order of code points, null last: ranges of names are counted, then numbered on their own."""
+def _ranked(sources: DataFrame) -> tuple[DataFrame, str]:
+    """``sources`` with rank, their number from 1 in order of code points, null last: ranges of names are counted, then numbered on their own. Also returns the path behind it."""
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.col("source").asc_nulls_last()
-    dealt, _ = common.materialize(sources.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    dealt, path = common.materialize(sources.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "mix-ranges")
     sizes = dealt.groupBy("part").count()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     sizes = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(order))
-    return dealt.withColumn("place", place).join(F.broadcast(sizes), "part").withColumn("rank", F.col("base") + F.col("place")).drop("part", "place", "base")
+    ranked = dealt.withColumn("place", place).join(F.broadcast(sizes), "part").withColumn("rank", F.col("base") + F.col("place"))
+    return ranked.drop("part", "place", "base"), path
 
 
 def targets(sized: DataFrame, repeats: int = REPEATS) -> DataFrame:
@@ -62,8 +63,10 @@ def targets(sized: DataFrame, repeats: int = REPEATS) -> DataFrame:
     by resharing: a source whose share passes its cap keeps the cap, and the rest is shared anew, until none passes.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    base = _ranked(totals).withColumn("weight", (F.col("rank") - 1) % 3 + 1).withColumn("cap", F.lit(repeats) * F.col("source_size"))
+    ranked, path = _ranked(totals)
+    base = ranked.withColumn("weight", (F.col("rank") - 1) % 3 + 1).withColumn("cap", F.lit(repeats) * F.col("source_size"))
     base, _ = common.materialize(base, "mix-base")
+    common.discard(sized.sparkSession, path)
     total = base.agg(F.sum("source_size")).first()[0] or 0
     level, seen = 0.0, -1
     while True:

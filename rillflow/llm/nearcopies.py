@@ -84,17 +84,17 @@ def profiles(docs: DataFrame) -> DataFrame:
     return common.map_arrow(rows, run, "th long, fp long, sid long, size long, bits binary, bands array<long>").dropDuplicates(["th"])
 
 
-def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs a, b of sids whose sets are near; texts of the sets at hand are read again."""
+def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The pairs a, b of sids whose sets are near; texts of the sets at hand are read again. Also returns the paths behind it."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted, _ = common.materialize(heads.join(wanted, "sid", "left_semi").select("sid", F.col("th").alias("_th")), "near-wanted")
+    wanted, one = common.materialize(heads.join(wanted, "sid", "left_semi").select("sid", F.col("th").alias("_th")), "near-wanted")
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array([shingles(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["sid", "held"])
 
     text = F.col("text").cast("string")
     texts = docs.select(text.alias("text")).join(wanted, F.xxhash64("text") == F.col("_th")).select("sid", "text").dropDuplicates(["sid"])
-    held, _ = common.materialize(common.map_arrow(texts, sets, "sid long, held binary"), "near-sets")
+    held, two = common.materialize(common.map_arrow(texts, sets, "sid long, held binary"), "near-sets")
 
     def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         a, b = (c.to_pylist() for c in batch.columns[2:])
@@ -102,7 +102,7 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
         yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     left, right = held.select(F.col("sid").alias("a"), F.col("held").alias("x")), held.select(F.col("sid").alias("b"), F.col("held").alias("y"))
-    return common.map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), check, "a long, b long")
+    return common.map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), check, "a long, b long"), [one, two]
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,8 @@ def components(docs: DataFrame) -> DataFrame:
     stars, _ = common.materialize(met.where("sid <> a").select("a", F.col("sid").alias("b")).distinct(), "near-stars")
     alike, _ = common.materialize(seen.select("fp", "sid").distinct().join(simhash.labels(seen), "fp").select("component", "sid"), "near-alike")
     alike = alike.join(alike.groupBy("component").agg(F.min("sid").alias("a")), "component").where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
-    nodes, _ = common.connected_components(_verified(stars, heads, docs).unionByName(alike), "near-cc")
+    near_stars, used = _verified(stars, heads, docs)
+    nodes, first = common.connected_components(near_stars.unionByName(alike), "near-cc")
 
     placed = met.select("key", "sid").join(nodes.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
@@ -157,8 +158,11 @@ def components(docs: DataFrame) -> DataFrame:
     rows = placed.join(open_, "key", "left_semi").join(facts, "sid").select("key", "sid", "component", "size", "bits")
     rest = common.in_arrow(rows.repartition(parts, "key").sortWithinPartitions("key"), _apart, "a long, b long").distinct()
     rest, _ = common.materialize(rest.join(stars, ["a", "b"], "left_anti"), "near-rest")
-    edges = nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(rest, heads, docs))
+    near_rest, used_later = _verified(rest, heads, docs)
+    edges = nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(near_rest)
     nodes, _ = common.connected_components(edges, "near-cc")
+    for path in (*used, *used_later, *first):
+        common.discard(docs.sparkSession, path)
     return seen.join(nodes, seen.sid == nodes.node, "left").select("th", F.coalesce("component", "sid").alias("component"))
 
 

@@ -216,6 +216,7 @@ def patterns(docs: DataFrame) -> DataFrame:
     edges = _edges(docs).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     edges, path = common.materialize(edges, "pii-edges")
     trust = edges.where("kind >= 0").groupBy("instance").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("trust"))
+    old = None
     for _ in range(ROUNDS):
         scored = (
             edges.select("pattern", "instance")
@@ -224,10 +225,14 @@ def patterns(docs: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("n"), F.sum("trust").alias("sure"), F.count("trust").alias("backers"), F.max("kind").alias("kind"), F.min("kind").alias("low"))
         )
         good = scored.where((F.col("backers") >= SUPPORT) & (F.col("kind") == F.col("low"))).select("pattern", "kind", (F.col("sure") / (F.col("n") + 1)).alias("score")).where(F.col("score") >= ACCEPT)
-        good, _ = common.materialize(good, "pii-patterns")
+        good, made = common.materialize(good, "pii-patterns")
+        if old:
+            common.discard(docs.sparkSession, old)
+        old = made
         more = edges.where("kind < 0").select("pattern", "instance").join(good, "pattern").groupBy("instance").agg(F.max("kind").alias("kind"), F.max("score").alias("trust"))
         seeds = edges.where("kind >= 0").groupBy("instance").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("trust"))
         trust = seeds.unionByName(more).groupBy("instance").agg(F.max("kind").alias("kind"), F.max("trust").alias("trust"))
+    common.discard(docs.sparkSession, path)
     return good.select("pattern", "kind")
 
 

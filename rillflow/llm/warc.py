@@ -211,7 +211,7 @@ _TYPES = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int6
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages as archives in the shared folder and read them back."""
     spark = pages.sparkSession
-    folder = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{common.work_dir(spark)}/warc-{uuid.uuid4().hex}"
     manifest, _ = common.materialize(write(marked(pages), folder), "warc-manifest")
     return read(manifest)
 
