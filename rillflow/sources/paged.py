@@ -1,8 +1,8 @@
 """A Python data source for services that hand out features in pages.
 
 ``spark.read.format("pages").option("url", ...)``: one partition a page of ``page_size`` features, so
-pages load in parallel and an executor's loss repeats a page only. The filter on the box is pushed to
-the request. ``fetch`` is the one place that opens a connection.
+pages load in parallel, at most as many at once as the executors have cores, and an executor's loss repeats a page only. A box given as
+an option goes with the request; filters of a query are applied to the rows. ``fetch`` is the one place that opens a connection.
 """
 
 from __future__ import annotations
