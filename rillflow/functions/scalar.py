@@ -246,6 +246,15 @@ def filled(template: str, **values: ColumnLike) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
+def filled_text(template: ColumnLike, **values: ColumnLike) -> Column:
+    """Templates of a column with ``{name}`` places; as they are where a place has no value."""
+    out = col(template)
+    for name, value in values.items():
+        place = "{" + name + "}"
+        out = F.when(col(template).contains(place), F.replace(out, F.lit(place), col(value).cast("string"))).otherwise(out)
+    return F.when(out.rlike(r"\{[^{}]*\}"), col(template)).otherwise(F.coalesce(out, col(template)))
+
+
 def french_integer(c: ColumnLike, space: str = " ") -> Column:
     """Thousands set apart by a space."""
     return F.replace(F.format_number(col(c), 0), F.lit(","), F.lit(space))
@@ -259,10 +268,10 @@ def french_number(c: ColumnLike, decimals: int = 2, space: str = " ") -> Column:
 
 
 def adaptive_number(c: ColumnLike, space: str = " ") -> Column:
-    """Whole from 1000, one decimal from 100, below up to three without trailing zeros."""
+    """Whole from 1000, one decimal from 100, below up to three without trailing zeros; null if unknown."""
     value = col(c).cast("double")
     small = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", value), "0+$", ""), r"\.$", "")
-    return F.when(F.abs(value) >= 1000, french_integer(value, space)).when(F.abs(value) >= 100, F.format_string("%.1f", value)).otherwise(small)
+    return F.when(F.abs(value) >= 1000, french_integer(value, space)).when(F.abs(value) >= 100, F.format_string("%.1f", value)).when(value.isNotNull(), small)
 
 
 def yes_no(c: ColumnLike) -> Column:

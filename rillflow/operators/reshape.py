@@ -36,6 +36,13 @@ def faults(fields: Sequence[tuple[str, str, str]]) -> list[str]:
     return out
 
 
+def differences(declared: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Keys that one of two tables lacks (key, missing_in: 'known' or 'declared'), each once."""
+    a, b = declared.select(key).distinct(), known.select(key).distinct()
+    lack = lambda x, y, name: x.exceptAll(y).withColumn("missing_in", F.lit(name))
+    return lack(a, b, "known").unionByName(lack(b, a, "declared"))
+
+
 def fitted(df: DataFrame, wanted: StructType) -> DataFrame:
     """The wanted columns in order, cast, null where df lacks them, with the wanted metadata."""
     have = set(df.columns)

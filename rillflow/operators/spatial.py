@@ -12,9 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StringType, StructType
 
 from rillflow.functions import geometry as G
+from rillflow.functions import projection
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
@@ -226,6 +227,21 @@ for _name in ("area", "length", "perimeter", "cx", "cy", *BOX):
     _MEASURES = _MEASURES.add(_name, DoubleType())
 
 
+@F.pandas_udf(StringType())
+def short_wkt(geom: pd.Series) -> pd.Series:
+    """Polygons in degrees as text short enough for a request; null stays."""
+    return pd.Series([None if g is None else G.short_wkt(G.from_wkb(g)[1]) for g in geom], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def short_wkt_of_metres(geom: pd.Series) -> pd.Series:
+    """The same of polygons in metres."""
+    def one(g: bytes) -> str:
+        return G.short_wkt([np.stack(projection.to_degrees(*r.T), axis=1) for r in G.from_wkb(g)[1]])
+
+    return pd.Series([None if g is None else one(g) for g in geom], dtype=object)
+
+
 @F.pandas_udf(_MEASURES)
 def measures(geom: pd.Series) -> pd.DataFrame:
     """Measures of shapes: area and perimeter of polygons, length of lines, centroid, box."""

@@ -125,6 +125,31 @@ def mesh(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return out.select(*keys, two.alias("triangle"))
 
 
+def vertices(cells: DataFrame, keys: Sequence[str] = (), cell: float = 1.0, exaggeration: float = 1.0) -> DataFrame:
+    """The mesh vertex of every cell (r, c, z): position (px east, py up, pz south) around the grid's centre, unit normal
+    (nx, ny, nz) and texture place (u, v). Cells without a value lie at the lowest elevation; grids without any value go.
+
+    Slopes reach to the nearest cells on either side, at the edges to one. Rows and columns are windows of their own.
+    """
+    known = F.when(~F.isnan("z"), F.col("z"))
+    size = cells.groupBy(*keys).agg(F.min(known).alias("_low"), (F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w")).where("_low is not null")
+    grid = cells.join(size, list(keys)) if keys else cells.crossJoin(F.broadcast(size))  # one row
+    grid = grid.withColumn("py", (F.coalesce(known, F.col("_low")) - F.col("_low")) * exaggeration)
+
+    def slope(across: str, along: str) -> Column:
+        w = Window.partitionBy(*keys, across).orderBy(along)
+        ends = [(F.coalesce(f(c).over(w), F.col(c))) for c in ("py", along) for f in (F.lead, F.lag)]
+        return F.coalesce(F.try_divide(ends[0] - ends[1], (ends[2] - ends[3]) * cell), F.lit(0.0))
+
+    grid = grid.withColumn("_east", slope("r", "c")).withColumn("_south", slope("c", "r"))
+    size_ = F.sqrt(F.col("_east") * F.col("_east") + F.col("_south") * F.col("_south") + 1)
+    px, pz = ((F.col(a) - (F.col(n) - 1) / 2) * cell for a, n in (("c", "_w"), ("r", "_h")))
+    return grid.select(
+        *keys, "r", "c", px.alias("px"), "py", pz.alias("pz"), ((0 - F.col("_east")) / size_).alias("nx"), (1 / size_).alias("ny"), ((0 - F.col("_south")) / size_).alias("nz"),
+        ((F.col("c") + 0.5) / F.col("_w")).alias("u"), ((F.col("r") + 0.5) / F.col("_h")).alias("v"),
+    )
+
+
 def dilated(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Marked cells and their eight neighbours."""
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))

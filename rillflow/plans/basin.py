@@ -146,12 +146,18 @@ def assembled(basins: DataFrame, base: list[DataFrame], themes: dict[str, Callab
     return Result(reshape.fitted(rows, schema.BASIN), fitted, warnings=warnings)
 
 
+# Layers of polygons that are drawn from the largest to the smallest.
+DRAWN = ("zonings", "forest", "organic_parcels", "declared_parcels")
+
+
 def write(result: Result, folder: str) -> list[str]:
-    """The row and each layer that has rows, as Parquet under ``folder``; the names written."""
+    """The row and each layer that has rows, as Parquet under ``folder``; the names written. Layers of polygons lie in drawing order."""
     written = ["basins"]
     result.row.write.mode("append").parquet(f"{folder}/basins")
     for name, df in result.layers.items():
         if not df.isEmpty():
+            if name in DRAWN:
+                df = df.orderBy("id_bv", F.coalesce("surface_ha", F.lit(0.0)).desc())
             df.write.mode("append").parquet(f"{folder}/{name}")
             written.append(name)
     return written

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Dataset keys by tab, in order; those not taken unless asked for; those added to the catalogue last.
 TABS = {
     "bassin": ("metriques", "affinage"),
@@ -41,6 +44,11 @@ def from_text(text: str | None, known: str | None = None, later: Iterable[str] =
     return selection(text.split(",")) | DEFAULTS & unseen
 
 
+def ordinal(key: Column) -> Column:
+    """Place of a dataset in the catalogue, from 1, to restore its order after parallel work; null for unknown keys."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, KEYS)), key), F.lit(0)).cast("int")
+
+
 def tab_of(key: str) -> str:
     return next(tab for tab, keys in TABS.items() if key in keys)
 

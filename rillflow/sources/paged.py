@@ -14,10 +14,13 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PAGE = 5000
 TRIES = 3
+CODES_A_REQUEST = 100
 
 
 def fetch(url: str, timeout: float = 60, delay: float = 2.0, tries: int = TRIES) -> bytes:
@@ -73,3 +76,35 @@ class PagedReader(DataSourceReader):
         for k, f in enumerate(body["features"]):
             g = f.get("geometry") or {}
             yield str(f.get("id", "")), json.dumps(f.get("properties") or {}), g.get("type"), json.dumps(g.get("coordinates")), partition.value + k
+
+
+def records(codes: DataFrame, column: str, url: str, parameter: str, size: int = PAGE, chunk: int = CODES_A_REQUEST) -> DataFrame:
+    """Records (record: JSON, codes: those of its request) of a service that takes lists of codes, all pages of each list.
+
+    Each partition of the distinct codes asks for its own lists of ``chunk`` and follows the ``next`` links of the replies;
+    its loss repeats its requests only. Codes that are null or empty are not asked for. Replies without data have no rows.
+    """
+
+    def ask(batches):
+        import pyarrow as pa
+
+        def replies(some: list[str]) -> Iterator[pa.RecordBatch]:
+            more, seen = f"{url}?{urllib.parse.urlencode({parameter: ','.join(some), 'size': size})}", set()
+            while more and more not in seen:
+                seen.add(more)
+                reply = json.loads(fetch(more))
+                rows = [json.dumps(r, ensure_ascii=False) for r in reply.get("data") or []]
+                yield pa.record_batch([pa.array(rows, pa.string()), pa.array([",".join(some)] * len(rows), pa.string())], names=["record", "codes"])
+                more = reply.get("next")
+
+        waiting: list[str] = []
+        for batch in batches:
+            waiting += batch.column(0).to_pylist()
+            while len(waiting) >= chunk:
+                some, waiting = waiting[:chunk], waiting[chunk:]
+                yield from replies(some)
+        if waiting:
+            yield from replies(waiting)
+
+    wanted = codes.select(F.col(column).cast("string").alias("code")).where("code <> ''").distinct()
+    return wanted.mapInArrow(ask, "record string, codes string")

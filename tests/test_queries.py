@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from rillflow.plans import general as _  # noqa: F401
+from rillflow.plans import displayed as _  # noqa: F401
 from rillflow.plans import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

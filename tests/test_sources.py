@@ -79,6 +79,38 @@ def test_paged_source(spark, service):
     assert len(Service.calls) == 4 and Service.calls[0]["bbox"] == ["0.0,0.0,9.0,9.0"]
 
 
+class Records(http.server.BaseHTTPRequestHandler):
+    calls: list = []
+
+    def do_GET(self):
+        q = urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query)
+        codes, page = q["code"][0].split(","), int(q.get("page", ["1"])[0])
+        Records.calls.append((len(codes), page))
+        here = codes[(page - 1) * 60 : page * 60]
+        after = f"http://{self.headers['Host']}{self.path}&page={page + 1}" if page == 1 and len(codes) > 60 else None
+        data = [{"code": c, "n": k} for c in here for k in range(int(c) % 2 + 1)] if codes != ["9999"] else None
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps({"data": data, "next": after}).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_records_in_lists_of_codes(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Records)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/r"
+    codes = spark.createDataFrame([(str(k),) for k in range(230)] + [("",), (None,), ("7",)], "c string")
+    try:
+        got = [json.loads(r.record) for r in paged.records(codes.coalesce(1), "c", url, "code", size=60).collect()]
+        none = paged.records(spark.createDataFrame([("9999",)], "c string"), "c", url, "code").count()
+    finally:
+        server.shutdown()
+    assert sorted((r["code"], r["n"]) for r in got) == sorted((str(k), n) for k in range(230) for n in range(k % 2 + 1))
+    assert none == 0 and max(n for n, _ in Records.calls) <= 100 and any(page == 2 for _, page in Records.calls)
+
+
 def test_client_errors_are_not_tried_again(service):
     with pytest.raises((urllib.error.HTTPError, OSError)):
         paged.fetch(service.replace("/wfs", "") + "/?startindex=x", delay=0, tries=1)
