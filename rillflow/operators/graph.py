@@ -18,6 +18,10 @@ from rillflow.session import Rounds
 IMPASSABLE = ("canal", "aqueduc", "darse")
 
 
+# A closure with a budget counts what it has found every so many rounds.
+COUNTED = 4
+
+
 class NotConverged(RuntimeError):
     """A loop reached its guard."""
 
@@ -49,22 +53,25 @@ def heads(reaches: DataFrame) -> DataFrame:
     return reaches.select("id", F.explode(ends).alias("node")).where("node is not null")
 
 
-def upstream_closure(reaches: DataFrame, seeds: DataFrame, most: int = 100_000, hops: int = 3) -> DataFrame:
+def upstream_closure(reaches: DataFrame, seeds: DataFrame, most: int = 100_000, hops: int = 3, budget: int | None = None) -> DataFrame:
     """(basin_id, id) of all reaches upstream of each basin's seed reach (basin_id, id), the seed included.
 
     Each round takes ``hops`` steps against the flow from what the last one found new, and writes only what it finds; artificial reaches are not
-    entered, though a seed may be one. All basins go at once. Of reaches without id one is found at most.
+    entered, though a seed may be one. All basins go at once. Of reaches without id one is found at most. With a budget, basins of which more
+    reaches than that are found are followed no further: every so many rounds they leave, with what they have.
     """
     rounds = Rounds(reaches.sparkSession, "closure")
     step = heads(reaches).join(inflows(reaches).withColumnRenamed("id", "up_id"), "node")
     step = rounds.keep("step", step.select("id", F.col("up_id")).where(~F.col("id").eqNullSafe(F.col("up_id"))).distinct())
     frontier = rounds.append("found", seeds.select("basin_id", "id").distinct())
-    for _ in range(most):
+    for n in range(most):
         found = rounds.all("found")
         if frontier.isEmpty():
             rounds.close("found")
             return found
         reached, last = [], frontier
+        if budget is not None and n % COUNTED == COUNTED - 1:
+            last = frontier.join(found.groupBy("basin_id").count().where(F.col("count") > budget), "basin_id", "left_anti").select("basin_id", "id")
         for _ in range(hops):
             last = last.join(step, last.id.eqNullSafe(step.id)).select("basin_id", F.col("up_id").alias("id"))
             reached.append(last)

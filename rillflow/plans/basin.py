@@ -16,6 +16,7 @@ from rillflow.functions import scalar as S
 from rillflow.operators import graph, hydro, reshape, spatial
 from rillflow.plans import schema
 from rillflow.plans.themes import Theme
+from rillflow.session import Rounds
 
 # Reach of the snap to a stream, margins of extents, budget of reaches.
 SNAP_REACH = 500.0
@@ -24,6 +25,9 @@ FALLBACK = 1000.0
 ZONE_PROBE, ZONE_MARGIN, ZONE_SQUARE = 10.0, 2000.0, 5000.0
 REACHES = 80_000
 
+# The least margin of the second pass, and by how much it grows, once, where an outline reaches its edge.
+REFINE_MARGIN, REFINE_GROWTH = 200.0, 4
+
 
 class Refused(RuntimeError):
     """A question for the caller rather than a fault: it carries the numbers to decide by."""
@@ -45,11 +49,11 @@ def upstream_extents(outlets: DataFrame, reaches: DataFrame, budget: int = REACH
     """(extents, network): the area of interest of each outlet by its upstream network, and that network.
 
     extents: basin_id, box with margin, n_reaches, upstream_km, distance, and fallback where no reach is near: a
-    square around the outlet without network. A basin of more reaches than the budget is refused (column ``refusal``).
-    The data being local tables, the closure needs no waves of tiles; the budget is tested on its result.
+    square around the outlet without network. A basin of more reaches than the budget is refused (column ``refusal``) and
+    followed no further than it takes to tell, so its n_reaches is a lower bound. The data being local tables, the closure needs no waves of tiles.
     """
     seeds = nearest_reach(outlets, reaches)
-    found = graph.upstream_closure(graph.oriented(reaches), seeds)
+    found = graph.upstream_closure(graph.oriented(reaches), seeds, budget=budget)
     net = found.join(reaches.select("id", "length", *spatial.BOX), "id").join(seeds.select("basin_id", F.col("id").alias("_o"), "distance"), "basin_id")
     net = net.withColumn("outlet", F.col("id") == F.col("_o")).drop("_o")
     box = graph.extents(net, "basin_id", MARGIN).join(net.groupBy("basin_id").agg(F.count("*").alias("n_reaches"), (F.sum("length") / 1000).alias("upstream_km"), F.first("distance").alias("distance")), "basin_id")
@@ -58,7 +62,7 @@ def upstream_extents(outlets: DataFrame, reaches: DataFrame, budget: int = REACH
         "basin_id", (F.col("x") - m).alias("xmin"), (F.col("y") - m).alias("ymin"), (F.col("x") + m).alias("xmax"), (F.col("y") + m).alias("ymax"), F.lit(0).cast("long").alias("n_reaches"), F.lit(0.0).alias("upstream_km"), F.lit(None).cast("double").alias("distance")
     )
     out = box.unionByName(none).withColumn("fallback", F.col("n_reaches") == 0)
-    refusal = F.when(F.col("n_reaches") > budget, F.format_string("%d reaches upstream, the budget is %d", "n_reaches", F.lit(budget)))
+    refusal = F.when(F.col("n_reaches") > budget, F.format_string("at least %d reaches upstream, the budget is %d", "n_reaches", F.lit(budget)))
     return out.withColumn("refusal", refusal), net
 
 
@@ -100,6 +104,39 @@ def delineated(outlets: DataFrame, extents: DataFrame, net: DataFrame, reaches:
     return found.unionByName(extents.where("refusal is not null").select("basin_id", "refusal"), allowMissingColumns=True)
 
 
+def refined(found: DataFrame, outlets: DataFrame, extents: DataFrame, net: DataFrame, reaches: DataFrame, elevations: dict[float, DataFrame], cell: float, most_cells: int, margin: float = REFINE_MARGIN, stream_cells: int = hydro.STREAM_CELLS) -> DataFrame:
+    """The second, finer pass: basins delineated again on the finest of ``elevations`` (by cell size) that fits around the basin found first.
+
+    Rows as of ``delineated``, with step, area_before and margin. A basin that no finer grid fits, that is refused now, or whose
+    outline reaches the edge even of the wider frame has no row: its first pass stands. All basins of a cell size go at once.
+    """
+    steps = tuple(sorted(s for s in elevations if s < cell))
+    rounds, most = Rounds(found.sparkSession, "refined"), F.lit(most_cells)
+    first = basins_of(found).select("basin_id", *spatial.BOX, F.col("area").alias("area_before"))
+    known = extents.select("basin_id", "upstream_km", F.lit(None).cast("string").alias("refusal"))
+    waiting = first
+    for growth in (1, REFINE_GROWTH):
+        m = max(2 * cell, margin) * growth
+        low, high = ("xmin", "ymin"), ("xmax", "ymax")
+        frame = waiting.withColumns({c: F.col(c) - m for c in low} | {c: F.col(c) + m for c in high} | {"margin": F.lit(float(m))})
+        step = S.choose_resolution(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), most, (*steps, cell))
+        frame = rounds.append("frame", frame.withColumn("step", step).where(F.col("step") < cell))
+        tried = found.where("false").withColumns({"step": F.lit(0.0), "margin": F.lit(0.0), "area_before": F.lit(0.0), "edge": F.lit(False)})
+        for s in steps:
+            here = frame.where(F.col("step") == s)
+            fine = delineated(outlets.join(here, "basin_id", "left_semi"), here.join(known, "basin_id"), net, reaches, elevations[s], s, stream_cells).where("refusal is null")
+            sides = here.select("basin_id", "step", "margin", "area_before", *[F.col(c).alias(f"f_{c}") for c in spatial.BOX])
+            met = fine.join(sides, "basin_id").withColumn("m", spatial.measures("geom"))
+            near = [F.col(f"m.{c}") - F.col(f"f_{c}") < 2 * s for c in low] + [F.col(f"f_{c}") - F.col(f"m.{c}") < 2 * s for c in high]
+            met = met.withColumn("edge", near[0] | near[1] | near[2] | near[3])
+            tried = tried.unionByName(met.select(*tried.columns))
+        tried = rounds.append("tried", tried)
+        waiting = first.join(tried.where("edge"), "basin_id", "left_semi")
+    out = rounds.all("tried").where("not edge").drop("edge")
+    rounds.close("tried")
+    return out
+
+
 def basins_of(found: DataFrame) -> DataFrame:
     """Shapes of the basins that were accepted: basin_id, geom, box, area."""
     rows = found.where("refusal is null").withColumn("m", spatial.measures("geom"))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rillflow.operators import reshape
 from rillflow.plans import basin as B
@@ -234,6 +235,28 @@ def test_batch(spark, tmp_path):
     assert B.summary_text(result.row).first().resume.startswith("Bassin a : ")
 
 
+def test_second_pass(spark):
+    cell, fine = 50.0, 25.0
+    n = 120
+    x, top = (n // 2 + 0.5) * fine, n * fine
+    ys = [top - k * fine for k in (16, 40, 70, 90)]
+    reach = [([(x / 1000, ys[i] / 1000), (x / 1000, ys[i + 1] / 1000)], f"r{i}", "Ecoulement", "Sens direct", f"n{i}", f"n{i + 1}") for i in range(3)]
+    reaches = lines(spark, reach, "id string, nature string, direction string, ini string, fin string")
+    z = spark.createDataFrame(valley_points(n, fine), "x double, y double, z double")
+    coarse = z.groupBy((F.floor(F.col("x") / cell) * cell + cell / 2).alias("x"), (F.floor(F.col("y") / cell) * cell + cell / 2).alias("y")).agg(F.avg("z").alias("z"))
+    outlets = spark.createDataFrame([("a", x, ys[2] - 5 * fine)], "basin_id string, x double, y double")
+    extents, net = B.upstream_extents(outlets, reaches)
+    found = B.delineated(outlets, extents, net, reaches, coarse, cell, 10)
+    first = found.first()
+    assert first.refusal is None
+    args = (outlets, extents, net, reaches)
+    rows = B.refined(found, *args, {fine: z, cell: coarse}, cell, 10**7, 10_000.0, 40).collect()
+    assert len(rows) == 1 and rows[0].step == fine and rows[0].margin == 10_000.0 and rows[0].area_before == first.area
+    assert rows[0].area == pytest.approx(first.area, rel=0.15) and rows[0].cells > 3 * first.cells
+    assert B.refined(found, *args, {fine: z}, cell, 100, 200.0, 40).count() == 0  # nothing finer fits
+    assert B.refined(found, *args, {cell: coarse}, cell, 10**7, 200.0, 40).count() == 0  # nothing finer is there
+
+
 def test_seed_extents(spark):
     zones = polygons(spark, [((0, 0, 10, 10), "Z", "K1")], "toponyme string, code_bdcarthage string")
     out = spark.createDataFrame([("a", 5000.0, 5000.0), ("b", 90000.0, 0.0)], "basin_id string, x double, y double")
