@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillflow.llm import ann, decontam, html, langid, licenses, linededup, mixing, pii, runs, simhash, warc
+from rillflow.llm import ann, decontam, html, langid, licenses, linededup, mixing, pii, prefixes, runs, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ann": ann.op9_ann,
     "op10_pii": pii.op10_pii,
     "op12_runs": runs.op12_runs,
+    "op13_prefixes": prefixes.op13_prefixes,
 }
 
-SQL = {"op3_warc": warc.OP3_SQL, "op6_decontaminate": decontam.OP6_SQL, "op7_lines": linededup.OP7_SQL, "op9_ann": ann.OP9_SQL}
+SQL = {"op3_warc": warc.OP3_SQL, "op6_decontaminate": decontam.OP6_SQL, "op7_lines": linededup.OP7_SQL, "op9_ann": ann.OP9_SQL, "op13_prefixes": prefixes.OP13_SQL}
