@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillflow.llm import ann, decontam, html, langid, licenses, linededup, mixing, pii, prefixes, runs, simhash, warc
+from rillflow.llm import ann, decontam, html, langid, licenses, linededup, mixing, pii, prefixes, runs, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_ann": ann.op9_ann,
     "op10_pii": pii.op10_pii,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_runs": runs.op12_runs,
     "op13_prefixes": prefixes.op13_prefixes,
 }
