@@ -6,6 +6,7 @@ short and a lost executor repeats one round. Each loop ends by itself; ``most``
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -15,7 +16,7 @@ from rillflow.functions import scalar as S
 from rillflow.session import Rounds
 
 # Natures of reaches that carry water but drain no basin.
-IMPASSABLE = ("canal", "aqueduc", "darse")
+IMPASSABLE = ("canal", "aqueduc", "retenue-bassin portuaire")
 
 
 # A closure with a budget counts what it has found every so many rounds.
@@ -150,26 +151,78 @@ def longest_path(cells: DataFrame, outlets: DataFrame) -> DataFrame:
     return ways.groupBy("basin_id").agg(best).select("basin_id", F.col("b.id").alias("far_id"), F.col("b.distance").alias("length"))
 
 
-def accumulate(cells: DataFrame, most: int = 64) -> DataFrame:
-    """(id, acc): how many cells drain through each cell (id, down), itself included; no cycles.
+def accumulate(cells: DataFrame, weights: Sequence[str] = (), most: int = 64) -> DataFrame:
+    """(id, acc, *weights): how many cells drain through each cell (id, down), itself included, and the sums of columns over them; no cycles.
 
-    acc over paths of fewer than 2^k steps comes from acc over half as long ones and the pointers 2^(k-1) ahead.
+    Sums over paths of fewer than 2^k steps come from those over half as long ones and the pointers 2^(k-1) ahead.
     """
     rounds = Rounds(cells.sparkSession, "accumulate")
     known = cells.select(F.col("id").alias("down"))
     inside = cells.join(known, "down", "left_semi").select("id", "down")
-    state = rounds.keep("state", cells.select("id").join(inside, "id", "left").select("id", F.col("down").alias("ahead"), F.lit(1).cast("long").alias("acc")))
+    names = ["acc", *weights]
+    state = rounds.keep("state", cells.select("id", *weights).join(inside, "id", "left").select("id", F.col("down").alias("ahead"), F.lit(1).cast("long").alias("acc"), *weights))
     for _ in range(most):
-        gain = state.where("ahead is not null").groupBy("ahead").agg(F.sum("acc").alias("gain")).withColumnRenamed("ahead", "id")
+        gain = state.where("ahead is not null").groupBy("ahead").agg(*[F.sum(n).alias(f"gain_{n}") for n in names]).withColumnRenamed("ahead", "id")
         jump = state.select(F.col("id").alias("ahead"), F.col("ahead").alias("next"))
         moved = state.join(gain, "id", "left").join(jump, "ahead", "left")
-        state = rounds.keep("state", moved.select("id", F.col("next").alias("ahead"), (F.col("acc") + F.coalesce("gain", F.lit(0))).alias("acc")))
+        state = rounds.keep("state", moved.select("id", F.col("next").alias("ahead"), *[(F.col(n) + F.coalesce(f"gain_{n}", F.lit(0))).alias(n) for n in names]))
         if state.where("ahead is not null").isEmpty():
             rounds.close("state")
-            return state.select("id", "acc")
+            return state.select("id", *names)
     raise NotConverged("flow with a cycle")
 
 
+def ways(cells: DataFrame, starts: DataFrame, steps: int, most: int = 64) -> DataFrame:
+    """(key, id, nth) of the cells on the way down from each start (key, id), the start as the 0th, after ``steps`` steps at most.
+
+    Rounds double the reach of all pointers, and every way found so far goes that far on at once: a way of n cells takes log n rounds.
+    """
+    rounds = Rounds(cells.sparkSession, "ways")
+    known = cells.select(F.col("id").alias("ahead"))
+    jump = rounds.keep("jump", cells.select("id", F.col("down").alias("ahead")).where("ahead is not null and ahead <> id").join(known, "ahead", "left_semi").select("id", "ahead"))
+    fresh = rounds.append("found", starts.select("key", "id", F.lit(0).cast("long").alias("nth")).join(cells.select("id"), "id", "left_semi").select("key", "id", "nth"))
+    for k in range(most):
+        further = rounds.all("found").where(F.col("nth") + 2**k <= steps).join(jump, "id").select("key", F.col("ahead").alias("id"), (F.col("nth") + 2**k).alias("nth"))
+        fresh = rounds.append("found", further)
+        if 2**k > steps or fresh.isEmpty():
+            found = rounds.all("found")
+            rounds.close("found")
+            return found
+        next_ = jump.select(F.col("id").alias("ahead"), F.col("ahead").alias("further"))
+        jump = rounds.keep("jump", jump.join(next_, "ahead").select("id", F.col("further").alias("ahead")))
+    raise NotConverged(f"ways after {most} rounds")
+
+
+def minimax(edges: DataFrame, root: int, most: int = 64) -> DataFrame:
+    """(id, level): the least level at which a node of the graph (a, b, level) reaches the root, that is, the highest edge of its lowest way.
+
+    Rounds after Boruvka: each part that does not hold the root takes its lowest edge outward, which none of its nodes can avoid, and joins
+    the part beyond. A node's level is the highest edge that its parts took. Parts at least halve each round, edges inside a part go,
+    and of several between two parts the lowest stays. Nodes that never reach the root have no row.
+    """
+    rounds = Rounds(edges.sparkSession, "minimax")
+    both = edges.select("a", "b", "level").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "level")).where("a <> b")
+    left = rounds.keep("edges", both.groupBy("a", "b").agg(F.min("level").alias("level")))
+    nodes = rounds.keep("nodes", left.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("part"), F.lit(None).cast("double").alias("level")))
+    for _ in range(most):
+        took = left.where(F.col("a") != root).groupBy("a").agg(F.min(F.struct("level", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "b")).alias("e"))
+        took = rounds.keep("took", took.select("a", F.col("e.b").alias("b"), F.col("e.level").alias("level")))
+        if took.isEmpty():
+            rounds.close("nodes")
+            return nodes.where(F.col("part") == root).where(F.col("id") != root).select("id", "level")
+        back = took.select(F.col("a").alias("b"), F.col("b").alias("a"))
+        mutual = took.join(back, ["a", "b"], "left_semi").where("a < b").select("a")  # of two parts that took one edge the smaller leads
+        hung = took.join(mutual, "a", "left_anti").select(F.col("a").alias("id"), F.col("b").alias("down"), F.lit(1).alias("step"))
+        ends = hung.unionByName(hung.select(F.col("down").alias("id"), F.lit(None).cast("long").alias("down"), F.lit(1).alias("step")).distinct().join(hung.select("id"), "id", "left_anti"))
+        heads = rounds.keep("heads", pointer_jump(ends).select("id", "root"))
+        nodes = nodes.join(took.select(F.col("a").alias("part"), F.col("level").alias("own")), "part", "left").join(heads.select(F.col("id").alias("part"), "root"), "part", "left")
+        nodes = rounds.keep("nodes", nodes.select("id", F.coalesce("root", "part").alias("part"), F.greatest("level", "own").alias("level")))
+        ends = [heads.select(F.col("id").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab"]
+        moved = left.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"), "level")
+        left = rounds.keep("edges", moved.where("a <> b").groupBy("a", "b").agg(F.min("level").alias("level")))
+    raise NotConverged(f"levels after {most} rounds")
+
+
 def components(edges: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
     """(id, label): the smallest id of each node's component; edges (a, b) in either direction.
 

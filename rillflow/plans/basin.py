@@ -19,7 +19,7 @@ from rillflow.plans.themes import Theme
 from rillflow.session import Rounds
 
 # Reach of the snap to a stream, margins of extents, budget of reaches.
-SNAP_REACH = 500.0
+SNAP_REACH = 50.0
 MARGIN = 2000.0
 FALLBACK = 1000.0
 ZONE_PROBE, ZONE_MARGIN, ZONE_SQUARE = 10.0, 2000.0, 5000.0

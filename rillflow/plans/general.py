@@ -1,4 +1,4 @@
-"""Queries on general shapes (triangles, holes, several parts), drainage and themes, with the SQL that states their results.
+"""Queries on general shapes (triangles, holes, several parts) and themes, with the SQL that states their results.
 
 Shape of part k, by k mod 3, in the box of ``shapes``: the right triangle at its lower left corner; the box with a hole of half its
 sides; its left and right quarter. Triangle basins: the lower left halves of the basins of ``shapes``. Closed forms: a right triangle of sides w, h beyond
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from rillflow.functions import geometry as G
-from rillflow.operators import hydro, spatial
+from rillflow.operators import spatial
 from rillflow.plans import catalogue
 from rillflow.plans import queries as Q
 from rillflow.plans import shapes as X
@@ -125,71 +125,6 @@ def union_area_general(spark, sf):
     return spatial.union_areas(rows, ["p_brand"], X.TILE).select("p_brand", F.round("area", 6).alias("area"))
 
 
-# drainage by the engine's kernel
-
-_RIM = "(r = 0 OR c = 0 OR c = 49 OR r = (SELECT max(r) FROM g))"
-_WAYS = f"""g AS {Q._TILTSQL}, m AS (SELECT * FROM (VALUES (1, -1, 1), (2, -1, 0), (3, -1, -1), (4, 0, -1), (5, 1, -1), (6, 1, 0), (7, 1, 1), (8, 0, 1)) m(code, dr, dc)),
-n AS (SELECT a.k, b.k AS down, code, (a.z - b.z) / CASE WHEN code % 2 = 1 THEN sqrt(2.0) ELSE 1.0 END AS d FROM g a, m JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc),
-w AS (SELECT k, down, code FROM n WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY d DESC, code) = 1),
-p AS (SELECT k, k AS place FROM g UNION ALL SELECT p.k, w.down FROM p JOIN w ON w.k = p.place),
-acc AS (SELECT place, count(*) AS n, count(*) FILTER (WHERE {_RIM}) AS open FROM p JOIN g USING (k) GROUP BY 1)"""
-
-
-def _drained(spark: SparkSession, sf: str) -> DataFrame:
-    """Codes and signed accumulation of the tilted part grid, by ``hydro.flow`` and ``hydro.drained``."""
-
-    def kernel(z: np.ndarray) -> dict[str, np.ndarray]:
-        grid = hydro.Grid(z, 0.0, 0.0, 10.0, 20)
-        return {"code": grid.codes, "acc": grid.acc, "channel": grid.channel}
-
-    cells = X.grid(spark, sf, Q._TILT).select("r", "c", "z", F.lit(1).alias("grid"))
-    return hydro.per_grid(cells, ["grid"], kernel, "code int, acc long, channel boolean")
-
-
-@query(f"WITH RECURSIVE {_WAYS} SELECT g.r, g.c, coalesce(w.code, 0) AS code, CASE WHEN open > 0 THEN -n ELSE n END AS acc FROM g JOIN acc ON acc.place = g.k LEFT JOIN w ON w.k = g.k")
-def grid_drainage(spark, sf):
-    rows = X.grid(spark, sf, Q._TILT).select("r", "c")
-    return rows.join(_drained(spark, sf), ["r", "c"]).select("r", "c", F.col("code").cast("int"), "acc")
-
-
-_SNAP = """, s AS (SELECT r, c, CASE WHEN open > 0 THEN -n ELSE n END AS acc, n >= 20 AS channel FROM g JOIN acc ON acc.place = g.k),
-o AS (SELECT s_suppkey AS b, s_suppkey * 53 % 500 + 0.5 AS ox, -(s_suppkey * 29 % (10 * (SELECT max(r) + 1 FROM g)) + 0.5) AS oy, s_suppkey % 4 * 15 AS least FROM supplier),
-q AS (SELECT *, CAST(floor(-oy / 10) AS BIGINT) AS r0, CAST(floor(ox / 10) AS BIGINT) AS c0 FROM o),
-x AS (SELECT *, greatest(abs(r - r0), abs(c - c0)) AS far, sqrt(pow((c + 0.5) * 10 - ox, 2) + pow(-(r + 0.5) * 10 - oy, 2)) / 10 AS away FROM q JOIN s ON abs(r - r0) <= 40 AND abs(c - c0) <= 40),
-y AS (SELECT *, CASE WHEN far <= 6 THEN 0 WHEN far <= 12 THEN 1 WHEN far <= 24 THEN 2 ELSE 3 END AS rung FROM x),
-z AS (SELECT *, CASE WHEN channel AND acc > 0 AND acc >= least THEN 0 WHEN channel AND rung = 0 THEN 1 WHEN rung = 0 THEN 2 END AS tier FROM y)"""
-
-
-@query(f"""WITH RECURSIVE {_WAYS} {_SNAP} SELECT b AS basin_id, r, c, tier, rung FROM z WHERE tier IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY b ORDER BY tier, CASE WHEN tier = 0 THEN rung ELSE 0 END, CASE WHEN tier < 2 THEN round_even(away, 0) ELSE 0 END, -abs(acc), r, c) = 1""")
-def snap_outlets(spark, sf):
-    """Outlets snapped to the channels of the tilted grid."""
-    k = F.col("s_suppkey")
-    cells = _drained(spark, sf).join(X.grid(spark, sf, Q._TILT).select("r", "c", "h"), ["r", "c"])
-    height = cells.agg(F.max("h").alias("height"))
-    outlets = table(spark, sf, "supplier").crossJoin(F.broadcast(height)).select(k.alias("basin_id"), (k * 53 % 500 + 0.5).cast("double").alias("ox"), (-(k * 29 % (10 * F.col("height")) + 0.5)).cast("double").alias("oy"), (k % 4 * 15).cast("double").alias("least"))  # one row
-    return hydro.snapped(cells.select("r", "c", "acc", "channel"), outlets, 10.0)
-
-
-@query(f"""WITH RECURSIVE {_WAYS}, o AS (SELECT n_nationkey AS b, n_nationkey * 37 % (SELECT count(*) FROM g) AS k FROM nation)
-SELECT b AS basin_id, count(*) AS cells, min(z) AS z_min, max(z) AS z_max, min(g.r) AS top, max(g.r) AS bottom FROM o JOIN p ON p.place = o.k JOIN g ON g.k = p.k GROUP BY 1""")
-def basin_cells(spark, sf):
-    """Cells whose water passes given cells, by ``hydro.above``."""
-    count = table(spark, sf, "part").count()
-    places = sorted({n: n * 37 % count for n in range(25)}.items())
-
-    def kernel(z: np.ndarray) -> dict[str, np.ndarray]:
-        _, down = hydro.flow(z)
-        held = np.full(z.shape, "", object)
-        for n, at in places:
-            held[hydro.above(down, at)] += f"{n},"
-        return {"basins": held, "z": z}
-
-    grid = X.grid(spark, sf, Q._TILT).select("r", "c", "z", F.lit(1).alias("grid"))
-    rows = hydro.per_grid(grid, ["grid"], kernel, "basins string, z double").withColumn("b", F.explode(F.split(F.rtrim("basins", F.lit(",")), ","))).where("b <> ''")
-    return rows.groupBy(F.col("b").cast("int").alias("basin_id")).agg(F.count("*").alias("cells"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.min("r").alias("top"), F.max("r").alias("bottom"))
-
-
 # themes
 
 

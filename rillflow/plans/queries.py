@@ -616,6 +616,12 @@ def block_mean(spark, sf):
 
 _TILT = "100 * (k div 50) + 10 * (k % 50) + k * 7 % 5"
 _TILTSQL = X.sql_cells("100 * (p_partkey // 50) + 10 * (p_partkey % 50) + p_partkey * 7 % 5")
+_TILTRIM = "(r = 0 OR c = 0 OR c = 49 OR r = (SELECT max(r) FROM g))"
+_TILTWAYS = f"""g AS {_TILTSQL}, m AS (SELECT * FROM (VALUES (1, -1, 1), (2, -1, 0), (3, -1, -1), (4, 0, -1), (5, 1, -1), (6, 1, 0), (7, 1, 1), (8, 0, 1)) m(code, dr, dc)),
+n AS (SELECT a.k, b.k AS down, code, (a.z - b.z) / CASE WHEN code % 2 = 1 THEN sqrt(2.0) ELSE 1.0 END AS d FROM g a, m JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc),
+w AS (SELECT k, down, code FROM n WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY d DESC, code) = 1),
+p AS (SELECT k, k AS place FROM g UNION ALL SELECT p.k, w.down FROM p JOIN w ON w.k = p.place),
+acc AS (SELECT place, count(*) AS n, count(*) FILTER (WHERE {_TILTRIM}) AS open FROM p JOIN g USING (k) GROUP BY 1)"""
 
 
 @query(f"""
@@ -777,18 +783,6 @@ def theme_zonings(spark, sf):
     return out.select("basin_id", *[F.round(c, 6).alias(c) for c in ("zsc_ha", "zps_ha", "zonage_ha", "zonage_pct")], "zonage_nb")
 
 
-@query()
-def delineate_outlets(spark, sf):
-    """Basins of one outlet a nation, each over a grid of its own; no SQL states them."""
-    k = F.col("p_partkey")
-    z = 900 + 4 * F.abs(F.expr("p_partkey % 50") - 25) - 2 * F.expr("p_partkey div 50") + (k * 37 % 11) / 10
-    cells = table(spark, sf, "part").select(F.expr("p_partkey div 50").alias("r"), F.expr("p_partkey % 50").alias("c"), z.cast("double").alias("z"))
-    nations = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("basin_id"))
-    outlets = nations.select("basin_id", (F.lit(255.0) + F.col("basin_id").cast("int") % 5).alias("ox"), (-F.lit(30.0)).alias("oy"), F.lit(0.0).alias("upstream_km"))
-    each = cells.withColumn("basin_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda x: x.cast("string"))))
-    return hydro.delineate(each, outlets, 10.0, 20).drop("geom")
-
-
 # elevation and report data
 
 

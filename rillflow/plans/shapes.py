@@ -78,14 +78,14 @@ def grid(spark: SparkSession, sf: str, z: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, sf: str) -> DataFrame:
-    """Reaches of a binary tree that flow to the parent: every 13th a canal, every 11th without direction, every 17th of reversed drawing."""
+    """Reaches of a binary tree that flow to the parent: every 13th a canal or a harbour basin, every 11th without direction, every 17th of reversed drawing."""
     k = F.col("c_custkey")
     up, down = k.cast("string"), F.expr("(c_custkey - 1) div 2").cast("string")
     back = k % 17 == 0
     return table(spark, sf, "customer").where("c_custkey > 0").select(
         k.alias("id"),
         k.alias("ord"),
-        F.when(k % 13 == 0, F.lit("Canal")).otherwise(F.lit("Ecoulement naturel")).alias("nature"),
+        F.when(k % 26 == 0, F.lit("Retenue-bassin portuaire")).when(k % 13 == 0, F.lit("Canal")).otherwise(F.lit("Ecoulement naturel")).alias("nature"),
         F.when(k % 11 == 0, F.lit("Sans objet")).when(back, F.lit("Sens inverse")).otherwise(F.lit("Sens direct")).alias("direction"),
         F.when(back, down).otherwise(up).alias("ini"),
         F.when(back, up).otherwise(down).alias("fin"),

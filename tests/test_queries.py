@@ -8,6 +8,7 @@ import pytest
 
 from rillflow.plans import displayed as _  # noqa: F401
 from rillflow.plans import queries as Q
+from rillflow.plans import terrain as _terrain  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
