@@ -9,18 +9,19 @@ are a menu, header, footer, sidebar or form by name) stands for the slot, as adv
 every page. Any other line stands for its text. The main slot of a page, its article or main element or, without one, the
 unmarked slot that holds most text, is never taken as a slot: its lines are compared by text.
 
-Three kinds of evidence bound the differencing. Lines inside the article or main element stay though a neighbour shares
+The alignment decides first, and three rules bound it. Lines inside the article or main element stay though a neighbour shares
 them, as copied articles share all their lines. A neighbour that shares ``COPY`` of a page's texts is a copy of it
-and says nothing of texts: the other neighbour is asked, and if that is a copy as well, slots alone are deleted. And what no neighbour
-shares, but the markup names as page furniture (an advert on one page alone, a page alone in its host), goes as well.
+and says nothing of texts: the other neighbour is asked, and if that is a copy as well, slots alone are deleted. Names of the markup speak only where
+no neighbour can: a line without counterpart (an advert on one page alone) goes if its own element is one by name (a footer, or
+of a class that is a whole word of the list); on a page without any neighbour in its host, so do lines further inside such elements.
 
 Neighbours come from a range-partitioned sort by (host, path, page_id); the first and last page of each
 partition travel on with their neighbour inside, and the few rows of all partition ends meet in one
 short ordered pass. No host is ever gathered in a task. Lines are compared as 63-bit digests.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; unclosed,
-misnested or cut markup is read as far as it goes, in time linear in the page; a page without neighbour in its host keeps all its
-undecided lines; repeated rows are one page in the order, and each gets its text; rows with a null page_id are kept; an empty table gives an
+misnested or cut markup is read as far as it goes, in time linear in the page; a page without neighbour in its host keeps all
+lines that no name marks; an article inside an element that is furniture by class alone is main text, one inside a nav, aside, header or footer is not; repeated rows are one page in the order, and each gets its text; rows with a null page_id are kept; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from rillflow.llm import common
 
 # Element names of the HTML standard, by role.
-_SKIPPED = frozenset("script style template noscript head title svg math iframe object canvas audio video select textarea button".split())
+_SKIPPED = frozenset("script style template noscript head title svg iframe object canvas audio video select textarea button".split())
 _FURNITURE = frozenset("nav header footer aside form menu dialog".split())
 _CONTENT = frozenset("article main".split())
 _BLOCKS = frozenset(
@@ -54,10 +55,10 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe".split())
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|sponsor|sponsored|promo|menu|nav|navbar|navigation|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|comments?|reply|replies|disqus|widget|toolbar|pagination|pager)(?:$|[\s_-])",
-    re.I,
+_MARKED = frozenset(
+    "ad ads advert advertisement adverts banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent notice popup modal newsletter subscribe share social related comment comments reply replies disqus widget toolbar pagination pager".split()
 )
+_WHOLE = frozenset("html body main article".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -68,28 +69,33 @@ _FORMAT = frozenset("b i em strong a span u font".split())
 _NAMED = re.compile(r"\b(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _NUMBER = re.compile("[0-9]+")
 
-UNDECIDED, FURNITURE, CONTENT = 0, 1, 2
+#: Regions: nothing known, in an element named as furniture, main text, and itself an element named so.
+UNDECIDED, FURNITURE, CONTENT, NAMED = 0, 1, 2, 3
 #: Share of a page's texts that makes a neighbour a copy.
 COPY = 0.8
 _PAIRS = 1 << 25
 
 
 class _Open(NamedTuple):
-    """An open element: whether its text counts, in which region and slot, and the place of the innermost element that is no mere format."""
+    """An open element: whether its text counts, in which region and slot, the place of the innermost element that is no mere format, and the number of the outermost element around it that is furniture by class alone."""
 
     name: str
     region: int
     hidden: bool
     slot: int
     base: int
+    mark: int
 
 
-_ROOT = _Open("", UNDECIDED, False, 0, -1)
+_ROOT = _Open("", UNDECIDED, False, 0, -1, 0)
 
 
 def lines(page: str | None) -> list[tuple[str, int, int]]:
-    """Text, region and slot (0: none) of each block of a page that has text, in page order."""
-    page, out, held = page or "", [], []
+    """Text, region and slot (0: none) of each block of a page that has text, in page order.
+
+    A class names an element by a whole word only, never the page's body or main elements, and not an element that holds most of the page's text.
+    """
+    page, out, held, marks = page or "", [], [], 0
     stack: list[_Open] = []
     depth: Counter[str] = Counter()
     now = _ROOT
@@ -97,7 +103,7 @@ def lines(page: str | None) -> list[tuple[str, int, int]]:
     def close() -> None:
         if held:
             if text := _WHITE.sub(" ", entities.unescape("".join(held))).strip():
-                out.append((text, now.region, now.slot))
+                out.append((text, now.region, now.slot, now.mark))
             held.clear()
 
     def leave(to: int) -> _Open:
@@ -133,11 +139,21 @@ def lines(page: str | None) -> list[tuple[str, int, int]]:
             continue
         if name == "p" and stack and stack[-1].base >= 0 and stack[stack[-1].base].name == "p":  # a paragraph ends where the next begins
             now = leave(stack[-1].base)
-        region, hidden, slot = now.region, now.hidden or name in _SKIPPED, now.slot
-        if name in _CONTENT and region == UNDECIDED:
-            region = CONTENT
-        elif name in _FURNITURE or _furniture(m[3]):
-            region, hidden = (FURNITURE, hidden) if block else (region, True)
+        region, hidden, slot, mark = now.region, now.hidden or name in _SKIPPED, now.slot, now.mark
+        if block and region == NAMED:
+            region = FURNITURE
+        if name in _CONTENT and (region == UNDECIDED or mark):
+            region, mark = CONTENT, 0
+        elif name in _FURNITURE or _role(m[3]):
+            region, hidden, mark = (NAMED, hidden, 0) if block else (region, True, mark)
+        elif name not in _WHOLE and _classed(m[3]):
+            if not block:
+                hidden = True
+            elif region == FURNITURE:
+                region = NAMED
+            else:
+                marks += region == UNDECIDED
+                region, mark = NAMED, marks if region == UNDECIDED else 0
         if block and (name in _FURNITURE or _NAMED.search(m[3])):
             part = name + "".join(_NUMBER.sub("0", f" {x[0].lower()}={x[1] or x[2] or x[3]}") for x in _NAMED.findall(m[3]))
             slot = _digest(f"{slot} {part}")
@@ -147,10 +163,14 @@ def lines(page: str | None) -> list[tuple[str, int, int]]:
             continue
         if not m[3].endswith("/") or block:
             base = stack[-1].base if name in _FORMAT and stack else -1 if name in _FORMAT else len(stack)
-            stack.append(now := _Open(name, region, hidden, slot, base))
+            stack.append(now := _Open(name, region, hidden, slot, base, mark))
             depth[name] += 1
     close()
-    return out
+    mass: Counter[int] = Counter()
+    for text, *_, mark in out:
+        mass[mark] += len(text)
+    most = {k for k, n in mass.items() if k and 2 * n > sum(mass.values())}
+    return [(text, UNDECIDED if mark in most else region, slot) for text, region, slot, mark in out]
 
 
 @cache
@@ -174,20 +194,27 @@ def keys(found: list[tuple[str, int, int]]) -> list[int]:
     return [_digest(str(slot)) | 1 if own(region, slot) else _digest(text) & -2 for text, region, slot in found]
 
 
-def kept(found: list[tuple[str, int, int]], shared: list[bool]) -> list[str]:
-    """The lines that stay: what differencing deletes goes outside the article, and furniture by name goes as well."""
+def kept(found: list[tuple[str, int, int]], shared: list[bool] | None) -> list[str]:
+    """The lines that stay. Outside the article, what a neighbour shares goes. Names only speak where no neighbour can: of a line without
+    a counterpart its own element's name, and on a page without any neighbour (``shared`` is None) also those around it."""
+    if shared is None:
+        return [text for text, region, _ in found if region not in (FURNITURE, NAMED)]
     shared = shared or [False] * len(found)
-    return [text for (text, region, _), gone in zip(found, shared) if region == CONTENT or not gone and region != FURNITURE]
+    return [text for (text, region, _), gone in zip(found, shared) if region == CONTENT or not gone and region != NAMED]
 
 
-def _furniture(attributes: str) -> bool:
-    for name, *value in _ATTR.findall(attributes) if "=" in attributes or "hidden" in attributes else ():
-        name, value = name.lower(), "".join(value)
-        if name in ("class", "id") and _MARKED.search(value) or name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+def _role(attributes: str) -> bool:
+    for name, *value in _ATTR.findall(attributes) if "role" in attributes or "hidden" in attributes else ():
+        name, value = name.lower(), "".join(value).lower()
+        if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
+def _classed(attributes: str) -> bool:
+    return "=" in attributes and any(name.lower() in ("class", "id") and not _MARKED.isdisjoint("".join(value).lower().split()) for name, *value in _ATTR.findall(attributes))
+
+
 def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Flags of a's entries in a longest common subsequence of a and b.
 
@@ -274,16 +301,20 @@ def _addresses(pages: DataFrame) -> DataFrame:
     return common.map_arrow(pages, run, _PAGE)
 
 
-def _shared(page: tuple, before: tuple | None, after: tuple | None) -> list[bool]:
-    """Flags of a page's lines that a neighbour in the same host shares: the nearer one (ties: the one before) that is no copy."""
+def _shared(page: tuple, before: tuple | None, after: tuple | None) -> list[bool] | None:
+    """Flags of a page's lines that a neighbour in the same host shares: the nearer one (ties: the one before) that is no copy; None without a neighbour.
+
+    A slot that the neighbour fills too is shared as a whole, however many lines either page has in it.
+    """
     near = [(_nearness(page[2], x[2]), -k, x) for k, x in enumerate((before, after)) if x is not None and x[1] == page[1]]
     near = [np.array(x[2][4], np.int64) for x in sorted(near, key=lambda x: x[:2], reverse=True)]
     own = np.array(page[4], np.int64)
     texts = own[own & 1 == 0]
     for other in near:
         if not len(texts) or np.isin(texts, other).mean() < COPY:
-            return common_lines(own, other).tolist()
-    return (common_lines(own, near[0]) & (own & 1 == 1)).tolist() if near else [False] * len(own)
+            found = common_lines(own, other)
+            return (found | np.isin(own, own[found & (own & 1 == 1)])).tolist()
+    return np.isin(own, own[common_lines(own, near[0]) & (own & 1 == 1)]).tolist() if near else None
 
 
 _ENDS = f"shared array<boolean>, part int, place int, {_PAGE}"
@@ -377,7 +408,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, shared in zip(batch.column(2), batch.column(3)):
-            texts.append("\n".join(kept(lines(page.as_py()), shared.as_py() or [])))
+            texts.append("\n".join(kept(lines(page.as_py()), shared.as_py())))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     joined = rows.join(flags, rows.row == flags["_row"], "left").select("page_id", "url", "html", "shared")

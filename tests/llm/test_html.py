@@ -45,7 +45,7 @@ PAGE = (
 
 def test_article():
     assert [t for t, r, _ in html.lines(PAGE.format(n=5)) if r == html.CONTENT] == ["Head é 5", "One 5 two.", "Three <b> é", "Unclosed it"]
-    assert {t for t, r, _ in html.lines(PAGE.format(n=5)) if r == html.FURNITURE} == {"Menu", "Buy 5", "Top", "Name", "Side", "Reader 5", "© host"}
+    assert {t for t, r, _ in html.lines(PAGE.format(n=5)) if r in (html.FURNITURE, html.NAMED)} == {"Menu", "Buy 5", "Top", "Name", "Side", "Reader 5", "© host"}
 
 
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!-- open", "<script>x", "</p></p>", "<p>a<<b>c", "text only", "<a href='>'>x</a>", "<div hidden>x</div>", "<![CDATA[x]]>y", "&am &a &#xZZ;"])
@@ -158,3 +158,42 @@ def test_long_page(spark):
     rows = [(1, "http://h/1", "<nav>x</nav><article>" + "".join(f"<p>{t}</p>" for t in text.split("\n")) + "</article>"), (2, "http://h/2", "<nav>y</nav>" + "<p>a</p>" * 50_000)]
     got = {p: t for p, _, t in result(spark, rows)}
     assert got[1] == text and set(got[2].split("\n")) == {"a"}
+
+
+@pytest.mark.parametrize(
+    "page,alone,asked",
+    [
+        ('<body class="has-sidebar"><article>Text one</article></body>', "Text one", "Text one"),
+        ('<div class="content no-sidebar"><p>T</p></div><p class="lead share-price">x</p>', "T\nx", "T\nx"),
+        ('<body class="sidebar"><p>a long text here</p><div class="ad">b</div></body>', "a long text here", "a long text here"),
+        ('<div class="sidebar"><p>nearly all of the text of this page</p></div><div>end</div>', "nearly all of the text of this page\nend", "nearly all of the text of this page\nend"),
+        ('<div class="sidebar"><article>story</article></div><p>and more of it</p>', "story\nand more of it", "story\nand more of it"),
+        ("<aside><article>card</article></aside><p>body of the page</p>", "body of the page", "card\nbody of the page"),
+        ("<article>a <math><mi>x</mi></math> b</article>", "a x b", "a x b"),
+        ('<nav><ul><li>one</li></ul></nav><footer>two</footer><p>three is the text</p><div class="site ad">four</div>', "three is the text", "one\nthree is the text"),
+    ],
+)
+def test_names_speak_only_where_no_neighbour_can(page, alone, asked):
+    """On a page without neighbours names of all elements around a line count, beside others only its own element's, and only for lines without a counterpart."""
+    assert "\n".join(html.kept(html.lines(page), None)) == alone
+    assert "\n".join(html.kept(html.lines(page), [])) == asked
+
+
+def test_differencing_decides_on_the_given_pages(spark, sf_dir):
+    """Without it most furniture stays; without names nothing changes; each page keeps every line of its article."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()
+    got = {r.page_id: r.text.split("\n") for r in html.op2_html(spark, sf_dir).collect()}
+    furniture = left = 0
+    for r in pages:
+        found = html.lines(r.html)
+        assert got[r.page_id] == [t for t, region, _ in found if region == html.CONTENT]
+        furniture += sum(region != html.CONTENT for _, region, _ in found)
+        left += len(html.kept(found, [])) - len(got[r.page_id])
+    assert left >= furniture / 2
+
+
+def test_a_slot_is_shared_as_a_whole():
+    menu = lambda n: [("m", html.UNDECIDED, 7)] * n + [(f"t{n}", html.CONTENT, 0)]
+    page = lambda n: ("r", "h", "/", n, html.keys(menu(n)))
+    assert html._shared(page(5), page(2), None) == [True] * 5 + [False]
+    assert html._shared(page(5), None, None) is None
