@@ -1,6 +1,6 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
-A vector v is stored once, in a table of codes: |v|, the signs of the rotated unit vector packed into bits, and a correction:
+A vector v is stored once, in a table of codes: |v| (over its largest component, and that), the signs of the rotated unit vector packed into bits, and a correction:
 the inner product a of the unit vector with its own sign vector. The rotation leads into D dimensions,
 a few times those of the vectors up to ``LONGEST``: short vectors get longer codes, as the error falls
 with D. A query q, rotated to y, is rounded to ``PLANES`` bits a dimension, kept as bit planes. So <s, y>, s the signs, is a
@@ -16,7 +16,7 @@ rows meet in a ranking per query.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor do rows without vec_id; a query meets the vectors of its own length only; every row is a candidate, also one of a repeated
-vec_id, and a query leaves out its own row alone; ties go to the smaller vec_id; an empty table gives an empty result;
+vec_id, and a query leaves out its own row alone; ties go to the smaller vec_id; components of any finite size count, and products beyond the largest number are infinite, or no number, which comes first, as in SQL; an empty table gives an empty result;
 extra columns are ignored.
 """
 
@@ -55,11 +55,18 @@ def rotation(dim: int) -> np.ndarray:
     return (q * np.sign(np.diag(r))).T
 
 
-def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sign bits packed into words of 64, norms and corrections a."""
-    norm = np.linalg.norm(vectors, axis=1)
-    unit = (vectors / norm[:, None]) @ turn
-    return _packed(unit > 0), norm, np.abs(unit).sum(axis=1) / np.sqrt(turn.shape[1])
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors over their largest component, and that: no norm of the former overflows or vanishes."""
+    largest = np.abs(vectors).max(axis=1)
+    return vectors / largest[:, None], largest
+
+
+def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sign bits packed into words of 64; norms over the largest component, corrections a, and the largest components."""
+    part, largest = scaled(vectors)
+    norm = np.linalg.norm(part, axis=1)
+    unit = (part / norm[:, None]) @ turn
+    return _packed(unit > 0), norm, np.abs(unit).sum(axis=1) / np.sqrt(turn.shape[1]), largest
 
 
 def _packed(bits: np.ndarray) -> np.ndarray:
@@ -96,14 +103,15 @@ def estimate(bits: np.ndarray, norm: np.ndarray, a: np.ndarray, queries: Rounded
         est[i : i + step] = signed * scale[i : i + step, None]
     unseen = np.maximum(0, 1 - a * a) / max(1, queries.dim - 1)
     slack = EPSILON * (norm / a)[:, None] * np.sqrt(unseen[:, None] * length**2 + queries.lost**2 / queries.dim) + (norm * 1e-5)[:, None] * length
-    return est, slack.astype(np.float32)
+    return est, slack.astype(np.float32) + np.float32(1e-37)  # what single precision cannot tell from nothing
 
 
 def exact(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Inner products of left[:, i] and right[:, j], summed from the first dimension to the last."""
     out = np.zeros(len(i))
-    for d in range(len(left)):
-        out += left[d][i] * right[d][j]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(len(left)):
+            out += left[d][i] * right[d][j]
     return out
 
 
@@ -112,19 +120,32 @@ class Search:
 
     def __init__(self, rows: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.k = rows, k
-        self.rounded = Rounded(vectors @ rotation(vectors.shape[1]))
-        self.columns, self.length = np.ascontiguousarray(vectors.T), np.linalg.norm(vectors, axis=1)
+        part, self.largest = scaled(vectors)
+        self.rounded = Rounded(part @ rotation(vectors.shape[1]))
+        self.columns, self.length = np.ascontiguousarray(vectors.T), np.linalg.norm(part, axis=1)
         self.score = np.full((len(rows), k), -np.inf)
         self.best = np.full((len(rows), k), np.iinfo(np.int64).max)
-
-    def offer(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """Candidates with their rows, vec_ids, vectors and codes."""
-        est, slack = estimate(*code, self.rounded, self.length)
+        self.real = np.zeros((len(rows), k), bool)
+
+    def _bar(self, scale: float) -> np.ndarray:
+        """The scores that candidates of a scale have to reach, in the measure of the estimates; of no use where not finite."""
+        with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+            last = self.score[:, -1] / self.largest / scale
+            return np.where(np.isfinite(last), last - 1e-6 * np.abs(last), -np.inf).astype(np.float32)
+
+    def offer(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Candidates with their rows, vec_ids, vectors and codes.
+
+        Estimates are of vectors over their largest components, times a candidate's share of the largest of all that are offered.
+        """
+        bits, norm, a, largest = code
+        scale = float(largest.max())
+        est, slack = estimate(bits, norm * (largest / scale), a, self.rounded, self.length)
         columns = np.ascontiguousarray(vectors.T)
-        bar = lambda: (self.score[:, -1] - 1e-6 * np.abs(self.score[:, -1])).astype(np.float32)
+        fit = lambda: ~(est + slack < self._bar(scale))
         own = rows[:, None] == self.ids
-        if np.isfinite(self.score[:, -1]).all():
-            self._merge(ids, columns, (est + slack >= bar()) & ~own)
+        if self.real[:, -1].all():
+            self._merge(ids, columns, fit() & ~own)
             return
         # first, a few of the best estimates set the bar
         top = min(2 * self.k, len(ids))
@@ -132,30 +153,32 @@ class Search:
         pick = np.zeros(est.shape, bool)
         np.put_along_axis(pick, best, True, axis=0)
         self._merge(ids, columns, pick & ~own)
-        self._merge(ids, columns, ~pick & ~own & (est + slack >= bar()))
+        self._merge(ids, columns, ~pick & ~own & fit())
 
     def _merge(self, ids: np.ndarray, columns: np.ndarray, pick: np.ndarray) -> None:
         q, c = np.nonzero(pick.T)
         if not len(q):
             return
         score = np.concatenate([exact(self.columns, columns, q[i : i + 65536], c[i : i + 65536]) for i in range(0, len(q), 65536)])
-        better = score >= self.score[q, -1]
+        better = ~(score < self.score[q, -1]) | ~self.real[q, -1]
         q, c, score = q[better], c[better], score[better]
         who = np.unique(q)
         place = np.repeat(who, self.k)
+        real = np.r_[np.ones(len(q), bool), self.real[who].ravel()]
         q, score, found = np.r_[q, place], np.r_[score, self.score[who].ravel()], np.r_[ids[c], self.best[who].ravel()]
-        order = np.lexsort((found, -score, q))
-        q, score, found = q[order], score[order], found[order]
+        odd = np.isnan(score)  # before all numbers, as Spark orders them
+        order = np.lexsort((found, np.where(odd, 0.0, -score), ~odd, ~real, q))
+        q, score, found, real = q[order], score[order], found[order], real[order]
         rank = np.arange(len(q)) - np.repeat(np.searchsorted(q, who), np.diff(np.r_[np.searchsorted(q, who), len(q)]))
         top = rank < self.k
-        self.score[q[top], rank[top]], self.best[q[top], rank[top]] = score[top], found[top]
+        at = q[top], rank[top]
+        self.score[at], self.best[at], self.real[at] = score[top], found[top], real[top]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ok = np.isfinite(self.score)
-        return np.repeat(self.ids, ok.sum(axis=1)), self.best[ok], self.score[ok]
+        return np.repeat(self.ids, self.real.sum(axis=1)), self.best[self.real], self.score[self.real]
 
 
-_CODES = "row long, vec_id long, v array<double>, bits binary, norm double, a double"
+_CODES = "row long, vec_id long, v array<double>, bits binary, norm double, a double, largest double"
 
 
 def codes(vectors: DataFrame) -> DataFrame:
@@ -168,8 +191,8 @@ def codes(vectors: DataFrame) -> DataFrame:
         size = pc.list_value_length(batch.column(2)).to_numpy()
         for dim in np.unique(size).tolist():
             part = batch.filter(pa.array(size == dim))
-            bits, norm, a = encode(_matrix(part.column(2), dim), rotation(dim))
-            yield pa.record_batch([*part.columns, pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(norm), pa.array(a)], names=[x.split()[0] for x in _CODES.split(", ")])
+            bits, norm, a, largest = encode(_matrix(part.column(2), dim), rotation(dim))
+            yield pa.record_batch([*part.columns, pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(norm), pa.array(a), pa.array(largest)], names=[x.split()[0] for x in _CODES.split(", ")])
 
     return common.materialize(common.map_arrow(rows.where(F.col("vec_id").isNotNull() & fine), run, _CODES), "ann-codes")[0]
 
@@ -187,11 +210,11 @@ def _found(candidates: DataFrame, rows: np.ndarray, block: np.ndarray, k: int) -
         for batch in batches:
             if batch.num_rows:
                 search = search or Search(*shared.value, k)
-                row, vec, norm, a = (batch.column(c).to_numpy() for c in (0, 1, 4, 5))
+                row, vec, norm, a, largest = (batch.column(c).to_numpy() for c in (0, 1, 4, 5, 6))
                 v, bits = _matrix(batch.column(2), dim), np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(len(row), -1)
                 for i in range(0, len(vec), _ROWS):
                     j = i + _ROWS
-                    search.offer(row[i:j], vec[i:j], v[i:j], (bits[i:j], norm[i:j], a[i:j]))
+                    search.offer(row[i:j], vec[i:j], v[i:j], (bits[i:j], norm[i:j], a[i:j], largest[i:j]))
         if search:
             q, c, s = search.rows()
             yield pa.record_batch([pa.array(q), pa.array(c), pa.array(s)], names=["query", "vec_id", "score"])

@@ -42,7 +42,8 @@ def test_recall_and_bounds():
     queries, length = v[::20], np.linalg.norm(v[::20], axis=1)
     code = ann.encode(v, turn)
     assert code[0].dtype == np.uint64 and code[0].shape == (3000, 8)
-    est, slack = ann.estimate(*code, ann.Rounded(queries @ turn), length)
+    bits, norm, a, largest = code
+    est, slack = ann.estimate(bits, norm * largest, a, ann.Rounded(queries @ turn), length)
     wrong = np.abs(est - v @ queries.T) > slack
     assert wrong.mean() < 1e-4 and slack.mean() < 5 * np.abs(est - v @ queries.T).mean() * 2
     reranked = (est + slack >= np.sort(v @ queries.T, axis=0)[-20]).mean()
@@ -75,3 +76,32 @@ def test_edges(spark):
     coded = ann.codes(df)
     assert ann.nearest(coded, coded.where("vec_id % 20 = 0")).count() == 7, "each row of a repeated vec_id is a query and a candidate"
     assert result(frame(spark, [])) == set()
+
+
+def large(spark, vectors):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+
+
+def plain(vectors, k=20):
+    """As ``brute``, in double precision; no number comes before all numbers."""
+    out = []
+    for q in range(0, len(vectors), 20):
+        scored = []
+        for c in range(len(vectors)):
+            s = 0.0
+            for a, b in zip(vectors[q], vectors[c]):
+                s += float(a) * float(b)
+            scored += [((0, 0.0) if s != s else (1, -s), c, s)] if c != q else []
+        out += [(q, r + 1, c, str(s)) for r, (_, c, s) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+def test_components_of_any_finite_size(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((160, 12))
+    mixed = base * 10.0 ** rng.choice([-155, 0, 155], (160, 1))
+    queries_small = base * np.where(np.arange(160) % 20 == 0, 1e-155, 1e155)[:, None]
+    for v in (mixed, queries_small, base * 1e200, base * 1e-200, base * 1e-310, np.abs(base) * 1e160, np.where(np.arange(160)[:, None] % 3 == 0, np.abs(base) * 1e300, base)):
+        coded = ann.codes(large(spark, v))
+        got = sorted((r.query_id, r.rank, r.vec_id, str(r.score)) for r in ann.nearest(coded, coded.where("vec_id % 20 = 0")).collect())
+        assert got == plain(v)
