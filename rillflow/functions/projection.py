@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
 
 # GRS80 ellipsoid and the parameters of EPSG:2154.
 _A, _F = 6378137.0, 1 / 298.257222101
 _LAT1, _LAT2, _LAT0, _LON0 = np.radians([44.0, 49.0, 46.5, 3.0])
 _X0, _Y0 = 700000.0, 6600000.0
-_E = np.sqrt(2 * _F - _F * _F)
-
-
-_XY = StructType().add("x", DoubleType()).add("y", DoubleType())
+_E = float(np.sqrt(2 * _F - _F * _F))
 
 
 def _m(lat: np.ndarray) -> np.ndarray:
@@ -48,21 +42,31 @@ def to_degrees(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.degrees(np.arctan2(dx, dy) / _N + _LON0), np.degrees(lat)
 
 
-def _checked(a: pd.Series, b: pd.Series, ok: pd.Series, fn) -> pd.DataFrame:
-    """Points out of range become null."""
-    u, v = fn(a.where(ok, 3.0 if fn is to_metres else _X0).to_numpy(float), b.where(ok, 46.0 if fn is to_metres else _Y0).to_numpy(float))
-    return pd.DataFrame({"x": pd.Series(u).where(ok.to_numpy()), "y": pd.Series(v).where(ok.to_numpy())})
+def _column(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("double")
+
+
+def lambert93(lon: Column | str, lat: Column | str) -> Column:
+    """(x, y) in metres of (longitude, latitude), of built-in functions alone; null for what is no place on Earth."""
+    lon, lat = _column(lon), _column(lat)
+    phi = F.radians(lat)
+    r = F.lit(float(_C)) * F.pow(F.tan(np.pi / 4 - phi / 2) * F.exp(_E * F.atanh(_E * F.sin(phi))), F.lit(float(_N)))
+    angle = float(_N) * (F.radians(lon) - float(_LON0))
+    place = F.struct((_X0 + r * F.sin(angle)).alias("x"), (float(_Y0 + _R0) - r * F.cos(angle)).alias("y"))
+    return F.when(lon.between(-180, 180) & lat.between(-80, 89.9), place)
 
 
-@F.pandas_udf(_XY)
-def lambert93(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """(x, y) in metres of (longitude, latitude); null for what is no place on Earth."""
-    for lon, lat in parts:
-        yield _checked(lon, lat, lon.between(-180, 180) & lat.between(-80, 89.9), to_metres)
+#: Steps of the inverse: each takes the error down by the squared eccentricity, so eight leave less than a double can tell.
+STEPS = 8
 
 
-@F.pandas_udf(_XY)
-def wgs84(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """(longitude, latitude) as (x, y) of metres."""
-    for x, y in parts:
-        yield _checked(x, y, x.between(-1e7, 1e7) & y.between(-1e7, 2e7), to_degrees)
+def wgs84(x: Column | str, y: Column | str) -> Column:
+    """(longitude, latitude) as (x, y) of metres, likewise. Each step of the iteration holds the one before only once, so the expression stays small."""
+    x, y = _column(x), _column(y)
+    dx, dy = x - _X0, float(_R0) - (y - _Y0)
+    t = F.pow(F.hypot(dx, dy) / float(_C), F.lit(float(1 / _N)))
+    lat = np.pi / 2 - 2 * F.atan(t)
+    for _ in range(STEPS):
+        lat = np.pi / 2 - 2 * F.atan(t * F.exp(-_E * F.atanh(_E * F.sin(lat))))
+    place = F.struct(F.degrees(F.atan2(dx, dy) / float(_N) + float(_LON0)).alias("x"), F.degrees(lat).alias("y"))
+    return F.when(x.between(-1e7, 1e7) & y.between(-1e7, 2e7), place)

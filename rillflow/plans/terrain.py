@@ -1,4 +1,4 @@
-"""Queries on drainage, descents, basins, outlines and thinned lines, with the SQL that states their results.
+"""Queries on drainage, descents, basins, outlines, thinned lines, waves of tiles and the projection, with the SQL that states their results.
 
 Grids are those of ``shapes``. The pitted grid has levels 0 to 24, with pits and flats throughout; SQL fills it level by level: a cell's
 filled level is the least at which cells not above it lead to the rim.
@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.operators import drainage, hydro, outlines
-from rillflow.plans import basin
+from rillflow.functions import projection
+from rillflow.operators import drainage, hydro, outlines, spatial
+from rillflow.plans import basin, waves
 from rillflow.plans import queries as Q
 from rillflow.plans import shapes as X
 from rillflow.plans.queries import query
+from rillflow.session import Rounds
 from rillflow.sources.layers import table
 
 #: Small tiles, so that the given grids have many.
@@ -208,3 +210,70 @@ def delineate_outlets(spark, sf):
     outlets = rows.select(k.cast("long").alias("key"), (k * 53 % 500 + 5.0).cast("double").alias("ox"), (-(k * 29 % (10 * F.col("height")) + 5.0)).cast("double").alias("oy"), (k % 3 * 15).cast("double").alias("least"))
     out = drainage.delineated(_pitted(spark, sf), outlets, 10.0, 20, size=TILE)
     return out.withColumnRenamed("key", "basin_id").withColumn("stability", F.round("stability", 9))
+
+
+# waves of tiles over a drawn tree: node k stands in row log2(k + 1), the rows 100 m apart and 1024 m wide
+
+_SIDE = 128.0
+_NODE = "SELECT k, 1024 * (k + 1.5 - pow(2, lev)) / pow(2, lev) AS x, lev * 100.0 AS y FROM (SELECT c_custkey AS k, length(bin(c_custkey + 1)) - 1 AS lev FROM customer)"
+
+
+def _waves_sql(n: int = 14) -> str:
+    """One wave after the other: tiles (l), known reaches (k), the network found in them (c), and the nodes where it ends (d)."""
+    steps = f"""t AS MATERIALIZED {Q._TREE}, nd AS MATERIALIZED ({_NODE}),
+i AS MATERIALIZED ({Q._INFLOW.replace(Q._TREE, 't')}), h AS MATERIALIZED ({Q._HEAD.replace(Q._TREE, 't')}),
+s AS MATERIALIZED (SELECT h.id, i.id AS up FROM h JOIN i USING (node) WHERE h.id <> i.id),
+e AS MATERIALIZED (SELECT t.*, a.x AS ax, a.y AS ay, b.x AS qx, b.y AS qy FROM t JOIN nd a ON a.k = t.id JOIN nd b ON b.k = t.parent),
+rt AS MATERIALIZED (SELECT DISTINCT id, tx, unnest(range(CAST(floor(least(ay, qy) / {_SIDE}) AS BIGINT), CAST(floor(greatest(ay, qy) / {_SIDE}) AS BIGINT) + 1)) AS ty FROM
+  (SELECT *, unnest(range(CAST(floor(least(ax, qx) / {_SIDE}) AS BIGINT), CAST(floor(greatest(ax, qx) / {_SIDE}) AS BIGINT) + 1)) AS tx FROM e)),
+q AS MATERIALIZED (SELECT n_nationkey AS b, id, (ax + qx) / 2 AS x, (ay + qy) / 2 AS y FROM nation JOIN e ON e.id = 1 + n_nationkey * 7 % 60),
+l0 AS MATERIALIZED (SELECT b, tx, unnest(range(CAST(floor((y - 50) / {_SIDE}) AS BIGINT), CAST(floor((y + 50) / {_SIDE}) AS BIGINT) + 1)) AS ty FROM (SELECT *, unnest(range(CAST(floor((x - 50) / {_SIDE}) AS BIGINT), CAST(floor((x + 50) / {_SIDE}) AS BIGINT) + 1)) AS tx FROM q))"""
+    for w in range(n):
+        steps += f""",
+k{w} AS MATERIALIZED (SELECT DISTINCT b, id FROM l{w} JOIN rt USING (tx, ty)),
+c{w} AS (SELECT b, id FROM q UNION SELECT c.b, s.up FROM c{w} c JOIN s ON s.id = c.id JOIN k{w} k ON k.b = c.b AND k.id = s.up),
+d{w} AS MATERIALIZED (SELECT c.b, e.ax, e.ay FROM c{w} c JOIN e ON e.id = c.id WHERE oriented AND NOT EXISTS (SELECT 1 FROM i JOIN k{w} k ON k.id = i.id WHERE k.b = c.b AND i.node = e.id AND i.id <> e.id)),
+l{w + 1} AS MATERIALIZED (SELECT b, tx, ty FROM l{w} UNION SELECT b, CAST(floor((ax + dx) / {_SIDE}) AS BIGINT), CAST(floor((ay + dy) / {_SIDE}) AS BIGINT) FROM d{w}, (SELECT unnest([-1, 1]) AS dx), (SELECT unnest([-1, 1]) AS dy))"""
+    w = n - 1
+    return f"""WITH RECURSIVE {steps}
+SELECT q.b AS basin_id, (SELECT count(*) FROM c{w} c WHERE c.b = q.b) AS n_reaches, (SELECT count(*) FROM l{n} l WHERE l.b = q.b) AS tiles, (SELECT count(*) FROM k{w} k WHERE k.b = q.b) AS loaded FROM q"""
+
+
+def _drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree's reaches as lines between their nodes."""
+    k = F.col("c_custkey")
+    lev = F.length(F.bin(k + 1)) - 1
+    node = table(spark, sf, "customer").select(k.alias("k"), (1024 * (k + 1.5 - F.pow(F.lit(2.0), lev)) / F.pow(F.lit(2.0), lev)).alias("x"), (lev * 100.0).alias("y"))
+    tree = X.tree(spark, sf)
+    ends = tree
+    for end, n in (("ini", "ini"), ("fin", "fin")):
+        ends = ends.join(node.select(F.col("k").cast("string").alias(end), F.col("x").alias(f"x_{n}"), F.col("y").alias(f"y_{n}")), end)
+    box = {"xmin": F.least("x_ini", "x_fin"), "ymin": F.least("y_ini", "y_fin"), "xmax": F.greatest("x_ini", "x_fin"), "ymax": F.greatest("y_ini", "y_fin")}
+    return ends.withColumns(box).withColumn("geom", spatial.segment_wkb(F.col("x_ini"), F.col("y_ini"), F.col("x_fin"), F.col("y_fin")))
+
+
+@query(_waves_sql())
+def upstream_waves(spark, sf):
+    """The network above one outlet a nation, with the tiles and reaches that had to be read for it."""
+    reaches = _drawn(spark, sf)
+    folder = f"{Rounds(spark, 'tiled').base}/reaches"
+    waves.store(reaches, folder, _SIDE)
+    read = waves.stored(spark, folder)
+    at = table(spark, sf, "nation").select(F.col("n_nationkey").alias("basin_id"), (1 + F.col("n_nationkey") * 7 % 60).cast("long").alias("id"))
+    outlets = at.join(reaches, "id").select("basin_id", ((F.col("x_ini") + F.col("x_fin")) / 2).alias("x"), ((F.col("y_ini") + F.col("y_fin")) / 2).alias("y"))
+    return waves.extend(waves.start(outlets, read, _SIDE), read, _SIDE).drop("refusal")
+
+
+_LON, _LAT = "-5 + c_custkey * 37 % 1400 / 100.0", "41.3 + c_custkey * 53 % 980 / 100.0"
+_P = {n: repr(float(getattr(projection, f"_{n}"))) for n in ("E", "N", "C", "R0", "X0", "Y0", "LON0")}
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS fid, CAST({_LON} AS DOUBLE) AS lon, CAST({_LAT} AS DOUBLE) AS lat FROM customer),
+m AS (SELECT *, {_P['C']} * pow(tan(pi() / 4 - radians(lat) / 2) * exp({_P['E']} * atanh({_P['E']} * sin(radians(lat)))), {_P['N']}) AS r, {_P['N']} * (radians(lon) - {_P['LON0']}) AS a FROM p)
+SELECT fid, round({_P['X0']} + r * sin(a), 3) AS x, round({_P['Y0']} + {_P['R0']} - r * cos(a), 3) AS y, round(lon, 8) AS lon, round(lat, 8) AS lat FROM m""")
+def lambert93_round_trip(spark, sf):
+    """Places to metres and back again, all in built-in functions; a hundred-millionth of a degree is about a millimetre."""
+    places = table(spark, sf, "customer").select(F.col("c_custkey").alias("fid"), F.expr(_LON).cast("double").alias("lon"), F.expr(_LAT).cast("double").alias("lat"))
+    there = places.withColumn("p", projection.lambert93("lon", "lat"))
+    back = there.withColumn("b", projection.wgs84("p.x", "p.y"))
+    return back.select("fid", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"), F.round("b.x", 8).alias("lon"), F.round("b.y", 8).alias("lat"))
