@@ -18,7 +18,7 @@ def chain(spark, n, side=100.0):
 
 
 def test_only_tiles_along_the_network_are_read_and_a_stopped_outlet_goes_on(spark, tmp_path):
-    reaches, size = chain(spark, 12), 200.0
+    reaches, size = chain(spark, 12), 150.0
     W.store(reaches, f"{tmp_path}/tiles", size)
     read = W.stored(spark, f"{tmp_path}/tiles")
     outlets = spark.createDataFrame([("a", 20.0, 5.0), ("b", 400.0, 5.0), ("none", 300.0, -900.0)], "basin_id string, x double, y double")
