@@ -54,16 +54,35 @@ def as_points(df: DataFrame, x: str, y: str) -> DataFrame:
 Decoder = Callable[[list], tuple[np.ndarray, np.ndarray]]
 
 
-def kernel(fn: Callable[[list, list], float], simple: Callable[[np.ndarray, np.ndarray], np.ndarray], decode: Decoder = G.rectangles) -> Callable[[Column, Column], Column]:
-    """A pandas UDF from a measure of two shapes (parts of WKB).
+def decoded(geoms: list[bytes]) -> list[list[np.ndarray]]:
+    """Parts of each shape, equal ones parsed once."""
+    known = {g: G.from_wkb(g)[1] for g in set(geoms)}
+    return [known[g] for g in geoms]
+
+
+#: Pairs that one sweep takes: bounds the columns of edges that it holds.
+SWEPT = 2000
+
+
+def swept(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Areas that pairs of polygons share."""
+    parts = [G.intersection_areas(list(zip(decoded(left[k : k + SWEPT]), decoded(right[k : k + SWEPT])))) for k in range(0, len(left), SWEPT)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
+def one_by_one(fn: Callable[[list, list], float]) -> Callable[[list[bytes], list[bytes]], np.ndarray]:
+    return lambda left, right: np.array([fn(p, q) for p, q in zip(decoded(left), decoded(right))], float)
+
+
+def kernel(measured: Callable[[list[bytes], list[bytes]], np.ndarray], simple: Callable[[np.ndarray, np.ndarray], np.ndarray], decode: Decoder = G.rectangles) -> Callable[[Column, Column], Column]:
+    """A pandas UDF from a measure of pairs of shapes.
 
     Where the first shape is of the kind that ``decode`` knows and the second a rectangle, ``simple`` measures a whole
-    batch of arrays; all other pairs go through ``fn`` one by one, the second shape parsed once while it repeats.
+    batch of arrays; all other pairs of a batch go to ``measured``. Null where a shape is null.
     """
 
     @F.pandas_udf(DoubleType())
     def measure(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        last, shape = None, None
         for a, b in parts:
             left, right = [None if g is None else bytes(g) for g in a], [None if g is None else bytes(g) for g in b]
             out = np.full(len(left), np.nan)
@@ -71,12 +90,9 @@ def kernel(fn: Callable[[list, list], float], simple: Callable[[np.ndarray, np.n
             both = w & v
             if both.any():
                 out[both] = simple(p[both[w]], q[both[v]])
-            for k in np.flatnonzero(~both):
-                if left[k] is None or right[k] is None:
-                    continue
-                if right[k] != last:
-                    last, shape = right[k], G.from_wkb(right[k])[1]
-                out[k] = fn(G.from_wkb(left[k])[1], shape)
+            rest = [k for k in np.flatnonzero(~both) if left[k] is not None and right[k] is not None]
+            if rest:
+                out[rest] = measured([left[k] for k in rest], [right[k] for k in rest])
             yield pd.Series(out).astype(object).where(~np.isnan(out), None)
 
     return measure
@@ -107,11 +123,11 @@ def _point_to_box(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.hypot(*np.maximum(0, np.maximum(q[:, :2] - p, p - q[:, 2:])).T)
 
 
-overlap_area = kernel(G.intersection_area, _boxes_overlap)
-inside_length = kernel(G.length_inside, _segment_inside, G.segments)
-touching = kernel(lambda p, q: float(G.intersects(p, q)), _boxes_touch)
-point_in = kernel(lambda p, q: float(G.contains(q, *p[0][0])), lambda p, q: (_point_to_box(p, q) == 0).astype(float), G.points)
-point_distance = kernel(lambda p, q: G.distance(q, *p[0][0]), _point_to_box, G.points)
+overlap_area = kernel(swept, _boxes_overlap)
+inside_length = kernel(one_by_one(G.length_inside), _segment_inside, G.segments)
+touching = kernel(one_by_one(G.intersects), _boxes_touch)
+point_in = kernel(one_by_one(lambda p, q: G.contains(q, *p[0][0])), lambda p, q: (_point_to_box(p, q) == 0).astype(float), G.points)
+point_distance = kernel(one_by_one(lambda p, q: G.distance(q, *p[0][0])), _point_to_box, G.points)
 
 
 @F.pandas_udf(DoubleType())
@@ -125,15 +141,26 @@ def line_distance(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
 def clipped(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The part of the first polygon within the second: itself if contained, else trapezoids; null if disjoint."""
     for a, b in parts:
-        out = []
-        for p, q in zip(a, b):
-            s, t = G.from_wkb(p), G.from_wkb(q)
-            whole, share = G.area(s[1]), G.intersection_area(s[1], t[1])
-            if abs(whole - share) <= 1e-9 * max(1.0, whole):
-                out.append(bytes(p) if G.intersects(s[1], t[1]) else None)
-            else:
-                out.append(G.to_wkb(G.MULTIPOLYGON, G.intersection(s[1], t[1])) if share > 0 else None)
-        yield pd.Series(out)
+        out: list[bytes | None] = []
+        for k in range(0, len(a), SWEPT):
+            out += _clipped([bytes(g) for g in a[k : k + SWEPT]], [bytes(g) for g in b[k : k + SWEPT]])
+        yield pd.Series(out, dtype=object)
+
+
+def _clipped(left: list[bytes], right: list[bytes]) -> list[bytes | None]:
+    pairs = list(zip(decoded(left), decoded(right)))
+    which, rings = G.intersections(pairs)
+    x, y = rings[:, :, 0] - rings[:, :1, 0], rings[:, :, 1] - rings[:, :1, 1]
+    share = np.bincount(which, np.abs((x[:, :-1] * y[:, 1:] - x[:, 1:] * y[:, :-1]).sum(axis=1)) / 2, len(pairs))
+    whole = G.areas([p for p, _ in pairs])
+    ends = np.searchsorted(which, np.arange(len(pairs) + 1))
+    out: list[bytes | None] = []
+    for k, (p, q) in enumerate(pairs):
+        if abs(whole[k] - share[k]) <= 1e-9 * max(1.0, whole[k]):
+            out.append(left[k] if share[k] > 0 or G.intersects(p, q) else None)
+        else:
+            out.append(G.closed_wkb(rings[ends[k] : ends[k + 1]]) if share[k] > 0 else None)
+    return out
 
 
 @F.pandas_udf(BinaryType())
@@ -245,13 +272,15 @@ def short_wkt_of_metres(geom: pd.Series) -> pd.Series:
 @F.pandas_udf(_MEASURES)
 def measures(geom: pd.Series) -> pd.DataFrame:
     """Measures of shapes: area and perimeter of polygons, length of lines, centroid, box."""
+    shapes = [None if g is None else G.from_wkb(g) for g in geom]
+    flats = [k for k, s in enumerate(shapes) if s and s[0] in (G.POLYGON, G.MULTIPOLYGON)]
+    areas = dict(zip(flats, G.areas([shapes[k][1] for k in flats])))
     rows = []
-    for g in geom:
-        if g is None:
+    for k, s in enumerate(shapes):
+        if s is None:
             rows.append([None] * 9)
             continue
-        kind, parts = G.from_wkb(g)
-        flat = kind in (G.POLYGON, G.MULTIPOLYGON)
+        parts, flat = s[1], k in areas
         centre = G.centroid(parts) if flat else tuple(np.concatenate(parts).mean(axis=0))
-        rows.append([G.area(parts) if flat else 0.0, 0.0 if flat else G.length(parts), G.perimeter(parts) if flat else 0.0, *map(float, centre), *map(float, G.bounds(parts))])
+        rows.append([areas.get(k, 0.0), 0.0 if flat else G.length(parts), G.perimeter(parts) if flat else 0.0, *map(float, centre), *map(float, G.bounds(parts))])
     return pd.DataFrame(rows, columns=_MEASURES.names, dtype=float)
