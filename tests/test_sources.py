@@ -2,6 +2,7 @@ import http.server
 import json
 import struct
 import threading
+import time
 import urllib.error
 import urllib.parse
 
@@ -45,16 +46,50 @@ def test_json_features(spark, tmp_path):
 
 
 class Service(http.server.BaseHTTPRequestHandler):
+    """23 points k, k with a name, a length and a long text; page 4 fails once, page 8 comes spoilt until asked under another URL."""
+
     calls: list = []
+    sent: list = []
+    told = True
+    busy = most = 0
+    lock = threading.Lock()
 
     def do_GET(self):
-        q = urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query)
+        with Service.lock:
+            Service.busy += 1
+            Service.most = max(Service.most, Service.busy)
+        try:
+            self.answer({k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()})
+        finally:
+            with Service.lock:
+                Service.busy -= 1
+
+    def answer(self, q):
         Service.calls.append(q)
-        start, n = int(q["startindex"][0]), int(q["count"][0])
-        if start == 2 and sum(c["startindex"] == ["2"] for c in Service.calls) == 1:
-            self.send_error(503)
-            return
-        body = json.dumps({"features": [{"id": f"f{k}", "properties": {"k": k}, "geometry": {"type": "Point", "coordinates": [k, k]}} for k in range(start, min(5, start + n))]}).encode()
+        here = range(23)
+        if "bbox" in q:
+            x0, y0, x1, y1 = map(float, q["bbox"].split(","))
+            here = [k for k in here if max(x0, y0) <= k <= min(x1, y1)]
+        if "resourceid" in q:
+            here = [k for k in here if f"f{k}" in q["resourceid"].split(",")]
+        if q.get("resulttype") == "hits":
+            return self.reply(f'<c numberMatched="{len(here) if Service.told else "unknown"}" numberReturned="0"/>'.encode())
+        start = int(q.get("startindex", 0))
+        time.sleep(0.02)
+        if start == 4 and sum(c.get("startindex") == "4" for c in Service.calls) == 1:
+            return self.send_error(503)
+        if start == 8 and "_again" not in q:
+            return self.reply(b"<html>busy")
+        if start == 12 and q["typenames"] == "hollow":
+            return self.reply(b"")
+        here = here[start : start + int(q.get("count", 100))]
+        wanted = q["propertyname"].split(",") if "propertyname" in q else ["name", "length", "heavy", "geom"]
+        each = [{"name": f"n{k}", "length": k / 2 if k % 5 else "?", "heavy": "x" * 1000} for k in here]
+        body = [{"id": f"f{k}", "properties": {n: v for n, v in e.items() if n in wanted}, "geometry": {"type": "Point", "coordinates": [k, k]} if "geom" in wanted else None} for k, e in zip(here, each)]
+        self.reply(json.dumps({"features": body}).encode())
+
+    def reply(self, body):
+        Service.sent.append(len(body))
         self.send_response(200)
         self.end_headers()
         self.wfile.write(body)
@@ -64,19 +99,70 @@ class Service(http.server.BaseHTTPRequestHandler):
 
 
 @pytest.fixture
-def service():
+def service(monkeypatch):
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
-    Service.calls = []
+    Service.calls, Service.sent, Service.told, Service.most = [], [], True, 0
     threading.Thread(target=server.serve_forever, daemon=True).start()
     yield f"http://127.0.0.1:{server.server_port}/wfs"
     server.shutdown()
 
 
+def pages_asked():
+    return [c for c in Service.calls if "resulttype" not in c]
+
+
 def test_paged_source(spark, service):
-    spark.dataSource.register(paged.PagedSource)
-    df = spark.read.format("pages").options(url=service, layer="l", total=5, page_size=2, bbox="0,0,9,9").load()
-    assert sorted((r.fid, json.loads(r.properties)["k"], r.ord) for r in df.collect()) == [(f"f{k}", k, k) for k in range(5)]
-    assert len(Service.calls) == 4 and Service.calls[0]["bbox"] == ["0.0,0.0,9.0,9.0"]
+    rows = paged.read(spark, service, "l", page_size=4, parallel=2).collect()
+    assert sorted((r.ord, r.fid, json.loads(r.properties)["name"], r.xmin, r.coordinates) for r in rows) == [(k, f"f{k}", f"n{k}", float(k), f"[{k}, {k}]") for k in range(23)]
+    # six pages, one tried again after an error, one under another URL; never more than two at once
+    assert len(Service.calls) - len(pages_asked()) == 1 and len(pages_asked()) == 8 and Service.most <= 2
+    assert [c["_again"] for c in pages_asked() if "_again" in c] == ["1"]
+
+
+def test_paged_columns_travel_alone(spark, service):
+    df = paged.read(spark, service, "l", "name string, length double, none long", page_size=10)
+    got = sorted(tuple(r) for r in df.select("name", "length", "none", "ymax").collect())
+    assert got == sorted((f"n{k}", k / 2 if k % 5 else None, None, float(k)) for k in range(23))
+    assert {c["propertyname"] for c in pages_asked()} == {"name,length,none,geom"} and sum(Service.sent) < 5000
+    Service.calls.clear()
+    bare = spark.read.format("pages").schema("name string").options(url=service, layer="l", page_size=30).load()
+    assert bare.count() == 23 and {c["propertyname"] for c in pages_asked()} == {"name"}
+
+
+def test_paged_boxes_and_ids(spark, service):
+    df = paged.read(spark, service, "l", "name string", page_size=2, parallel=3)
+    box = layers.scan(df, (14, 13, 18.5, 30))
+    assert sorted(r.name for r in box.collect()) == [f"n{k}" for k in range(14, 19)]
+    assert {c["bbox"] for c in Service.calls} == {"14.0,13.0,18.5,30.0"} and len(pages_asked()) == 4  # three pages, one asked for twice
+    Service.calls.clear()
+    assert sorted(r.name for r in df.where("fid IN ('f3', 'f20', 'zz') AND xmin > 5").collect()) == ["n20"]
+    assert [c.get("resourceid") for c in Service.calls] == ["f20,f3,zz"]
+    Service.calls.clear()
+    assert df.where("fid = 'f1' AND fid = 'f2'").count() == 0 and not pages_asked()
+    half = df.where("xmin <= 3")
+    assert half.count() == 4 and all("bbox" not in c for c in Service.calls)
+    # a box in an option stays as it is: what meets both boxes need not meet where they overlap
+    Service.calls.clear()
+    given = paged.read(spark, service, "l", "name string", bbox="12,12,21,21")
+    assert layers.scan(given, (0, 0, 16, 16)).count() == 5 and {c["bbox"] for c in Service.calls} == {"12,12,21,21"}
+
+
+def test_paged_budget_and_unknown_number(spark, service):
+    with pytest.raises(Exception, match="more than 22"):
+        paged.read(spark, service, "l", limit=22).count()
+    assert not pages_asked()
+    assert paged.read(spark, service, "l", limit=23).count() == 23
+    Service.told = False
+    assert paged.read(spark, service, "l", page_size=6).count() == 23
+    with pytest.raises(Exception, match="more than 22"):
+        paged.read(spark, service, "l", page_size=6, limit=22).collect()
+    assert layers.scan(paged.read(spark, service, "l", page_size=6), (90, 90, 99, 99)).count() == 0
+
+
+def test_paged_empty_replies(spark, service):
+    assert paged.read(spark, service, "hollow", page_size=12, empty="true").count() == 12
+    with pytest.raises(OSError, match="empty"):
+        paged.fetch(f"{service}?typenames=hollow&startindex=12", delay=0, tries=2)
 
 
 class Records(http.server.BaseHTTPRequestHandler):
