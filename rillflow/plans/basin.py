@@ -6,6 +6,7 @@ that fails while its plan is built becomes a warning and leaves its columns empt
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,6 +18,7 @@ from rillflow.operators import graph, hydro, reshape, spatial
 from rillflow.plans import schema
 from rillflow.plans.themes import Theme
 from rillflow.session import Rounds
+from rillflow.sources import ledger
 
 # Reach of the snap to a stream, margins of extents, budget of reaches.
 SNAP_REACH = 50.0
@@ -187,19 +189,23 @@ def assembled(basins: DataFrame, base: list[DataFrame], themes: dict[str, Callab
 DRAWN = ("zonings", "forest", "organic_parcels", "declared_parcels")
 
 
-def write(result: Result, folder: str) -> list[str]:
-    """The row and each layer that has rows, as Parquet under ``folder``; the names written. Layers of polygons lie in drawing order."""
-    written = ["basins"]
-    result.row.write.mode("append").parquet(f"{folder}/basins")
-    for name, df in result.layers.items():
-        if not df.isEmpty():
-            if name in DRAWN:
-                df = df.orderBy("id_bv", F.coalesce("surface_ha", F.lit(0.0)).desc())
-            df.write.mode("append").parquet(f"{folder}/{name}")
-            written.append(name)
+def write(result: Result, folder: str, run: str | None = None) -> list[str]:
+    """The row and each layer that has rows, in one run of the ledger in ``folder`` (``ledger.rows`` reads them); the names written.
+
+    All of them count from the moment that the last is written; a run of the same name is replaced, so nothing doubles.
+    Layers of polygons lie in drawing order.
+    """
+    out = ledger.Run(result.row.sparkSession, folder, run or uuid.uuid4().hex)
+    written = [n for n, df in {"basins": result.row, **result.layers}.items() if out.stage(n, _drawn(n, df)) or n == "basins"]
+    out.tables = {n: t for n, t in out.tables.items() if n in written}
+    out.publish()
     return written
 
 
+def _drawn(name: str, df: DataFrame) -> DataFrame:
+    return df.orderBy("id_bv", F.coalesce("surface_ha", F.lit(0.0)).desc()) if name in DRAWN else df
+
+
 def summary_text(row: DataFrame) -> DataFrame:
     """One sentence a basin."""
     return row.select("id_bv", S.filled("Bassin {id} : {km2} km², {z} m de dénivelée, chemin de {l} km", id="id_bv", km2=S.french_number("surface_km2"), z=S.french_number("denivelee_m", 0), l=S.french_number("long_chem_km")).alias("resume"))

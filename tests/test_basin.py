@@ -11,6 +11,7 @@ from rillflow.plans import basin as B
 from rillflow.plans import schema
 from rillflow.plans import themes as T
 from rillflow.functions import geometry as G
+from rillflow.sources import ledger
 
 BOX = "xmin double, ymin double, xmax double, ymax double, geom binary"
 
@@ -231,7 +232,10 @@ def test_batch(spark, tmp_path):
     assert {x.basin_id for x in result.refusals.collect()} == {"far"}
     written = B.write(result, str(tmp_path / "out"))
     assert {"basins", "streams", "outlets"} <= set(written)
-    assert spark.read.parquet(str(tmp_path / "out/streams")).count() == 3
+    assert ledger.rows(spark, str(tmp_path / "out"), "streams").count() == 3
+    for _ in range(2):
+        B.write(result, str(tmp_path / "named"), "night")
+    assert ledger.rows(spark, str(tmp_path / "named"), "streams").count() == 3 and ledger.rows(spark, str(tmp_path / "named"), "basins").count() == 1
     assert B.summary_text(result.row).first().resume.startswith("Bassin a : ")
 
 
