@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,10 +105,11 @@ def start(outlets: DataFrame, read: Reader, size: float, radius: float = RADIUS)
     return state
 
 
-def extend(state: State, read: Reader, size: float, budget: int = basin.REACHES) -> DataFrame:
+def extend(state: State, read: Reader, size: float, budget: int | None = basin.REACHES) -> DataFrame:
     """Follow all outlets of ``state`` upstream; (basin_id, n_reaches, tiles, loaded, refusal) of each.
 
     An outlet that wants more tiles while it holds ``budget`` reaches or more is refused and stays as it is: a call with a larger budget goes on from there.
+    Without one (None) every network is followed to its end, in as many waves as it takes.
     """
     rounds, fresh = state.rounds, None
     stopped = state.wanted.where("full").select("basin_id", "id").distinct()
@@ -115,7 +117,7 @@ def extend(state: State, read: Reader, size: float, budget: int = basin.REACHES)
     if state.wave:
         rounds.keep("wanted", state.wanted.where("not full"))
     active = ends.select("basin_id").distinct()
-    for _ in range(WAVES):
+    for _ in count() if budget is None else range(WAVES):
         own = _own(state.known.join(active, "basin_id"))
         if fresh is not None:
             ends = _reached(own, state.found.join(active, "basin_id", "left_semi"), fresh)
@@ -125,7 +127,7 @@ def extend(state: State, read: Reader, size: float, budget: int = basin.REACHES)
         first = F.col("up_node").eqNullSafe(F.col("ini"))
         spot = stuck.select("basin_id", F.col("own").alias("id"), F.when(first, F.col("x_ini")).otherwise(F.col("x_fin")).alias("x"), F.when(first, F.col("y_ini")).otherwise(F.col("y_fin")).alias("y"))
         at = spot.withColumn("t", F.explode(windows.touching_tiles(F.col("x"), F.col("y"), size))).select("basin_id", "id", "t.tx", "t.ty")
-        full = state.known.groupBy("basin_id").agg((F.count("*") >= budget).alias("full"))
+        full = state.known.groupBy("basin_id").agg((F.lit(False) if budget is None else F.count("*") >= budget).alias("full"))
         state.wave += 1
         lacking = at.join(state.tiles, ["basin_id", "tx", "ty"], "left_anti").join(full, "basin_id")
         want = rounds.append("wanted", lacking.select("basin_id", F.col("id").cast("long").alias("id"), "tx", "ty", F.lit(state.wave).alias("wave"), "full"))
@@ -133,7 +135,7 @@ def extend(state: State, read: Reader, size: float, budget: int = basin.REACHES)
         if active.isEmpty():
             break
         fresh = _fetch(state, read)
-    count = lambda rows, name: rows.groupBy("basin_id").agg(F.count("*").alias(name))
-    out = count(state.found, "n_reaches").join(count(state.tiles, "tiles"), "basin_id").join(count(state.known, "loaded"), "basin_id")
+    number = lambda rows, name: rows.groupBy("basin_id").agg(F.count("*").alias(name))
+    out = number(state.found, "n_reaches").join(number(state.tiles, "tiles"), "basin_id").join(number(state.known, "loaded"), "basin_id")
     over = state.wanted.where("full").select("basin_id").distinct().withColumn("refusal", F.lit(f"more tiles wanted at the budget of {budget} reaches"))
     return out.join(over, "basin_id", "left")

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import geometry as G
 from rillflow.operators import graph
+from rillflow.plans import terrain
 from rillflow.plans import waves as W
 
 
@@ -40,3 +41,18 @@ def test_scan_is_pruned_to_the_tiles_of_a_wave(spark, tmp_path):
     plan = read(wanted)._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
     assert read(wanted).count() > 0
+
+
+def test_without_a_budget_the_network_is_followed_to_its_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "WAVES", 2)
+    W.store(chain(spark, 12), f"{tmp_path}/tiles", 150.0)
+    read = W.stored(spark, f"{tmp_path}/tiles")
+    state = W.start(spark.createDataFrame([("a", 20.0, 5.0)], "basin_id string, x double, y double"), read, 150.0)
+    (got,) = W.extend(state, read, 150.0, budget=None).collect()
+    assert got.n_reaches == got.loaded == 14 and got.refusal is None
+
+
+def test_the_query_has_no_budget(spark, sf_dir, monkeypatch):
+    want = sorted(map(tuple, terrain.upstream_waves(spark, sf_dir).collect()))
+    monkeypatch.setattr(W.extend, "__defaults__", (8,))
+    assert sorted(map(tuple, terrain.upstream_waves(spark, sf_dir).collect())) == want
