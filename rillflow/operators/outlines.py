@@ -7,6 +7,10 @@ doubling pointers. Outer rings run counter-clockwise (positive area), holes cloc
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,11 +81,78 @@ def corners(found: DataFrame, cell: float = 1.0, x0: float = 0.0, y0: float = 0.
     return turned.unionByName(ends.join(last, "ring").select(key, "ring", "nth", "p.x", "p.y"))
 
 
+#: Points of a stretch that one task thins to the end; longer ones are split by rounds first. Points of a block of it.
+ALONE, BLOCK = 1_000_000, 256
+
+
+def _farthest(x: np.ndarray, y: np.ndarray, boxes: tuple[np.ndarray, ...], i: int, j: int) -> tuple[int, float]:
+    """The point between two points of a line farthest from the way between them, the first of equals, and how far it is.
+
+    Of the blocks that lie wholly between, those whose box (x0, x1, y0, y1) is too near are passed over.
+    """
+    dx, dy = x[j] - x[i], y[j] - y[i]
+    size = math.hypot(dx, dy)
+
+    def away(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.abs(dx * (b - y[i]) - dy * (a - x[i])) / size if size else np.hypot(a - x[i], b - y[i])
+
+    def best(a: int, b: int) -> tuple[float, int]:
+        d = away(x[a:b], y[a:b])
+        k = int(d.argmax())
+        return float(d[k]), -(a + k)
+
+    lo, hi = -(-(i + 1) // BLOCK), j // BLOCK
+    if hi - lo < 2:
+        d, k = best(i + 1, j)
+        return -k, d
+    top = max(best(a, b) for a, b in ((i + 1, lo * BLOCK), (hi * BLOCK, j)) if a < b) if i + 1 < lo * BLOCK or hi * BLOCK < j else (-1.0, 0)
+    x0, x1, y0, y1 = (b[lo:hi] for b in boxes)
+    most = np.maximum.reduce([away(a, b) for a in (x0, x1) for b in (y0, y1)])
+    span = max(abs(dx), abs(dy)) / size if size else 1.0
+    most += 1e-14 * span * (np.maximum(np.abs(x0 - x[i]), np.abs(x1 - x[i])) + np.maximum(np.abs(y0 - y[i]), np.abs(y1 - y[i])))  # rounding
+    for k in np.argsort(-most, kind="stable"):
+        if most[k] < top[0]:
+            break
+        top = max(top, best((lo + k) * BLOCK, (lo + k + 1) * BLOCK))
+    return -top[1], top[0]
+
+
+def _kept(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Places of the points of a line that Douglas and Peucker's rule keeps, without its ends."""
+    n = len(x) // BLOCK
+    cut = [v[: n * BLOCK].reshape(n, BLOCK) for v in (x, y)]
+    boxes = tuple(f(1) for v in cut for f in (v.min, v.max)) if n else ()
+    keep, stack = np.zeros(len(x), bool), [(0, len(x) - 1)]
+    while stack:
+        i, j = stack.pop()
+        if j - i > 1:
+            k, d = _farthest(x, y, boxes, i, j)
+            if d > tolerance:
+                keep[k] = True
+                stack += [(i, k), (k, j)]
+    return np.flatnonzero(keep)
+
+
+def _alone(work: DataFrame, tolerance: Column | float) -> DataFrame:
+    """Kept points of stretches (ring, nth, x, y between p and q), each thinned in one task."""
+    names = ["ring", "nth", "x", "y"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("nth")
+        one = rows.iloc[0]
+        x, y = (np.r_[one[f"p{v}"], rows[v].to_numpy(), one[f"q{v}"]] for v in "xy")
+        return rows[names].iloc[_kept(x, y, one["tolerance"]) - 1]
+
+    ends = [F.col(f"{e}.{v}").alias(f"{e}{v}") for e in "pq" for v in "nxy"]
+    rows = work.select(*names, *ends, (tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))).alias("tolerance"))
+    return rows.groupBy("ring", "pn", "qn").applyInPandas(run, work.select(*names).schema)
+
+
 def thinned(points: DataFrame, tolerance: Column | float, most: int = 10_000) -> DataFrame:
     """Points (ring, nth, x, y) that Douglas and Peucker's rule keeps; the first and last of a ring always stay.
 
-    Every stretch between kept points is a row of work: each round finds all stretches' farthest points by one aggregation with partial sums, splits those
-    beyond the tolerance (of equally far points at the first) and drops the others. The rounds are as many as the rule's recursion is deep.
+    A stretch between kept points of ``ALONE`` points or fewer is thinned to its end in one task. Of longer ones each round finds the farthest points by one aggregation
+    with partial sums, splits those beyond the tolerance (of equally far points at the first) and drops the others.
     """
     rounds = Rounds(points.sparkSession, "thinned")
     rows = points.select("ring", "nth", "x", "y")
@@ -95,8 +166,10 @@ def thinned(points: DataFrame, tolerance: Column | float, most: int = 10_000) ->
     across = F.abs(dx * (F.col("y") - F.col("p.y")) - dy * (F.col("x") - F.col("p.x"))) / size
     away = F.when(size > 0, across).otherwise(F.hypot(F.col("x") - F.col("p.x"), F.col("y") - F.col("p.y")))
     for _ in range(most):
-        top = work.groupBy("ring", F.col("p.n").alias("a"), F.col("q.n").alias("b")).agg(F.max_by(F.struct(F.col("nth").alias("n"), "x", "y"), F.struct(away.alias("d"), (-F.col("nth")).alias("t"))).alias("m"), F.max(away).alias("d"))
-        split = rounds.keep("split", top.where(F.col("d") > tolerance).select("ring", "a", "b", "m"))
+        top = rounds.keep("top", work.groupBy("ring", F.col("p.n").alias("a"), F.col("q.n").alias("b")).agg(F.max_by(F.struct(F.col("nth").alias("n"), "x", "y"), F.struct(away.alias("d"), (-F.col("nth")).alias("t"))).alias("m"), F.max(away).alias("d"), F.count("*").alias("n")))
+        split = rounds.keep("split", top.where((F.col("n") > ALONE) & (F.col("d") > tolerance)).select("ring", "a", "b", "m"))
+        short = top.where(F.col("n") <= ALONE).select("ring", "a", "b")
+        rounds.append("kept", _alone(work.withColumns({"a": F.col("p.n"), "b": F.col("q.n")}).join(short, ["ring", "a", "b"]), tolerance))
         n = split.count()
         if not n:
             out = rounds.all("kept")

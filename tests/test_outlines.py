@@ -65,5 +65,15 @@ def test_a_long_ring_over_many_tasks(spark):
     assert 20 < r.n < 100 and abs(r.area / (np.pi * 1e6) - 1) < 0.02
 
 
+@pytest.mark.parametrize("alone,most", [(10**6, 2), (700, 200)])
+def test_a_zigzag_takes_few_rounds_and_equals_the_kernel(spark, monkeypatch, alone, most):
+    monkeypatch.setattr(O, "ALONE", alone, raising=False)
+    line = np.array([(3.0 * k, k * 29 % 211) for k in range(0, 24_000, 25)], float)
+    rows = [(ring, n, *map(float, p)) for ring in (1, 2) for n, p in enumerate(line)]
+    thin = O.thinned(spark.createDataFrame(rows, "ring long, nth long, x double, y double").repartition(5), 47.3, most)
+    want = [tuple(q) for q in G.simplify(line, 47.3).tolist()]
+    assert by_ring(thin.where("ring = 1")) == {1: want} and by_ring(thin.where("ring = 2")) == {2: want}
+
+
 def test_empty(spark):
     assert O.rings(spark.createDataFrame([], "key long, r long, c long")).collect() == []
