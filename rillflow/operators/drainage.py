@@ -213,7 +213,8 @@ def drained(cells: DataFrame, size: int = TILE) -> DataFrame:
                 yield pd.DataFrame({"r": at[:, 0], "c": at[:, 1], "filled": z[r, c], "code": k.astype(np.int32), "n_r": pd.Series(down[:, 0], dtype="Int64").where(k > 0), "n_c": pd.Series(down[:, 1], dtype="Int64").where(k > 0)})
 
     done = still.select("tr", "tc", "z", "codes").unionByName(moving.select("tr", "tc", "z", "codes"))
-    return done.mapInPandas(cells_of, "r long, c long, filled double, code int, n_r long, n_c long")
+    # rows of cells are far larger than the files of tiles by which Spark would choose to broadcast them
+    return done.mapInPandas(cells_of, "r long, c long, filled double, code int, n_r long, n_c long").hint("merge")
 
 
 def _side(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

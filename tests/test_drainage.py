@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillflow import session
 from rillflow.operators import drainage as D
 from rillflow.operators import graph, hydro
 
@@ -116,3 +117,12 @@ def test_descent_over_ten_thousand_cells(spark):
     assert got == {1: (9876, 9876), 2: (50, 0), 3: (9999, 9999)}
     cut = {r.key: r.c for r in D.descended(ways, starts, 10.0, steps=100).collect()}
     assert cut == {1: 99, 2: 50, 3: 99}
+
+
+def test_tables_of_cells_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(session, "SMALL", 0, raising=False)
+    kept = session.Rounds(spark, "plain").keep("rows", spark.range(1000))
+    ways = D.drained(rows_of(spark, surface(np.random.default_rng(3), 12, 12, 4)), 8)
+    for left, right in ((spark.range(9), kept), (spark.range(9).withColumn("r", F.col("id")), ways)):
+        key = "id" if right is kept else "r"
+        assert "BroadcastHashJoin" not in left.join(right, key)._jdf.queryExecution().executedPlan().toString()
