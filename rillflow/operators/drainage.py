@@ -242,8 +242,11 @@ def accumulated(ways: DataFrame) -> DataFrame:
     """``drained`` cells with acc: the cells through each, negative where one of the first or last row or column of the grid is among them."""
     size = ways.agg(F.max("r").alias("_h"), F.max("c").alias("_w"))  # one row
     rim = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.col("_h")) | (F.col("c") == F.col("_w"))
-    rows = ways.crossJoin(F.broadcast(size)).select(place(), place("n_r", "n_c").alias("down"), rim.cast("long").alias("open"))
+    rounds = Rounds(ways.sparkSession, "accumulated")
+    # written, as a join with one row of no bytes has no bytes either to Spark, which would broadcast all cells
+    rows = rounds.keep("rows", ways.crossJoin(F.broadcast(size)).select(place(), place("n_r", "n_c").alias("down"), rim.cast("long").alias("open")))
     acc = graph.accumulate(rows, ["open"]).select("id", F.when(F.col("open") > 0, -F.col("acc")).otherwise(F.col("acc")).alias("acc"))
+    rounds.close()
     return ways.withColumn("id", place()).join(acc, "id").drop("id")
 
 

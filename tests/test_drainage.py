@@ -126,3 +126,12 @@ def test_tables_of_cells_are_not_broadcast(spark, monkeypatch):
     for left, right in ((spark.range(9), kept), (spark.range(9).withColumn("r", F.col("id")), ways)):
         key = "id" if right is kept else "r"
         assert "BroadcastHashJoin" not in left.join(right, key)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_accumulation_joins_no_broadcast_cells(spark, monkeypatch):
+    monkeypatch.setattr(session, "SMALL", 0)
+    taken, real = [], graph.accumulate
+    monkeypatch.setattr(graph, "accumulate", lambda cells, weights: taken.append(cells.join(spark.range(9), "id")._jdf.queryExecution().executedPlan().toString()) or real(cells, weights))
+    ways = D.drained(rows_of(spark, surface(np.random.default_rng(3), 12, 12, 4)), 8)
+    assert D.accumulated(ways).count() == 144
+    assert len(taken) == 1 and "BroadcastHashJoin" not in taken[0]
