@@ -135,3 +135,20 @@ def test_accumulation_joins_no_broadcast_cells(spark, monkeypatch):
     ways = D.drained(rows_of(spark, surface(np.random.default_rng(3), 12, 12, 4)), 8)
     assert D.accumulated(ways).count() == 144
     assert len(taken) == 1 and "BroadcastHashJoin" not in taken[0]
+
+
+def test_cells_of_basin_cells_are_not_broadcast(spark, sf_dir, monkeypatch):
+    from rillflow.plans import terrain
+
+    plans = []
+
+    def measured(numbers, outlets, values, names):
+        plans.extend(x._jdf.queryExecution().executedPlan().toString() for x in (outlets, numbers.join(values, "id")))
+        return spark.createDataFrame([], "key long, cells long, z_min double, z_max double, r_min long, r_max long")
+
+    for name in ("drained", "accumulated"):
+        monkeypatch.setattr(D, name, lambda cells, *size: cells)
+    monkeypatch.setattr(D, "numbered", lambda cells: spark.range(9))
+    monkeypatch.setattr(D, "measured", measured)
+    terrain.basin_cells(spark, sf_dir)
+    assert len(plans) == 2 and not any("BroadcastHashJoin" in p for p in plans)
